@@ -110,7 +110,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
     recipes = cut(verified_recipes(chunk_recipes(docs, text, key)).select(key, "text_sha256", F.xxhash64("recipe").alias("_at"), "recipe"))
     groups = recipes.groupBy("_at", "recipe").agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size"))
-    rows = recipes.join(groups.withColumnRenamed("recipe", "_recipe"), "_at").where("recipe = _recipe")
+    # dealt anew, so that both sides of the join are shuffled for it and Spark can split a large group
+    rows = recipes.join(groups.withColumnRenamed("recipe", "_recipe").hint("rebalance"), "_at").where("recipe = _recipe")
     return rows.select(key, "keep_id", "group_size", F.expr(f"`{key}` <=> keep_id").alias("kept"), "text_sha256")
 
 

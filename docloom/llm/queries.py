@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import importlib
-import sys
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, packing, quality_classifier, quality_rules, secrets, token_counts
+from docloom.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts
 from docloom.llm.common import documents
 
 
@@ -23,6 +19,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(documents(spark, sf_dir), size=3, num=85, den=100)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
@@ -55,5 +55,5 @@ g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)
 """
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_quality_rules, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op5_quality_rules, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
