@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts
+from docloom.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
 from docloom.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir), texts=False)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir).where("quality = 1"))
 
@@ -55,5 +59,5 @@ g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op5_quality_rules, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_substring_dedup, op5_quality_rules, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
 ORACLES = {"op8_exact_dedup": OP8_SQL}
