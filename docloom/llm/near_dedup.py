@@ -151,7 +151,7 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     num * union are linked; component_id is the smallest key reachable. Documents with equal sets are one node, so
     copies are never paired. n_links counts the confirmed links of the document's set (between different sets; those
     that joined nothing are not looked for). Null and empty texts are linked with nothing and kept. A row with a null
-    key joins the component of an equal set with a key, else it has a null component, and is not kept. Rows repeated
+    key has the component of an equal set with a key, else a null component, and is kept. Rows repeated
     with one key are one document. Keys are integers.
     """
     feats = cut(shingle_features(docs, size, text, key))
@@ -228,7 +228,7 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     same = (F.col("_at") == F.col("_to")) & (F.col("n_shingles") == F.col("_n_shingles")) & (F.col("set_a") == F.col("_set_a")) & (F.col("set_b") == F.col("_set_b"))
     rows = rows.join(named.hint("merge"), same, "left")
     component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("_component"))
-    kept = F.coalesce(F.col(key) == component, (F.col("n_shingles") == 0))
+    kept = F.coalesce(F.col(key) == component, F.lit(True))
     return rows.select(key, "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -250,8 +250,9 @@ def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with their own columns: of each component the row with the smallest key, once."""
-    gone = near_components(docs, size, num, den, text, key).where("not kept").select(F.col(key).alias("_gone")).distinct()
-    gone = cut(gone)
-    left = docs.join(small(gone, gone.count()), F.col(key) == F.col("_gone"), "left_anti")
-    return left
+    """The rows of docs that stay, with their own columns: of each component those with the smallest key.
+
+    Rows with null keys stay, and so do rows repeated with a key that stays.
+    """
+    gone = cut(near_components(docs, size, num, den, text, key).where("not kept").select(F.col(key).alias("_gone")).distinct())
+    return docs.join(small(gone, gone.count()), F.col(key) == F.col("_gone"), "left_anti")

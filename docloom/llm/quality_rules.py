@@ -20,8 +20,6 @@ from docloom.llm.features import gram_buckets, inside, rule_counts
 BITS = 14
 #: Share of the trusted documents whose score may lie below the threshold, and the slack below that score.
 SHARE, SLACK = 0.005, 0.1
-#: Scores are compared in steps of this size, so that sums in another order change nothing.
-STEP = 1e-6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -56,33 +54,51 @@ def log_ratios(counts: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.log(own / own.sum()) - np.log(raw / raw.sum())
 
 
-def scored(docs: DataFrame, ratios: np.ndarray, text: str, key: str, bits: int = BITS) -> DataFrame:
-    """(key, the counts, llr): one row per row."""
+def measured(column: pa.Array, table: np.ndarray, bits: int = BITS) -> dict[str, np.ndarray]:
+    """The rule counts and the mean log ratio (llr) of each text."""
+    raw, offsets = text_buffer(column)
+    parts = []
+    for a, b in slices(offsets):
+        own, data = offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]]
+        buckets = gram_buckets(data, bits)
+        value = np.zeros(len(data) + 1)
+        np.cumsum(np.append(table[buckets] * inside(own, len(buckets)), np.zeros(len(data) - len(buckets))), out=value[1:])
+        llr = (value[own[1:]] - value[own[:-1]]) / np.maximum(np.diff(own) - 3, 1)
+        parts.append(rule_counts(data, own) | {"llr": np.round(llr, 9)})
+    empty = dict.fromkeys(COUNTS, np.zeros(0, np.int64)) | {"llr": np.zeros(0)}
+    return {c: np.concatenate([p[c] for p in parts]) if parts else empty[c] for c in empty}
+
+
+def failed(m: dict[str, np.ndarray]) -> np.ndarray:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
+def scored(docs: DataFrame, ratios: np.ndarray, text: str, key: str) -> DataFrame:
+    """(key, the counts, llr, base_failed): one row per row."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            raw, offsets = text_buffer(batch.column(1))
-            parts, scores = [], []
-            for a, b in slices(offsets):
-                own, data = offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]]
-                parts.append(rule_counts(data, own))
-                buckets = gram_buckets(data, bits)
-                value = np.zeros(len(data) + 1)
-                ok = inside(own, len(buckets))
-                np.cumsum(np.append(table[buckets] * ok, np.zeros(len(data) - len(buckets))), out=value[1:])
-                grams = np.maximum(np.diff(own) - 3, 1)
-                scores.append((value[own[1:]] - value[own[:-1]]) / grams)
-            cols = [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64)) for c in COUNTS]
-            llr = pa.array(np.round(np.concatenate(scores), 9) if scores else np.zeros(0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, llr], names=[key, *COUNTS, "llr"])
-
-    schema = struct_of(f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", llr double")
+            m = measured(batch.column(1), shared.value)
+            cols = [pa.array(m[c]) for c in (*COUNTS, "llr")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array(failed(m))], names=[key, *COUNTS, "llr", "base_failed"])
+
+    schema = struct_of(f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", llr double, base_failed boolean")
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
+def fitted(docs: DataFrame, trusted: DataFrame, share: float, text: str, key: str) -> tuple[np.ndarray, DataFrame, float]:
+    """The log ratios, the scored rows, and the score from which on a text is kept."""
+    ids = cut(trusted.select(F.col(key).alias("_id")).where("_id is not null").distinct())
+    ids, count = ids.withColumn("_trusted", F.lit(True)), ids.count()
+    marked = docs.select(F.col(key), F.col(text)).join(small(ids, count), F.col(key) == F.col("_id"), "left")
+    ratios = log_ratios(gram_counts(marked.select(text, F.coalesce("_trusted", F.lit(False)).alias("_trusted"))))
+    rows = cut(scored(docs, ratios, text, key))
+    good = rows.where("not base_failed").join(small(ids, count), F.col(key) == F.col("_id"), "left_semi")
+    return ratios, rows, threshold(good, share)
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", share: float = SHARE) -> DataFrame:
     """(key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr): one row per row.
 
@@ -92,16 +108,23 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key:
     Counts cover all rows. Null and empty texts have no words and fail. Null ids are never trusted; repeated rows are
     counted and judged each for itself. The driver holds 2**BITS counts, and a histogram of trusted scores by steps.
     """
-    ids = trusted.select(F.col(key).alias("_id")).where("_id is not null").distinct()
-    ids = ids.withColumn("_trusted", F.lit(True))
-    marked = docs.select(F.col(key), F.col(text)).join(small(ids, trusted.count()), F.col(key) == F.col("_id"), "left")
-    ratios = log_ratios(gram_counts(marked.select(text, F.coalesce("_trusted", F.lit(False)).alias("_trusted"))))
-    rows = cut(scored(docs, ratios, text, key))
-    rows = rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    level = threshold(rows.where("not base_failed").join(small(ids, trusted.count()), F.col(key) == F.col("_id"), "left_semi"), share)
+    _, rows, level = fitted(docs, trusted, share, text, key)
     return rows.select(key, *COUNTS, "base_failed", F.expr(f"not base_failed and llr >= {level!r}D").alias("kept"), "llr")
 
 
+def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", share: float = SHARE) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, with their own columns; rows are judged as they stream, unshuffled."""
+    ratios, _, level = fitted(docs, trusted, share, text, key)
+    shared, at = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = measured(batch.column(at), shared.value)
+            yield batch.filter(pa.array(~failed(m) & (m["llr"] >= level)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def threshold(rows: DataFrame, share: float) -> float:
     """The score below which at most `share` of the rows lie, less SLACK; from a histogram of steps of 0.001."""
     steps = sorted((r[0], r[1]) for r in rows.groupBy(F.floor(F.col("llr") * 1000).alias("step")).count().collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts
+from docloom.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_counts
 from docloom.llm.common import documents
 
 
@@ -31,10 +31,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir), texts=False)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir).where("quality = 1"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).drop("source", "copies", "text_crc")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_spans(documents(spark, sf_dir)))
 
@@ -53,11 +61,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),
+low AS (SELECT k, min(doc_id) AS first_id FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM win JOIN low USING (k) WHERE first_id < doc_id),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    (('0x' || substr(md5(doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, 3 * source_size AS cap, 3 * source_size / w AS level_at FROM s),
+o AS (SELECT *, row_number() OVER f AS nth, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+    FROM c WINDOW f AS (ORDER BY level_at, source NULLS LAST), b AS (ORDER BY level_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m AS (SELECT min_by(level, nth) AS common FROM o WHERE level <= level_at),
+t AS (SELECT source, source_size, least(w * coalesce(common, 'inf'::DOUBLE), cap::DOUBLE) AS target FROM o CROSS JOIN m),
+r AS (SELECT *, floor(least(target / nullif(source_size, 0), 3.0::DOUBLE)) AS whole FROM t),
+q AS (SELECT *, greatest(target - whole * source_size, 0::DOUBLE) AS rest, greatest(target - whole * source_size, 0::DOUBLE) / source_size AS p FROM r),
+a AS (SELECT d.*, source_size, target, whole, rest, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS odds FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS upto FROM a WHERE odds IS NOT NULL AND size > 0),
+x AS (SELECT *, min(CASE WHEN upto > rest THEN upto END) OVER (PARTITION BY source) AS stop FROM k),
+y AS (SELECT *, stop IS NULL OR upto < stop AS chosen FROM x),
+g AS (SELECT source, max(rest) - coalesce(sum(size) FILTER (chosen), 0) AS gap, bool_or(NOT chosen) AS more FROM y GROUP BY source),
+f AS (SELECT y.source, min_by(doc_id, (abs(size - gap), odds, doc_id)) AS filler FROM y JOIN g ON y.source IS NOT DISTINCT FROM g.source WHERE NOT chosen AND gap > 0 AND size < 2 * gap GROUP BY y.source)
+SELECT a.doc_id, a.size, a.source_size, a.target,
+    CASE WHEN a.size > 0 THEN a.size * (a.whole::BIGINT + CASE WHEN y.chosen OR a.doc_id = f.filler THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
+FROM a LEFT JOIN y ON a.doc_id = y.doc_id LEFT JOIN f ON a.source IS NOT DISTINCT FROM f.source
+"""
+
 OP8_SQL = """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_substring_dedup, op5_quality_rules, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
-ORACLES = {"op8_exact_dedup": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_substring_dedup, op4_sharding, op5_quality_rules, op6_mixing, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
