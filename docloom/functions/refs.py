@@ -59,7 +59,7 @@ OLE_SIGNATURE = "D0CF11E0A1B11AE1"
 def signature(content: Column) -> Column:
     """zip, ole, rtf or none, from the first bytes alone."""
     head = F.hex(F.substring(content, 1, 8))
-    rtf = F.decode(F.substring(content, 1, 32), F.lit("ISO-8859-1")).rlike(r"^\{\\rtf[0-9]")
+    rtf = F.decode(F.substring(content, 1, 32), "ISO-8859-1").rlike(r"^\{\\rtf[0-9]")
     return F.when(F.substring(head, 1, 8).isin(*ZIP_SIGNATURES), "zip").when(head == OLE_SIGNATURE, "ole").when(rtf, "rtf").otherwise("none")
 
 
