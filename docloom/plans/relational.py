@@ -337,10 +337,10 @@ def exit_code_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", kind.alias("kind")).withColumn("code", resolve.exit_code(F.col("kind")))
 
 
-@query("""WITH e AS (SELECT p_partkey % 20 AS doc, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand || '/' || p_size) || '/' ELSE p_brand || '/' || p_size END AS name FROM part)
+@query("""WITH e AS (SELECT p_partkey % 20 AS doc, CASE WHEN p_partkey % 3 = 0 THEN upper(p_brand || '/' || p_size % 5) || '/' ELSE p_brand || '/' || p_size % 5 END AS name FROM part)
 SELECT doc, lower(regexp_replace(name, '/$', '')) AS key, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1""")
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.concat_ws("/", "p_brand", F.col("p_size").cast("string"))
+    plain = F.concat_ws("/", "p_brand", (F.col("p_size") % 5).cast("string"))
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper(plain), F.lit("/"))).otherwise(plain)
     return resolve.name_collisions(table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("doc"), name.alias("name")), "doc", "name")
 

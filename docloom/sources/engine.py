@@ -38,7 +38,10 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", limit: int = MAX_INPUT) -> DataFrame:
-    """(path, length, content) of the files below path; larger ones than the limit are not read at all."""
+    """(path, length, content) of the files below path; larger ones than the limit are not read at all.
+
+    Spark passes over files of no bytes, and so does this.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return files.where(F.col("length") <= limit).select("path", "length", "content")
 
