@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Evaluate once into a Parquet table in the shared folder: (the table, a call that deletes it).
+
+    For tables of many rows, which take a fraction of a checkpoint's space. What is left goes when the session ends.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
+    folder = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder), lambda: files.delete(path, True)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if its counted rows are within the limit; else Spark shuffles it."""
     return F.broadcast(df) if rows <= limit else df.hint("merge")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import _SPACE, cut, mix, signed, slices, small, struct_of, text_buffer, window_hashes, word_hashes
+from docloom.llm.common import cut, signed, slices, small, store, struct_of, text_buffer, window_hashes, word_hashes
 
 #: Rows of short structs (a key and lists of places) that may be broadcast.
 PLACES = 500_000
@@ -128,31 +128,40 @@ def with_places(docs: DataFrame, alive: DataFrame, key: str, how: str) -> DataFr
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:
     """(key, places): where windows start that also start in another document."""
-    both = rows.groupBy("hash").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select(F.col("hash").alias("_hash"))
-    return _gathered(rows.join(both.hint("rebalance"), F.col("hash") == F.col("_hash"), "left_semi"), key)
+    both = cut(rows.groupBy("hash").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select(F.col("hash").alias("_hash")))
+    found = rows.join(small(both.hint("rebalance"), both.count()), F.col("hash") == F.col("_hash"), "left_semi")
+    return found.groupBy(key).agg(F.collect_list("pos").alias("places"))
 
 
 def later(rows: DataFrame, key: str) -> DataFrame:
-    """(key, places): where windows start that also start in a document with a smaller key."""
+    """(key, places): runs of windows that also start in a document with a smaller key, as start and end in turn."""
     least = rows.groupBy("hash").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).where("_lo <> _hi").select(F.col("hash").alias("_hash"), "_lo")
-    return _gathered(rows.join(least.hint("rebalance"), F.col("hash") == F.col("_hash")).where(F.col("_lo") < F.col(key)), key)
+    found = rows.join(least.hint("rebalance"), F.col("hash") == F.col("_hash")).where(F.col("_lo") < F.col(key))
+    gathered = found.groupBy(key).agg(F.collect_list("pos").alias("places"))
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column(1):
+                at = np.unique(places.values.to_numpy())
+                first = np.flatnonzero(np.append(True, np.diff(at) > 1))
+                out.append(np.stack([at[first], at[np.append(first[1:], len(at)) - 1] + 1], axis=1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "places"])
 
-def _gathered(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.collect_list("pos").alias("places"))
+    kind = rows.schema[key].dataType.simpleString()
+    return gathered.mapInArrow(runs, struct_of(f"`{key}` {kind}, places array<int>"))
 
 
 def removed_words(docs: DataFrame, length: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, places array<int>): starts of the windows of `length` words that also start in a smaller document."""
+    """(key, places array<int>): runs of windows of `length` words that also start in a smaller document."""
     steps = ladder(length)
-    rows = cut(first_level(docs, length, steps[0], text, key))
-    alive, before = cut(repeated(rows, key) if len(steps) > 1 else later(rows, key)), None
+    rows, discard = store(first_level(docs, length, steps[0], text, key))
+    alive = cut(repeated(rows, key) if len(steps) > 1 else later(rows, key))
     for k, size in enumerate(steps[1:], 1):
-        if alive.isEmpty():
-            break
-        rows = next_level(docs, alive, length, size, text, key, steps[0] if k == 1 else None)
-        rows = cut(rows)
+        discard()
+        rows, discard = store(next_level(docs, alive, length, size, text, key, steps[0] if k == 1 else None))
         alive = cut(later(rows, key) if size == length else repeated(rows, key))
+    discard()
     return alive
 
 
@@ -181,10 +190,10 @@ def substring_dedup(docs: DataFrame, length: int = 50, text: str = "text", key:
                 total = len(words)
                 if places[i].is_valid:
                     flags = np.zeros(total + 1, np.int32)
-                    at = np.unique(places[i].values.to_numpy())
-                    at = at[at + length <= total]
-                    np.add.at(flags, at, 1)
-                    np.add.at(flags, at + length, -1)
+                    runs = places[i].values.to_numpy().reshape(-1, 2)
+                    runs = runs[runs[:, 0] + length <= total]
+                    np.add.at(flags, runs[:, 0], 1)
+                    np.add.at(flags, np.minimum(runs[:, 1] - 1 + length, total), -1)
                     words = [w for w, c in zip(words, np.cumsum(flags[:-1]).tolist()) if not c]
                 kept = b" ".join(words)
                 n.append(total)
