@@ -19,7 +19,7 @@ from docloom.llm.features import gram_buckets, inside, rule_counts
 
 BITS = 14
 #: Share of the trusted documents whose score may lie below the threshold, and the slack below that score.
-SHARE, SLACK = 0.005, 0.1
+SHARE, SLACK = 0.005, 0.25
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
