@@ -246,12 +246,11 @@ def convert_package(path: str, files: dict[str, bytes]) -> Result:
         return Result(path, "rtfd", "error", "invalid_input", f"Invalid RTFD input at {path}: the RTF header is missing")
     result = Result(path, "rtfd", "ok")
     try:
-        html, pictures = rtf.rtf_html(body)
+        html, pictures = rtf.rtf_html(body, mark_colours=True, attachments=files)
         _from_html(result, html, pictures)
     except ERRORS as e:
         return Result(path, "rtfd", "error", "invalid_input", str(e))
-    shown = {n for n in files if f"[[{n}]]" in (result.markdown or "")}
-    left = sorted(n for n in files if n != "TXT.rtf" and not n.startswith(".") and n not in shown)
+    left = sorted(n for n in files if n != "TXT.rtf" and not n.startswith(".") and n not in pictures)
     result.warnings = [warning("richText.attachmentNotRepresented", n) for n in left]
     return result
 

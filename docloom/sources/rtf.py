@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import escape
+from urllib.parse import quote
 
 HEADER = re.compile(rb"\{\\rtf[0-9]")
 _TOKEN = re.compile(rb"\\([a-zA-Z]+)(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|([^\\{}\r\n]+)|[\r\n]+")
@@ -14,6 +15,8 @@ _CHARS = {b"tab": " ", b"emdash": "—", b"endash": "–", b"bullet": "•", b"l
 _PICTURES = {b"pngblip": "png", b"jpegblip": "jpg"}
 #: Largest difference of colour components (0 to 255) that still counts as grey.
 GREY = 5
+#: A mark of a run that is not an element.
+COLOUR = "=="
 
 
 def colours(data: bytes) -> list[tuple[int, int, int]]:
@@ -30,8 +33,13 @@ def loses_colour(data: bytes) -> bool:
     return any(int(n) in bright for n in re.findall(rb"\\(?:highlight|chcbpat|cb|cf)(\d+)", data))
 
 
-def rtf_html(data: bytes) -> tuple[str, dict[str, bytes]]:
-    """(HTML, pictures by name)."""
+def rtf_html(data: bytes, mark_colours: bool = False, attachments: dict[str, bytes] | None = None) -> tuple[str, dict[str, bytes]]:
+    """(HTML, pictures by name). mark_colours: text in a colour that is not grey stands between == marks, line by line.
+
+    attachments: files of a folder package; those that the text shows are among the pictures.
+    """
+    bright = {i for i, c in enumerate(colours(data)) if max(c) - min(c) > GREY} if mark_colours else set()
+    attachments = attachments or {}
     files: dict[str, bytes] = {}
     paragraphs: list[str] = []
     rows: list[list[str]] = []
@@ -39,21 +47,30 @@ def rtf_html(data: bytes) -> tuple[str, dict[str, bytes]]:
     runs: list[tuple[frozenset, str]] = []
     state = {"marks": frozenset(), "skip": False, "uc": 1, "picture": None}
     stack: list[dict] = []
-    drop, fresh, at = 0, False, 0
+    drop, fresh, graphic, at = 0, False, False, 0
 
     def text(s: str) -> None:
         if not state["skip"]:
             runs.append((state["marks"], s))
 
     def taken() -> str:
-        out = ""
+        out = shown = ""
+
+        def settle() -> str:
+            core = shown.strip()
+            at = shown.find(core)
+            return f"{shown[:at]}=={core}=={shown[at + len(core) :]}" if core else shown
+
         for marks, s in _joined(runs):
             body = s if s.startswith("<") else escape(s, quote=False)
-            for m in sorted(marks):
+            for m in sorted(marks - {COLOUR}):
                 body = f"<{m}>{body}</{m}>" if body.strip() else body
-            out += body
+            if COLOUR in marks and not s.startswith("<"):
+                shown += body
+            else:
+                out, shown = out + settle() + body, ""
         runs.clear()
-        return out
+        return out + settle()
 
     def end_table() -> None:
         if rows:
@@ -88,6 +105,10 @@ def rtf_html(data: bytes) -> tuple[str, dict[str, bytes]]:
             state["picture"] = _PICTURES[word], []
         elif word in _MARKS:
             state["marks"] = state["marks"] - {_MARKS[word]} if number == b"0" else state["marks"] | {_MARKS[word]}
+        elif word == b"cf" and bright:
+            state["marks"] = state["marks"] | {COLOUR} if int(number or 0) in bright else state["marks"] - {COLOUR}
+        elif word == b"NeXTGraphic":
+            graphic = True
         elif word in (b"plain", b"pard"):
             state["marks"] = frozenset() if word == b"plain" else state["marks"]
         elif word == b"uc":
@@ -117,6 +138,13 @@ def rtf_html(data: bytes) -> tuple[str, dict[str, bytes]]:
         elif plain:
             if state["picture"]:
                 state["picture"][1].append(plain)
+            if graphic:  # the name of an attachment; the character that stands for it comes after the group
+                name = plain.decode("utf-8", "replace").strip()
+                if name in attachments:
+                    files[name] = attachments[name]
+                    runs.append((frozenset(), f'<img src="{escape(quote(name))}" alt="">'))
+                graphic, drop = False, 1
+                continue
             if drop:
                 plain, drop = plain[drop:], max(0, drop - len(plain))
             text(plain.decode("cp1252", "replace"))

@@ -133,6 +133,14 @@ def test_rtf():
     assert [m.rpartition(": ")[2] for _, m in p.warnings] == ["a.pdf", "b.pdf"] and p.markdown == "x\n"
 
 
+def test_rtfd_colours_and_attachments():
+    head = b"{\\rtf1{\\colortbl;\\red128\\green0\\blue128;\\red90\\green90\\blue90;}"
+    body = b"Plain \\cf1 Purple one\\line Purple \\b two\\b0 \\cf2  Gray\\par {{\\NeXTGraphic a b.png \\width10}\\'ac}\\par}"
+    p = convert_package("/x/a.rtfd", {"TXT.rtf": head + body, "a b.png": b"png", "c.png": b"x"})
+    assert p.markdown == "Plain ==Purple one==  \n==Purple **two**== Gray\n\n![](images/image01.png)\n"
+    assert p.assets == {"images/image01.png": b"png"} and [m.rpartition(": ")[2] for _, m in p.warnings] == ["c.png"]
+
+
 def test_tsv():
     cells = ["a\tb", "c\nd", "e\\f", "\\n", "`" * 3]
     assert [unescaped_tsv(tsv_cell(c)) for c in cells] == cells
