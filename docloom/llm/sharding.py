@@ -41,9 +41,10 @@ def split_at(node: DataFrame, spot: Column, want: float, total: float) -> int:
     while width > 1:
         step = max(1, width // BINS)
         bucket = F.floor((F.col("_at") - lo) / step).cast("long")
-        sums = node.withColumn("_at", spot).where((F.col("_at") >= lo) & (F.col("_at") < lo + width)).groupBy(bucket.alias("b")).agg(F.sum("bytes").alias("s")).collect()
+        inside = node.withColumn("_at", spot).where((F.col("_at") >= lo) & (F.col("_at") < lo + width))
+        sums = inside.groupBy(bucket.alias("b")).agg(F.sum("bytes").alias("s"), F.count("*").alias("n")).collect()
         edge = lo
-        for b, s in sorted((r[0], float(r[1])) for r in sums):
+        for b, s, n in sorted((r[0], float(r[1]), r[2]) for r in sums):
             if below + s > want:
                 edge = lo + b * step
                 break
@@ -51,7 +52,7 @@ def split_at(node: DataFrame, spot: Column, want: float, total: float) -> int:
             edge = lo + (b + 1) * step
         else:
             return edge
-        if want - below <= slack or step == 1:
+        if want - below <= slack or step == 1 or n == 1:  # near enough, or no more than one unit is left to place
             return edge if want - below <= below + s - want else edge + step
         lo, width = edge, step
     return lo
