@@ -195,9 +195,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = cut(edges)
-    mark = _state(edges)
     for _ in range(rounds):
-        if not mark[0]:
+        if _stars(edges):
             break
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -206,13 +205,11 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         star = large.join(low, "u")
         star = star.select("v", "m").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         edges = cut(star.where("u > v").distinct())
-        before, mark = mark, _state(edges)
-        if mark == before:
-            break
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-    return row[0], row[1]
+def _stars(edges: DataFrame) -> bool:
+    """Whether each id that points to another points to one that points to none."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("from"), F.lit(0).alias("to")).unionAll(edges.select(F.col("v").alias("id"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+    return ends.groupBy("id").agg(F.sum("from").alias("n"), F.max("to").alias("to")).where("n > 1 or n > 0 and to > 0").isEmpty()
