@@ -4,12 +4,13 @@ Each document is the set of its word shingles, and its signature has COORDS minw
 documents that agree on the tokens chosen on the way to it; at each node BRANCH of the coordinates are chosen by a hash
 of the path, and a document goes to the child named by its token there. Nodes of at most SMALL documents are compared
 exhaustively; larger ones branch again. TREES independent trees bring a pair at the threshold to the same node with a
-probability of about 1 - 1e-5.
+probability of about 1 - 1e-5, and signatures pass it on with about 1 - 3e-5.
 
-Only links that can join two components matter, so each node first links its members to one of them, components are
-taken from the confirmed links, and exhaustive comparison is for pairs of different components. A very large group of
-near copies is thus confirmed by one link a document and does not branch further. Every link is confirmed on the full
-sets of the two texts.
+Only links that can join two components matter. The members of each node are first linked to one of them, its lead,
+where their full sets allow it, and components are taken from these links: a very large group of near copies takes one
+link a document. Then members of different components are compared: a few that are apart from the node's main component
+with all of it, more of them among themselves, in blocks that spread over tasks. Blocks first compare signatures, and
+members that have a likely partner come together once more with their texts, for the full sets decide every link.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import components, cut, list_array, mix, small, slices, struct_of, text_buffer, window_hashes, word_hashes
 
-COORDS, TREES, BRANCH, SMALL, FIRST, DEEPEST = 128, 5, 2, 256, 2, 8
+#: Nodes of at most SMALL documents, or with at most FEW apart from their main component, are compared exhaustively.
+COORDS, TREES, BRANCH, SMALL, FEW, FIRST, DEEPEST = 128, 4, 2, 4096, 256, 2, 8
+#: Documents of a block, of which two meet.
+BLOCK = 1024
 SEED = 20240611
 
 _RNG = np.random.Generator(np.random.PCG64(SEED))
@@ -54,7 +58,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def shingle_features(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
-    """(key, n_shingles, set_a, set_b, sig): set_a and set_b are two hashes of the set."""
+    """(key, n_shingles, set_a, set_b, sig, mini): two hashes of the set, its signature, and a byte of each coordinate."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +73,14 @@ def shingle_features(docs: DataFrame, size: int, text: str, key: str) -> DataFra
                     if len(s):
                         sigs.append(signature(s))
             count = np.array(n, np.int64)
-            sig = list_array(np.concatenate([*sigs, np.zeros(0, np.uint32)]).view(np.int32), np.append(0, np.cumsum(np.where(count > 0, COORDS, 0))), pa.int32())
-            cols = [batch.column(0), pa.array(count), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)), sig]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "n_shingles", "set_a", "set_b", "sig"])
+            flat = np.concatenate([*sigs, np.zeros(0, np.uint32)])
+            ends = np.append(0, np.cumsum(np.where(count > 0, COORDS, 0))).astype(np.int32)
+            sig = list_array(flat.view(np.int32), ends, pa.int32())
+            mini = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(ends), pa.py_buffer((flat >> np.uint32(24)).astype(np.uint8))])
+            cols = [batch.column(0), pa.array(count), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)), sig, mini]
+            yield pa.RecordBatch.from_arrays(cols, names=[key, "n_shingles", "set_a", "set_b", "sig", "mini"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, struct_of(f"`{key}` {kind}, n_shingles long, set_a long, set_b long, sig array<int>"))
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, struct_of(f"`{key}` {kind}, n_shingles long, set_a long, set_b long, sig array<int>, mini binary"))
 
 
 def children(path: Column, sig: Column) -> list[Column]:
@@ -112,35 +119,120 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int,
 
 
 def alike(num: int, den: int) -> int:
-    """Agreeing coordinates from which on a pair is confirmed: 3.6 standard deviations under the threshold."""
+    """Agreeing coordinates from which on a pair is confirmed: 4 standard deviations under the threshold."""
     p = num / den
-    return int(COORDS * p - 3.6 * (COORDS * p * (1 - p)) ** 0.5)
+    return int(COORDS * p - 4 * (COORDS * p * (1 - p)) ** 0.5)
+
+
+def hopeful(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, mini: pa.Array, num: int, den: int) -> np.ndarray:
+    """Which members of a block have a partner in another component that they may link with."""
+    order = by_component(comp)
+    sig = np.frombuffer(b"".join(mini.to_pylist()), np.uint8).reshape(len(ids), COORDS)[order]
+    comp, n = comp[order], n[order]
+    found, least = np.zeros(len(ids), bool), alike(num, den)
+    for k in range(int((comp != comp[-1]).sum())):
+        at = np.flatnonzero((comp[k + 1 :] != comp[k]) & (den * np.minimum(n[k + 1 :], n[k]) >= num * np.maximum(n[k + 1 :], n[k]))) + k + 1
+        at = at[(sig[at] == sig[k]).sum(1) >= least]
+        found[at] = True
+        found[k] |= len(at) > 0
+    out = np.zeros(len(ids), bool)
+    out[order] = found
+    return out
 
 
-def exhaustive(nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """nodes(path, members array<struct<id, comp, n, sig>>) -> pairs (a, b) of different components that may link."""
-    kind = nodes.schema["members"].dataType.elementType["id"].dataType.simpleString()
-    least = alike(num, den)
+def by_component(comp: np.ndarray) -> np.ndarray:
+    """An order in which the largest component comes last: there is nothing to look for in it."""
+    _, at, count = np.unique(comp, return_inverse=True, return_counts=True)
+    last = at == int(np.argmax(count))
+    return np.argsort(last, kind="stable")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def signature_pass(rows: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """rows(block, id, comp) -> (block, id, comp): members with a likely partner. Blocks have a bounded size.
+
+    Blocks of one component are left out first; small ones travel as lists, larger ones as groups.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    rows = cut(rows)
+    sizes = rows.groupBy("block").agg(F.count("*").alias("_k"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("block", "_k")
+    rows = cut(rows.join(sizes.hint("rebalance"), "block"))
+    full = lambda some: some.join(reps.select("id", "n", "mini").hint("merge"), "id")
+    lists = full(rows.where("_k <= 64")).groupBy("block").agg(F.collect_list(F.struct("id", "comp", "n", "mini")).alias("members"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            members = batch.column(batch.schema.get_field_index("members"))
-            for i in range(len(members)):
+            blocks, ids, comps = [], [], []
+            members = batch.column(1)
+            for i, block in enumerate(batch.column(0).to_pylist()):
                 own = members[i].values
-                ids, comp, n = (own.field(f).to_numpy(zero_copy_only=False) for f in ("id", "comp", "n"))
-                sig = own.field("sig").flatten().to_numpy().reshape(len(ids), COORDS)
-                for k in range(len(ids) - 1):
-                    ok = (comp[k + 1 :] != comp[k]) & (den * np.minimum(n[k + 1 :], n[k]) >= num * np.maximum(n[k + 1 :], n[k]))
-                    at = np.flatnonzero(ok) + k + 1
-                    at = at[(sig[at] == sig[k]).sum(1) >= least]
-                    left.append(np.full(len(at), ids[k]))
-                    right.append(ids[at])
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    pairs = nodes.select("members").mapInArrow(run, struct_of(f"a {kind}, b {kind}"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                got = [own.field(f).to_numpy(zero_copy_only=False) for f in ("id", "comp", "n")]
+                ok = hopeful(*got, own.field("mini"), num, den)
+                blocks.append(np.full(int(ok.sum()), block))
+                ids.append(got[0][ok])
+                comps.append(got[1][ok])
+            cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (blocks, ids, comps)]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "id", "comp"])
+
+    def single(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        got = [table[f].to_numpy() for f in ("id", "comp", "n")]
+        return table.select(["block", "id", "comp"]).filter(pa.array(hopeful(*got, table["mini"], num, den)))
+
+    schema = struct_of(f"block long, id {kind}, comp {kind}")
+    large = full(rows.where("_k > 64")).select("block", "id", "comp", "n", "mini").groupBy("block").applyInArrow(single, schema)
+    return lists.mapInArrow(listed, schema).unionAll(large)
+
+
+def set_pass(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """rows(block, id, comp, text) -> links (a, b) that join components, by the full sets of a block's texts."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+        raw, offsets = text_buffer(table["text"])
+        sets = [s for a, b in slices(offsets) for s in shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)]
+        order = by_component(comp)
+        ids, comp, sets = ids[order], comp[order], [sets[i] for i in order]
+        n = np.array([len(s) for s in sets])
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        start = np.append(0, np.cumsum(n))
+        mark = np.zeros(len(names), bool)
+        left, right = [], []
+        comp = comp.copy()  # links join components as they are found, so a block gives fewer links than it has members
+        for k in range(len(ids) - 1):
+            if not (comp[k + 1 :] != comp[k]).any():
+                continue
+            mark[flat[start[k] : start[k + 1]]] = True
+            shared = np.concatenate([[0], np.cumsum(mark[flat[start[k + 1] :]])])
+            inter = shared[start[k + 2 :] - start[k + 1]] - shared[start[k + 1 : -1] - start[k + 1]]
+            mark[flat[start[k] : start[k + 1]]] = False
+            at = np.flatnonzero((comp[k + 1 :] != comp[k]) & (den * inter >= num * (n[k + 1 :] + n[k] - inter))) + k + 1
+            joined, first = np.unique(comp[at], return_index=True)
+            left.append(np.full(len(first), ids[k]))
+            right.append(ids[at[first]])
+            comp[np.isin(comp, joined)] = comp[k]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("block").applyInArrow(linked, struct_of(f"a {kind}, b {kind}")).distinct()
+
+
+def in_blocks(members: DataFrame, mixed: DataFrame) -> DataFrame:
+    """members(path, id, comp) of mixed(path, size, main, apart) nodes, dealt to blocks of a bounded size.
+
+    With few members apart, the main component is dealt out and these go to all blocks; else each pair of blocks meets.
+    """
+    rows = members.select("path", "id", "comp").join(mixed.select("path", "size", "main", "apart").hint("merge"), "path")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
+    rows = rows.withColumn("_parts", parts).withColumn("_at", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    every = F.sequence(F.lit(0), F.col("_parts") - 1)
+    own = F.array(F.struct(F.col("_at").alias("i"), F.col("_at").alias("j")))
+    spread = F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j")))
+    meet = F.transform(every, lambda x: F.struct(F.least(x, F.col("_at")).alias("i"), F.greatest(x, F.col("_at")).alias("j")))
+    spots = F.when(F.col("_parts") == 1, own).when(F.col("apart") > FEW, meet).when(F.col("comp") == F.col("main"), own).otherwise(spread)
+    rows = rows.withColumn("_spot", F.explode(spots))
+    return rows.select(F.xxhash64("path", "_spot.i", "_spot.j").alias("block"), "id", "comp")
 
 
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -156,8 +248,8 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     feats = cut(shingle_features(docs, size, text, key))
     own = ["n_shingles", "set_a", "set_b"]
-    sets = cut(feats.where("n_shingles > 0").groupBy(*own).agg(F.min(key).alias("id"), F.any_value("sig").alias("sig")))
-    reps = sets.where("id is not null").select("id", F.col("n_shingles").alias("n"), "sig")
+    sets = cut(feats.where("n_shingles > 0").groupBy(*own).agg(F.min(key).alias("id"), F.any_value("sig").alias("sig"), F.any_value("mini").alias("mini")))
+    reps = sets.where("id is not null").select("id", F.col("n_shingles").alias("n"), "sig", "mini")
 
     paths = [F.xxhash64(F.lit(SEED), F.lit(t)) for t in range(TREES)]
     for _ in range(FIRST):
@@ -166,58 +258,43 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     kind = reps.schema["id"].dataType
     spark = docs.sparkSession
     links = spark.createDataFrame([], struct_of(f"a {kind.simpleString()}, b {kind.simpleString()}"))
-    pending, comp, deep = [], None, None
+    nodes = tree_nodes(frontier)
+    members = cut(frontier.join(nodes.hint("merge"), "path").select("path", "id", "size", "lead", "sum"))
+    star = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut(links.unionAll(confirmed(likely(star, reps, num, den), docs, size, num, den, text, key)))
+    comp = cut(components(links))
 
+    blocks = []
     for depth in range(FIRST, DEEPEST + 1):
-        frontier = frontier.distinct() if depth > FIRST else frontier
-        nodes = frontier.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum")).where("size > 1")
-        nodes = cut(nodes)
-        # small nodes with the same members are one node
-        once = nodes.where(f"size <= {SMALL}").groupBy("size", "lead", "sum").agg(F.min("path").alias("path")).select("path", "size", "lead")
-        nodes = once.unionAll(nodes.where(f"size > {SMALL}").select("path", "size", "lead"))
-        members = cut(frontier.join(nodes.hint("merge"), "path").select("path", "id", "size", "lead"))
-        if members.isEmpty():
-            break
-        star = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        star = likely(star, reps, num, den)
-        if comp is not None:
-            star = apart(star, comp)
-        links = cut(links.unionAll(confirmed(star, docs, size, num, den, text, key)))
-        comp = cut(components(links))
         placed = members.join(comp.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left").withColumn("comp", F.coalesce("component", "id")).drop("_id", "component")
         placed = cut(placed)
-        mixed = placed.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("path")
-        open_rows = cut(placed.join(mixed.hint("merge"), "path", "left_semi"))
-        full = open_rows.where(f"size <= {SMALL}").join(reps.hint("merge"), "id")
-        groups = full.groupBy("path").agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("members"))
-        pending.append(cut(exhaustive(groups, num, den)))
-        heavy = open_rows.where(f"size > {SMALL}")
-        if heavy.isEmpty():
-            break
-        if depth == DEEPEST:
-            deep = heavy
+        parts = placed.groupBy("path", "size", "lead", "sum", "comp").agg(F.count("*").alias("k"))
+        mixed = parts.groupBy("path", "size", "lead", "sum").agg(F.max_by("comp", "k").alias("main"), F.max("k").alias("k")).where("k < size")
+        mixed = cut(mixed.withColumn("apart", F.col("size") - F.col("k")))
+        wide = F.lit(False) if depth == DEEPEST else (F.col("apart") > FEW) & (F.col("size") > SMALL)
+        once = mixed.where(~wide).groupBy("size", "lead", "sum").agg(F.min_by(F.struct("path", "main", "apart"), "path").alias("x")).select("size", "x.*")
+        blocks.append(in_blocks(placed, once))
+        heavy = mixed.where(wide).select("path")
+        if depth == DEEPEST or heavy.isEmpty():
             break
-        grown = heavy.select("path", "id").join(reps.hint("merge"), "id")
-        frontier = grown.select("id", F.explode(F.array(*children(F.col("path"), F.col("sig")))).alias("path"))
-
-    if deep is not None:  # what no branching parts is compared in blocks, every pair of blocks once
-        half = SMALL // 2
-        rows = deep.join(reps.hint("merge"), "id").withColumn("_of", F.ceil(F.col("size") / half).cast("int"))
-        rows = rows.withColumn("_at", F.pmod(F.xxhash64("id"), F.col("_of")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-        groups = rows.groupBy("path", F.least("_at", "_with").alias("_i"), F.greatest("_at", "_with").alias("_j")).agg(F.collect_list(F.struct("id", "comp", "n", "sig")).alias("members"))
-        pending.append(cut(exhaustive(groups, num, den)))
-    if pending:
-        pairs = pending[0]
-        for p in pending[1:]:
-            pairs = pairs.unionAll(p)
-        pairs = cut(apart(pairs.distinct(), comp))
-        if not pairs.isEmpty():
-            links = cut(links.unionAll(confirmed(pairs, docs, size, num, den, text, key)))
-            comp = components(links)
+        grown = placed.join(heavy.hint("merge"), "path", "left_semi").select("path", "id").join(reps.select("id", "sig").hint("merge"), "id")
+        frontier = grown.select("id", F.explode(F.array(*children(F.col("path"), F.col("sig")))).alias("path")).distinct()
+        nodes = tree_nodes(frontier)
+        members = cut(frontier.join(nodes.hint("merge"), "path").select("path", "id", "size", "lead", "sum"))
+
+    dealt = blocks[0]
+    for more in blocks[1:]:
+        dealt = dealt.unionAll(more)
+    likely_rows = cut(signature_pass(dealt, reps, num, den))
+    ids = cut(likely_rows.select(F.col("id").alias("_id")).distinct())
+    count = ids.count()
+    if count:
+        texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(small(ids, count), F.col("id") == F.col("_id"), "left_semi")
+        more = set_pass(likely_rows.join(texts, "id").select("block", "id", "comp", "text"), size, num, den)
+        links = cut(links.unionAll(more))
+        comp = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("n_links"))
-    if comp is None:
-        comp = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     named = sets.select(*own, "id").join(comp.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left")
     named = named.join(degree.hint("merge"), F.col("id") == F.col("_d"), "left")
     named = cut(named.select(*(F.col(c).alias(f"_{c}") for c in own), F.coalesce("component", "id").alias("_component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
@@ -232,6 +309,13 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return rows.select(key, "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def tree_nodes(frontier: DataFrame) -> DataFrame:
+    """frontier(path, id) -> (path, size, lead, sum) of nodes with two members at least; small equal ones once."""
+    nodes = frontier.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.sum(F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum")).where("size > 1")
+    name = F.when(F.col("size") > SMALL, F.col("path")).otherwise(F.lit(0))  # of larger ones each path branches on its own
+    return cut(nodes.groupBy("size", "lead", "sum", name).agg(F.min("path").alias("path")).select("path", "size", "lead", "sum"))
+
+
 def likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs whose sizes allow a link and whose signatures agree about enough."""
     x = reps.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("sig").alias("_sa"))
@@ -241,14 +325,6 @@ def likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     return rows.where(same >= alike(num, den)).select("a", "b")
 
 
-def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components so far."""
-    x = comp.select(F.col("id").alias("a"), F.col("component").alias("_ca"))
-    y = comp.select(F.col("id").alias("b"), F.col("component").alias("_cb"))
-    rows = pairs.join(y.hint("merge"), "b", "left").join(x.hint("merge"), "a", "left")
-    return rows.where("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
-
-
 def near_dedup(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with their own columns: of each component those with the smallest key.
 
