@@ -378,6 +378,18 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionAll(made).select("doc_id", "line", text.bullet_line(line).alias("bullet"), text.plain_rule(line).alias("rule"), text.plain_hyphen(line).alias("hyphen"))
 
 
+@query(rf"""WITH h AS ({DUCK_HOSTILE}), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM h
+    UNION ALL SELECT doc_id, -1, CASE WHEN doc_id % 2 = 0 THEN '  \_\_\_' ELSE '***• **' || chr(160) END FROM documents)
+SELECT doc_id, pos, line, regexp_replace(translate(line, '*_', ''), '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g') = '•' AS bullet,
+    CASE WHEN regexp_matches(line, '^[ \t]*(\\_){{3,}}[ \t]*$') THEN replace(line, '\_', '_') ELSE line END AS rule, regexp_replace(line, '^([ \t]*)\\-', '\1-') AS hyphen FROM l""")
+def line_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_rules over every line of each text, by position; the made lines stand at -1."""
+    lines = hostile(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    made = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1), F.when(F.col("doc_id") % 2 == 0, "  \\_\\_\\_").otherwise("***• **\u00a0"))
+    line = F.col("line")
+    return lines.unionAll(made).select("doc_id", F.col("pos").cast("long").alias("pos"), "line", text.bullet_line(line).alias("bullet"), text.plain_rule(line).alias("rule"), text.plain_hyphen(line).alias("hyphen"))
+
+
 @query("""WITH c AS (SELECT event_id, (event_id % 256) / 255.0::DOUBLE AS r, (event_id * 7 % 256) / 255.0::DOUBLE AS g, (event_id * 7 % 256 + event_id % 9) / 255.0::DOUBLE AS b, (event_id % 4) / 3.0::DOUBLE AS a FROM events)
 SELECT event_id, greatest(r, g, b) - least(r, g, b) > 0.02::DOUBLE AND a > 0.01::DOUBLE AS coloured FROM c""")
 def chromatic_flag(spark: SparkSession, sf_dir: str) -> DataFrame:

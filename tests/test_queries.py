@@ -49,3 +49,10 @@ def test_entry(spark):
 def test_hostile_content_reaches_every_rule(spark):
     changed = {n: relational.hostile(spark, DATA).exceptAll(relational.QUERIES[n](spark, DATA).toDF("doc_id", "text")).count() for n in ("tsv_cell_escape", "gfm_cell_escape", "inline_escape", "leading_escape")}
     assert all(v > 0 for v in changed.values()), changed
+
+
+def test_line_rules_reach_every_line(spark):
+    want = sorted((r.doc_id, pos, line) for r in relational.hostile(spark, DATA).where("text is not null").collect() for pos, line in enumerate(r.text.split("\n")))
+    got = relational.QUERIES["line_rules_all"](spark, DATA).where("pos >= 0")
+    assert sorted((r.doc_id, r.pos, r.line) for r in got.collect()) == want
+    assert any(pos > 0 for _, pos, _ in want)
