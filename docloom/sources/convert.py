@@ -239,14 +239,19 @@ def convert(path: str, content: bytes, rendering: str = "table") -> Result:
         return Result(path, status="error", error_kind="tool_failed", error=f"{type(e).__name__}: {e}")
 
 
-def convert_package(path: str, files: dict[str, bytes]) -> Result:
-    """A folder package of rich text (TXT.rtf and attachments); attachments that nothing shows are warned about."""
+def convert_package(path: str, files: dict[str, bytes | None]) -> Result:
+    """A folder package of rich text (TXT.rtf and attachments); attachments that nothing shows are warned about.
+
+    Files of None are over the size limit and were not read.
+    """
     body = files.get("TXT.rtf", b"")
+    if body is None:
+        return Result(path, "rtfd", "error", "invalid_input", f"Input is over the size limit and was not read: {path}/TXT.rtf")
     if not rtf.HEADER.match(body):
         return Result(path, "rtfd", "error", "invalid_input", f"Invalid RTFD input at {path}: the RTF header is missing")
     result = Result(path, "rtfd", "ok")
     try:
-        html, pictures = rtf.rtf_html(body, mark_colours=True, attachments=files)
+        html, pictures = rtf.rtf_html(body, mark_colours=True, attachments={n: data for n, data in files.items() if data is not None})
         _from_html(result, html, pictures)
     except ERRORS as e:
         return Result(path, "rtfd", "error", "invalid_input", str(e))

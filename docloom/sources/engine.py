@@ -38,12 +38,22 @@ def _arrow(ddl: str) -> pa.Schema:
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", limit: int = MAX_INPUT) -> DataFrame:
-    """(path, length, content) of the files below path; larger ones than the limit are not read at all.
+    """(path, length, content) of the files below path; larger ones than the limit have their row, and null for content.
 
     Spark passes over files of no bytes, and so does this.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.where(F.col("length") <= limit).select("path", "length", "content")
+    return within(files, limit)
+
+
+def within(files: DataFrame, limit: int) -> DataFrame:
+    """(path, length, content), content null for files over the limit; of these no byte is read."""
+    over = files.where(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= limit).select("path", "length", "content").unionAll(over)
+
+
+def _unread(path: str, length: int | None) -> str:
+    return f"Input of {'unknown' if length is None else length} bytes is over the size limit and was not read: {path}"
 
 
 def signatures(files: DataFrame) -> DataFrame:
@@ -58,19 +68,24 @@ def _row(r: one.Result) -> dict:
     }
 
 
-def _pass(files: DataFrame, ddl: str, rows) -> DataFrame:
-    """One Arrow pass over (path, content): rows(path, content) -> dicts, a few documents at a time."""
+def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
+    """One Arrow pass over (path, content): rows(path, content) -> dicts, a few documents at a time.
+
+    A file without content gives unread(path, message) -> dict instead.
+    """
     schema = _arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
-                found = rows(path.as_py(), content.as_py() or b"")
+            for path, content, length in zip(*batch.columns):
+                path, content = path.as_py(), content.as_py()
+                found = rows(path, content) if content is not None else [unread(path, _unread(path, length.as_py()))]
                 for k in range(0, len(found), 20_000):
                     yield pa.RecordBatch.from_pylist(found[k : k + 20_000], schema)
 
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    return files.select("path", "content").mapInArrow(run, _schema(ddl))
+    length = F.col("length") if "length" in files.columns else F.lit(None).cast("long").alias("length")
+    return files.select("path", "content", length).mapInArrow(run, _schema(ddl))
 
 
 def convert_documents(files: DataFrame, rendering: str = "table") -> DataFrame:
@@ -84,7 +99,10 @@ def convert_documents(files: DataFrame, rendering: str = "table") -> DataFrame:
         items = [vars(i) for i in r.items] if r.items is not None else None
         return [_row(r) | {"items": items}]
 
-    done = _pass(files, f"{RESULTS}, {ITEMS}", rows)
+    def unread(path: str, why: str) -> dict:
+        return _row(one.Result(path, status="error", error_kind="invalid_input", error=why)) | {"items": None}
+
+    done = _pass(files, f"{RESULTS}, {ITEMS}", rows, unread)
     masters = done.where("status = 'master'")
     plain = done.where("status <> 'master'").drop("items")
     return plain.unionByName(assemble_masters(masters, done.where("format = 'odt'")))
@@ -135,16 +153,22 @@ def convert_packages(files: DataFrame) -> DataFrame:
 
 
 def detections(files: DataFrame) -> DataFrame:
-    """(path, adapter_no, kind, format, priority, reason, codes): what each adapter says of each file."""
+    """(path, adapter_no, kind, format, priority, reason, codes): what each adapter says of each file.
+
+    A file over the size limit has one row of kind invalid, without adapter and format.
+    """
 
     def rows(path: str, content: bytes) -> list[dict]:
         return [{"path": path, "adapter_no": n, "kind": d.kind, "format": d.format, "priority": d.priority, "reason": d.reason, "codes": d.warnings} for n, d in enumerate(one.detectors(path, content))]
 
-    return _pass(files, "path string, adapter_no int, kind string, format string, priority int, reason string, codes array<string>", rows)
+    def unread(path: str, why: str) -> dict:
+        return {"path": path, "kind": "invalid", "priority": 0, "reason": why, "codes": []}
+
+    return _pass(files, "path string, adapter_no int, kind string, format string, priority int, reason string, codes array<string>", rows, unread)
 
 
 def document_cells(files: DataFrame) -> DataFrame:
-    """CELLS: stored cells of all readable workbooks, gaps included; files that are no workbooks give none."""
+    """CELLS: stored cells of all readable workbooks, gaps included; files that are no workbooks or over the size limit give none."""
     names = [f.name for f in _schema(CELLS)]
     office = files.where(refs.signature(F.col("content")).isin("zip", "ole"))  # a cheap look before any parse
 
@@ -152,12 +176,12 @@ def document_cells(files: DataFrame) -> DataFrame:
         book = one.convert(path, content).book
         return [dict(zip(names, (path, *c))) for c in book.cells()] if book else []
 
-    return _pass(office, CELLS, rows)
+    return _pass(office, CELLS, rows, None)  # files without content have no signature
 
 
 def zip_entries(files: DataFrame) -> DataFrame:
-    """ENTRIES of packages that pass the gate; of others one row with the error."""
-    zips = files.where(refs.signature(F.col("content")) == "zip")
+    """ENTRIES of packages that pass the gate; of others, and of any file over the size limit, one row with the error."""
+    zips = files.where((refs.signature(F.col("content")) == "zip") | F.col("content").isNull())
 
     def rows(path: str, content: bytes) -> list[dict]:
         try:
@@ -166,7 +190,7 @@ def zip_entries(files: DataFrame) -> DataFrame:
             return [{"path": path, "error": str(e)}]
         return [{"path": path, "idx": e.idx, "name": e.name, "raw_name": e.raw_name, "flags": e.flags, "method": e.method, "crc": e.crc, "csize": e.csize, "usize": e.usize, "is_dir": e.is_dir} for e in package.entries.values()]
 
-    return _pass(zips, ENTRIES, rows)
+    return _pass(zips, ENTRIES, rows, lambda path, why: {"path": path, "error": why})
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from docloom.sources.engine import MAX_INPUT, convert_documents
+from docloom.sources.engine import MAX_INPUT, convert_documents, within
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """A stream of (path, length, content). No state is kept but the names that Spark has seen."""
+def watch(spark: SparkSession, path: str, files_per_batch: int = 1000, limit: int = MAX_INPUT) -> DataFrame:
+    """A stream of (path, length, content), content null over the limit. No state is kept but the names that Spark has seen."""
     stream = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").load(path)
-    return stream.where(f"length <= {MAX_INPUT}").select("path", "length", "content")
+    return within(stream, limit)
 
 
 def convert_stream(files: DataFrame, table_path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

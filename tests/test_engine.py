@@ -55,6 +55,31 @@ def test_size_limit_is_pushed_to_the_scan(spark, folder):
     assert engine.convert_documents(files).where("format = 'xlsx'").count() == 0
 
 
+def test_files_over_the_limit_are_error_rows(spark, folder, tmp_path):
+    over = {"book.xlsx", "old.xls", "all.odm", "a.odt"}
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "20")  # a read of their content would fail the job
+    try:
+        files = engine.scan(spark, str(folder), limit=20)
+        rows = by_name(engine.convert_documents(files).collect())
+        assert len(rows) == 9 and {n for n, r in rows.items() if r.error_kind == "invalid_input" and "over the size limit" in r.error} == over
+        assert {r.path for r in engine.detections(files).where("reason like '%over the size limit%'").collect()} == {rows[n].path for n in over}
+        assert {os.path.basename(r.path) for r in engine.zip_entries(files).where("error is not null").collect()} == over
+        assert engine.document_cells(files).count() == 0
+        (package,) = engine.convert_packages(engine.scan(spark, str(folder), limit=12)).collect()
+        assert (package.status, [w.message[-9:] for w in package.warnings]) == ("ok", ["extra.pdf"])
+        (folder / "note.rtfd" / "extra.pdf").write_bytes(b"p" * 13)
+        (package,) = engine.convert_packages(engine.scan(spark, str(folder), limit=12)).collect()
+        assert (package.status, [w.message[-9:] for w in package.warnings]) == ("ok", ["extra.pdf"])
+        (package,) = engine.convert_packages(engine.scan(spark, str(folder), limit=5)).collect()
+        assert package.status == "error" and "over the size limit" in package.error
+        table, marks = str(tmp_path / "table"), str(tmp_path / "marks")
+        watch.convert_stream(watch.watch(spark, str(folder), limit=20), table, marks, once=True).awaitTermination()
+        streamed = spark.read.parquet(table)
+        assert streamed.count() == 9 and streamed.where("error like '%over the size limit%'").count() == 4
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_cells_entries_detections(spark, folder):
     files = engine.scan(spark, str(folder), "*.xls*")
     cells = engine.document_cells(files).collect()
