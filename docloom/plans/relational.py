@@ -155,6 +155,25 @@ def link_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.link_fill(cells, links, ["sheet"])
 
 
+@query("""WITH cell AS (SELECT l_suppkey % 7 AS sheet, l_linenumber AS r, (l_partkey % 9)::INT AS c FROM lineitem WHERE (l_suppkey % 7 * 5 + l_linenumber * 3 + l_partkey % 9) % 4 <> 0 GROUP BY ALL),
+link AS (SELECT s_suppkey AS link, s_suppkey % 7 AS sheet, s_suppkey % 5 AS r0, s_suppkey % 6 AS c0, s_suppkey % 5 + s_nationkey % 4 AS r1, s_suppkey % 6 + s_nationkey % 3 AS c1,
+    CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_name END AS display FROM supplier),
+rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link WHERE display <> ''),
+area AS (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS c FROM rows)
+SELECT sheet, a.r, a.c, min_by(display, link) AS display FROM area a ANTI JOIN cell USING (sheet, r, c) GROUP BY ALL""")
+def link_fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """link_fill over every row of lineitem; the gaps are cells whose display is blank, by their place."""
+    sheet, r, c = F.col("l_suppkey") % 7, F.col("l_linenumber").cast("long"), F.col("l_partkey") % 9
+    display = F.when((sheet * 5 + r * 3 + c) % 4 == 0, "").otherwise("x")
+    cells = table(spark, sf_dir, "lineitem").select(sheet.alias("sheet"), r.alias("r"), c.alias("c"), display.alias("display")).distinct()
+    s = F.col("s_suppkey")
+    links = table(spark, sf_dir, "supplier").select(
+        s.alias("link"), (s % 7).alias("sheet"), (s % 5).alias("r0"), (s % 6).alias("c0"), (s % 5 + F.col("s_nationkey") % 4).alias("r1"), (s % 6 + F.col("s_nationkey") % 3).alias("c1"),
+        F.when(s % 11 == 0, "").otherwise(F.col("s_name")).alias("display"),
+    )
+    return grid.link_fill(cells, links, ["sheet"])
+
+
 @query("""SELECT o_orderkey, o_custkey, (sum(o_orderkey % 100 + 1) OVER w)::BIGINT AS used, (sum(o_orderkey % 100 + 1) OVER w) > 300 AS over
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def cumulative_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +207,19 @@ def sheet_rel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.sheet_parts(sheets, rels, []).select("o_orderkey", "kind")
 
 
+@query("""WITH rel AS (SELECT c_custkey AS rel, CASE c_custkey % 4 WHEN 0 THEN 'chartsheet' WHEN 1 THEN 'styles' ELSE 'worksheet' END AS type, CASE WHEN c_custkey % 10 = 3 THEN 'External' END AS mode FROM customer),
+sheet AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN -1 - o_custkey ELSE o_custkey END AS id FROM orders)
+SELECT o_orderkey, CASE WHEN type IS NULL OR type = 'worksheet' AND mode = 'External' THEN 'error' WHEN type = 'worksheet' THEN 'worksheet' WHEN type = 'chartsheet' THEN 'skipped' ELSE 'error' END AS kind
+FROM sheet LEFT JOIN rel ON id = rel""")
+def sheet_rel_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sheet_rel_join over every customer; the gaps are orders whose relationship id is shifted to one that is not there."""
+    key, cust = F.col("c_custkey"), F.col("o_custkey")
+    kind = F.when(key % 4 == 0, "chartsheet").when(key % 4 == 1, "styles").otherwise("worksheet")
+    rels = table(spark, sf_dir, "customer").select(key.alias("rel"), kind.alias("type"), F.when(key % 10 == 3, "External").alias("mode"))
+    sheets = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, -1 - cust).otherwise(cust).alias("rel"))
+    return grid.sheet_parts(sheets, rels, []).select("o_orderkey", "kind")
+
+
 @query("""WITH b AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN encode('PK' || chr(3) || chr(4)) WHEN 1 THEN '\\xD0\\xCF\\x11\\xE0\\xA1\\xB1\\x1A\\xE1'::BLOB WHEN 2 THEN encode('{\\rtf1') WHEN 3 THEN encode('{\\rtf') WHEN 4 THEN encode('PK' || chr(5) || chr(6)) ELSE encode('') END || encode(html) AS x FROM pages)
 SELECT page_id, CASE WHEN hex(x)[1:8] IN ('504B0304', '504B0506', '504B0708') THEN 'zip' WHEN hex(x)[1:16] = 'D0CF11E0A1B11AE1' THEN 'ole'
     WHEN regexp_matches(hex(x), '^7B5C7274663[0-9]') THEN 'rtf' ELSE 'none' END AS kind FROM b""")
