@@ -236,13 +236,13 @@ def in_blocks(members: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles long, component_id, kept boolean, n_links long): one row per row of docs.
+    """(key, n_shingles long, component_id, kept boolean, n_joining_links long): one row per row of docs.
 
     Texts are lower-cased in A-Z and split into words; the set of a text has its distinct `size`-word shingles, the
     whole sequence if it has fewer words, and nothing if it has none. Documents whose sets have den * intersection >=
     num * union are linked; component_id is the smallest key reachable. Documents with equal sets are one node, so
-    copies are never paired. n_links counts the confirmed links of the document's set (between different sets; those
-    that joined nothing are not looked for). Null and empty texts are linked with nothing and kept. A row with a null
+    copies are never paired. n_joining_links counts the confirmed links of the document's set by which components were
+    joined. It is no degree: most links between different sets of a component are neither looked for nor counted. Null and empty texts are linked with nothing and kept. A row with a null
     key has the component of an equal set with a key, else a null component, and is kept. Rows repeated
     with one key are one document. Keys are integers.
     """
@@ -294,10 +294,10 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         links = cut(links.unionAll(more))
         comp = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("_d")).groupBy("_d").agg(F.count("*").alias("n_joining_links"))
     named = sets.select(*own, "id").join(comp.withColumnRenamed("id", "_id").hint("merge"), F.col("id") == F.col("_id"), "left")
     named = named.join(degree.hint("merge"), F.col("id") == F.col("_d"), "left")
-    named = cut(named.select(*(F.col(c).alias(f"_{c}") for c in own), F.coalesce("component", "id").alias("_component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    named = cut(named.select(*(F.col(c).alias(f"_{c}") for c in own), F.coalesce("component", "id").alias("_component"), F.coalesce("n_joining_links", F.lit(0)).alias("n_joining_links")))
     # equal sets may be a third of all rows: the join is one that Spark can split
     at = F.xxhash64(*own)
     rows = feats.select(key, *own).withColumn("_at", at)
@@ -306,7 +306,7 @@ def near_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     rows = rows.join(named.hint("merge"), same, "left")
     component = F.when(F.col("n_shingles") == 0, F.col(key)).otherwise(F.col("_component"))
     kept = F.coalesce(F.col(key) == component, F.lit(True))
-    return rows.select(key, "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select(key, "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("n_joining_links", F.lit(0)).cast("long").alias("n_joining_links"))
 
 
 def tree_nodes(frontier: DataFrame) -> DataFrame:

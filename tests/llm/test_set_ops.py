@@ -99,6 +99,14 @@ def test_near_dedup_in_small_blocks(docs, near_rows, monkeypatch):
     assert near_dedup.near_components(docs([])).count() == 0
 
 
+def test_links_are_named_for_what_they_count(docs):
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base, f"x{i}"]) for i in range(4)]
+    rows = near_dedup.near_components(docs(list(enumerate(texts)))).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert all(1 <= r.n_joining_links <= 3 for r in rows) and sum(r.n_joining_links for r in rows) < 4 * 3
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(150)] + [(7, 7), (None, 3)]
