@@ -187,7 +187,7 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 # Connected components
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (id, component): the smallest id reachable, for each id in a link between different ids.
 
     Large-star and small-star steps in turn; each sums per key before it shuffles and joins edges back to the minimum
@@ -195,9 +195,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges = cut(edges)
-    for _ in range(rounds):
-        if _stars(edges):
-            break
+    while not _stars(edges):
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()

@@ -107,6 +107,13 @@ def test_links_are_named_for_what_they_count(docs):
     assert all(1 <= r.n_joining_links <= 3 for r in rows) and sum(r.n_joining_links for r in rows) < 4 * 3
 
 
+def test_components_never_end_unfinished(spark, monkeypatch):
+    calls, stars = [], common._stars
+    monkeypatch.setattr(common, "_stars", lambda edges: calls.append(1) or (len(calls) > 41 and stars(edges)))
+    got = {r.id: r.component for r in common.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} and len(calls) == 42
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(150)] + [(7, 7), (None, 3)]
