@@ -7,6 +7,7 @@ import os
 import shutil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.operators.resolve import availability
 
@@ -16,6 +17,9 @@ FORMATS = [
     ("doc", ["doc"], "file", ["textutil", "pandoc"]), ("ods", ["ods"], "file", []), ("xlsx", ["xlsx"], "file", []), ("xls", ["xls"], "file", []), ("odm", ["odm"], "file", []),
 ]
 
+#: Why a format that is detected is never converted, whatever tools are there.
+NEVER = {"doc": "DOC is detected but never converted here"}
+
 
 def resolve_tool(name: str, explicit: str | None = None) -> str | None:
     """An executable regular file: the explicit path if one is given, else the first on PATH."""
@@ -29,7 +33,10 @@ def catalog(spark: SparkSession, explicit: dict[str, str] | None = None) -> Data
     tools = {t for f in FORMATS for t in f[3]}
     there = [t for t in sorted(tools) if resolve_tool(t, (explicit or {}).get(t))]
     rows = spark.createDataFrame(FORMATS, "format string, extensions array<string>, container string, requires array<string>")
-    return availability(rows, there)
+    found = availability(rows, there)
+    never = F.col("format").isin(*NEVER)
+    why = F.try_element_at(F.create_map(*(F.lit(x) for pair in NEVER.items() for x in pair)), F.col("format"))
+    return found.withColumn("available", F.col("available") & ~never).withColumn("reason", F.coalesce("reason", why))
 
 
 def catalog_rows(explicit: dict[str, str] | None = None) -> list[dict]:
@@ -38,8 +45,8 @@ def catalog_rows(explicit: dict[str, str] | None = None) -> list[dict]:
     out = []
     for name, extensions, container, requires in FORMATS:
         missing = [t for t in requires if not there[t]]
-        reason = f"missing required tool: {', '.join(missing)}" if missing else None
-        out.append({"containerKind": container, "fileExtensions": extensions, "format": name, "isAvailable": not missing, "missingTools": missing, "requiredTools": requires, "unavailableReason": reason})
+        reason = f"missing required tool: {', '.join(missing)}" if missing else NEVER.get(name)
+        out.append({"containerKind": container, "fileExtensions": extensions, "format": name, "isAvailable": reason is None, "missingTools": missing, "requiredTools": requires, "unavailableReason": reason})
     return out
 
 

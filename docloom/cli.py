@@ -16,7 +16,6 @@ USAGE = """Usage: docloom [options] INPUT
        docloom --formats [--json]
 
   -o, --output DIRECTORY   the new output directory (default: INPUT-markdown beside the source)
-      --pandoc PATH        a specific Pandoc executable, for formats that need one
       --formats            list the input formats and whether they are available
       --spreadsheet-format table|tsv
       --json               a machine-readable result on standard output
@@ -35,8 +34,8 @@ class InputError(ValueError):
 
 
 def parse(argv: list[str]) -> dict:
-    out = {"input": None, "output": None, "pandoc": None, "formats": False, "rendering": None, "json": False, "help": False, "version": False}
-    values = {"-o": "output", "--output": "output", "--pandoc": "pandoc", "--spreadsheet-format": "rendering"}
+    out = {"input": None, "output": None, "formats": False, "rendering": None, "json": False, "help": False, "version": False}
+    values = {"-o": "output", "--output": "output", "--spreadsheet-format": "rendering"}
     flags = {"--formats": "formats", "--json": "json", "-h": "help", "--help": "help", "-V": "version", "--version": "version"}
     rest, only_inputs = [*argv], False
     while rest:
@@ -111,7 +110,7 @@ def main(argv: list[str] | None = None) -> int:
             print(__version__)
             return 0
         if args["formats"]:
-            rows = catalog_rows({"pandoc": args["pandoc"]} if args["pandoc"] else None)
+            rows = catalog_rows()
             print(catalog_json(rows) if as_json else catalog_text(rows))
             return 0
         result = run(args["input"], args["rendering"] or "table")

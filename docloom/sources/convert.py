@@ -231,7 +231,7 @@ def convert(path: str, content: bytes, rendering: str = "table") -> Result:
             html, files = rtf.rtf_html(content)
             _from_html(result, re.sub(LIST_ITEM, r"\1\2\3", html), files)
         else:
-            result.status, result.error_kind, result.error = "error", "missing_tool", "missing required tool: textutil, pandoc"
+            result.status, result.error_kind, result.error = "error", "missing_tool", "DOC is detected but never converted here"
         return result
     except ERRORS as e:
         return Result(path, status="error", error_kind="invalid_input", error=str(e))

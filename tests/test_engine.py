@@ -147,3 +147,11 @@ def test_catalog(spark):
     assert json.loads(catalog.catalog_json(listed))["formats"][0]["unavailableReason"] is None
     lines = catalog.catalog_text(listed).split("\n")
     assert len(lines) == 9 and len({line.index("package" if "package" in line else "file") for line in lines}) == 1
+
+
+def test_doc_is_never_available(spark):
+    tools = {"pandoc": "/bin/sh", "textutil": "/bin/sh"}
+    row = next(r for r in catalog.catalog(spark, tools).collect() if r.format == "doc")
+    listed = next(r for r in catalog.catalog_rows(tools) if r["format"] == "doc")
+    assert not row.available and row.reason == listed["unavailableReason"] == "DOC is detected but never converted here" and not listed["isAvailable"]
+    assert cli.main(["--pandoc", "/bin/sh", "--formats"]) == 64
