@@ -116,6 +116,25 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         start = end
 
 
+def text_runs(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `most` characters; a longer text is a run of its own."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def byte_alphabet() -> list[str]:
+    """The printable character that stands for each byte: itself, or the next free one from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in own else next(others)) for b in range(256)]
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each row, and n + 1 offsets of the rows into them. lower: A-Z as a-z."""
     n = len(offsets) - 1

@@ -14,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, struct_of
+from docloom.llm.common import byte_alphabet, cut, struct_of, text_runs
 
-#: Words, and pieces of words, kept in each of two generations of a worker's caches.
-CACHE = 100_000
+#: Words, and characters of words, that a worker keeps with their identifiers before it starts anew.
+CACHE, CHARS = 400_000, 8_000_000
 #: Blocks in which the pieces of one length are numbered.
 BLOCKS = 64
 
@@ -30,58 +31,64 @@ _PLAIN = re.compile("[\t-\r -~¡-įı-ſ]*")
 _PIECE = re.compile(rf"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r {_LETTER}{_NUMBER}]+")
 
 
-class Generations:
-    """A cache of bounded size: the older of two generations is dropped, entries in use are carried over."""
-
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys to compute; the others of `keys` are in `now` afterwards."""
-        new = [k for k in keys if k not in self.now]
-        if len(self.now) + len(new) > CACHE:
-            self.older, self.now = self.now, {}
-            new = [*keys]
-        rest = []
-        for k in new:
-            if (hit := self.older.get(k)) is None:
-                rest.append(k)
-            else:
-                self.now[k] = hit
-        return rest
-
-
 class Words:
-    """Identifiers of texts as the library gives them; those of each distinct word are kept, within a bound."""
+    """Identifiers of texts as the library gives them; those of each distinct word are kept, within a bound.
+
+    Words of a run of texts are told apart by Arrow, so Python sees each distinct one once, and the library's model
+    each distinct piece of a new one. The identifiers of all known words lie in one array, from which texts are gathered.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.pieces = Generations(), Generations()
-
-    def learn(self, words: set[str]) -> None:
-        new = self.words.missing(words)
-        split = [_PIECE.findall(w) for w in new]
-        if rest := self.pieces.missing(set().union(*split)):
-            got = self.tokenizer.encode(" ".join(rest), add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u4")
-            ends = np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(rest)), side="right")
-            start = 0
-            for p, end in zip(rest, ends.tolist()):
-                self.pieces.now[p] = ids[start:end].tobytes()
-                start = end
-        get = self.pieces.now.__getitem__
-        self.words.now.update(zip(new, (b"".join(map(get, s)) for s in split)))
+        self.letters = dict(enumerate(byte_alphabet()))
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.pool, self.ends, self.chars = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
+
+    def piece(self, piece: str) -> list[int]:
+        if (ids := self.pieces.get(piece)) is None:
+            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = [t.id for t in self.tokenize(letters)]
+        return ids
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """The place of each word: its identifiers are pool[ends[place] : ends[place + 1]]."""
+        new = [w for w in words if w not in self.rows]
+        if len(self.rows) + len(new) > CACHE or self.chars > CHARS:
+            self.clear()
+            new = words
+        flat: list[int] = []
+        ends = []
+        for w in new:
+            for p in _PIECE.findall(w):
+                flat += self.piece(p)
+            ends.append(len(flat))
+        known = len(self.rows)
+        self.rows.update(zip(new, range(known, known + len(new))))
+        self.chars += sum(map(len, new))
+        self.ends = np.append(self.ends, len(self.pool) + np.array(ends, np.int64))
+        self.pool = np.append(self.pool, np.array(flat, "<u4"))
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit identifiers of each text."""
-        split = [t.lower().split() if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in texts]
-        self.learn(set().union(*(s for s in split if s)))
-        get = self.words.now.__getitem__
-        return [b"".join(map(get, s)) if s is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for s, t in zip(split, texts)]
+        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string())))
+        words = lists.values.dictionary_encode()
+        places = self.learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        start = self.ends[places]
+        size = self.ends[places + 1] - start
+        upto = np.append(0, np.cumsum(size))
+        flat = self.pool[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        at = (4 * upto[lists.offsets.to_numpy()]).tolist()
+        return [flat[at[i] : at[i + 1]] if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for i, (t, p) in enumerate(zip(texts, plain))]
 
 
 _LOADED: dict[str, Words] = {}
@@ -104,13 +111,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: s
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             row, piece, start, length, crc = [], [], [], [], []
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1 << 20):
-                    size += len(texts[end])
-                    end += 1
-                for i, ids in enumerate(words.encode(texts[at:end]), at):
+            for a, b in text_runs(texts):
+                for i, ids in enumerate(words.encode(texts[a:b]), a):
                     ids += last
                     for k, p in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[p : p + 4 * capacity]
@@ -119,7 +121,6 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: s
                         start.append(p // 4)
                         length.append(len(part) // 4)
                         crc.append(zlib.crc32(part))
-                at = end
             out = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(out, names=[key, "piece", "start", "length", "ids_crc32"])
 

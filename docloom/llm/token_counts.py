@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import struct_of
+from docloom.llm.common import byte_alphabet, struct_of
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -70,13 +70,6 @@ class Counts:
         return sum(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
 
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: itself, or the next free one from U+0100 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in own else next(others)) for b in range(256)]
-
-
 def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> int:
     """Tokens that are left of the symbols: the lowest rank is merged first, at ties the leftmost."""
     n = len(symbols)
