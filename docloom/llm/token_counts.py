@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_alphabet, struct_of
+from docloom.llm.common import _SPACE, byte_alphabet, struct_of, text_buffer, text_runs
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
@@ -28,32 +28,44 @@ _PIECE = re.compile(
     rf" ?[{_LETTER}]+| ?[{_NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\t-\r {_LETTER}{_NUMBER}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 
-#: Where words stand apart by other than single spaces and line feeds.
-_APART = re.compile("[\t\x0b-\r]|  |\n | \n")
+#: Units, and pieces, kept in each of two generations of a worker's caches; those of over LONG characters are not kept.
+UNITS, PIECES, LONG = 100_000, 300_000, 64
 
-#: Pieces, and words, kept in each of two generations of a worker's caches.
-CACHE = 100_000
 
+def units(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut before each run of white space, and n + 1 offsets of the texts into these units.
 
-class Bounded(dict):
+    No piece of the splitter goes from other characters over to white space, so units are split on their own.
+    """
+    raw, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    blank = _SPACE[raw]
+    cuts = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    ends = np.sort(np.concatenate([cuts, offsets]), kind="stable")
+    ends = ends[np.append(True, ends[1:] != ends[:-1])]
+    column = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    return column, np.searchsorted(ends, offsets)
+
+
+class Kept(dict):
     """A cache of bounded size: the older of two generations is dropped, entries in use are carried over."""
 
-    def __init__(self, compute):
-        self.compute, self.older = compute, {}
+    def __init__(self, compute, most: int):
+        self.compute, self.most, self.older = compute, most, {}
 
     def __missing__(self, key: str) -> int:
         n = self.older.get(key)
         if n is None:
             n = self.compute(key)
-        if len(self) >= CACHE:
-            self.older = dict(self)
-            self.clear()
-        self[key] = n
+        if len(key) <= LONG:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = n
         return n
 
 
 class Counts:
-    """pieces: piece -> tokens. words: word after a space -> tokens."""
+    """Tokens of texts by their units, and of units by their pieces."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
@@ -63,11 +75,17 @@ class Counts:
         self.byte = [vocab[c] for c in byte_alphabet()]
         self.letter = {c: vocab[c] for c in byte_alphabet()}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.pieces = Bounded(lambda piece: merged([self.byte[b] for b in piece.encode()], self.ranks))
-        self.words = Bounded(lambda word: self.plain(" " + word))
+        self.pieces = Kept(lambda piece: merged([self.byte[b] for b in piece.encode()], self.ranks), PIECES)
+        self.units = Kept(lambda unit: sum(map(self.pieces.__getitem__, _PIECE.findall(unit))), UNITS)
 
-    def plain(self, text: str) -> int:
-        return sum(map(self.pieces.__getitem__, _PIECE.findall(text)))
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Tokens of each text. Arrow tells equal units apart, so Python sees each once in a run of texts."""
+        column, offsets = units(texts)
+        column = column.dictionary_encode()
+        distinct = column.dictionary.to_pylist()
+        tokens = np.fromiter(map(self.units.__getitem__, distinct), np.int64, len(distinct))
+        upto = np.append(0, np.cumsum(tokens[column.indices.to_numpy()]))
+        return np.diff(upto[offsets])
 
 
 def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> int:
@@ -113,17 +131,20 @@ def _loaded(path: str):
     return _LOADED[path]
 
 
-def count_text(text: str, counts: Counts, splitter) -> int:
-    for i, special in enumerate(counts.special):
-        if special in text:  # an added token is one token, and the parts beside it are texts of their own
-            parts = text.split(special)
-            return len(parts) - 1 + sum(count_text(x, counts, splitter) for x in parts if x)
-    if _PLAIN.fullmatch(text):
-        if _APART.search(text) or text[:1] in " \n" or text[-1:] in " \n":
-            return counts.plain(text)
-        first, *rest = text.split(" ")
-        return counts.plain(first) + sum(map(counts.words.__getitem__, rest))
-    return sum(merged([counts.letter[c] for c in piece], counts.ranks) for piece, _ in splitter.pre_tokenize_str(text))
+def count_texts(texts: list[str], counts: Counts, splitter) -> np.ndarray:
+    out = np.zeros(len(texts), np.int64)
+    for a, b in text_runs(texts):
+        plain = []
+        for i, text in enumerate(texts[a:b], a):
+            if special := next((s for s in counts.special if s in text), None):
+                parts = text.split(special)  # an added token is one token, and the parts beside it are texts of their own
+                out[i] = len(parts) - 1 + count_texts(parts, counts, splitter).sum()
+            elif _PLAIN.fullmatch(text):
+                plain.append(i)
+            else:
+                out[i] = sum(merged([counts.letter[c] for c in piece], counts.ranks) for piece, _ in splitter.pre_tokenize_str(text))
+        out[plain] = counts.totals([texts[i] for i in plain])
+    return out
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -132,7 +153,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
     path: a byte-level BPE file in the JSON form of the tokenizers library, readable on every executor. No begin, end
     or added tokens are counted but those whose strings stand in the text. Null and empty texts have 0 bytes and 0
     tokens. One row per input row, repeated and null keys included; other columns are ignored. Nothing is shuffled. A
-    worker keeps at most 4 * CACHE distinct words and pieces, and a very long piece costs n log n.
+    worker keeps at most 2 * (UNITS + PIECES) distinct parts of texts, and a very long piece costs n log n.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -140,7 +161,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
         counts, splitter = _loaded(path)
         for batch in batches:
             texts = batch.column(1)
-            n = np.fromiter((count_text(t, counts, splitter) if t else 0 for t in texts.to_pylist()), np.int64, len(texts))
+            n = count_texts([t or "" for t in texts.to_pylist()], counts, splitter)
             size = pc.fill_null(pc.binary_length(texts.cast(pa.binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
