@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import byte_alphabet, cut, struct_of, text_runs
 
 #: Words, and characters of words, that a worker keeps with their identifiers before it starts anew.
-CACHE, CHARS = 400_000, 8_000_000
+CACHE, CHARS = 300_000, 6_000_000
 #: Blocks in which the pieces of one length are numbered.
 BLOCKS = 64
 
