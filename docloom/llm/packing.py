@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import byte_alphabet, cut, struct_of, text_runs
+from docloom.llm.common import byte_alphabet, cut, fresh, struct_of, text_runs
 
 #: Words, and characters of words, that a worker keeps with their identifiers before it starts anew.
 CACHE, CHARS = 300_000, 6_000_000
-#: Blocks in which the pieces of one length are numbered.
-BLOCKS = 64
+#: Blocks in which the rows of one group are numbered, at least, and rows of a table for each block more.
+BLOCKS, BLOCK_ROWS = 64, 100_000
 
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Texts of these characters alone are split here; other texts go to the library whole.
@@ -178,28 +178,30 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return plan, bins
 
 
-def numbered(rows: DataFrame, group: str, order: list[str], name: str, blocks: int = BLOCKS) -> DataFrame:
-    """rows with `name`: 0, 1, 2 ... within each group, without bringing a group together.
+def numbered(rows: DataFrame, total: int, group: str, order: list[str], name: str) -> DataFrame:
+    """rows, of which there are `total`, with `name`: 0, 1, 2 ... within each group, without bringing a group together.
 
     Rows are dealt into blocks by hash; each block is numbered on its own and starts after the rows of the blocks
-    before it. The table of block sizes has groups * blocks rows.
+    before it. There are so many blocks that one has about BLOCK_ROWS rows at most, even if all are of one group.
     """
     from pyspark.sql import Window
 
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    sizes = dealt.groupBy(group, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col(group).alias("_group"), F.col("_block").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inner = Window.partitionBy(group, "_block").orderBy(*order)
-    out = dealt.withColumn("_nth", F.row_number().over(inner) - 1)
-    out = out.join(starts, (F.col(group) == F.col("_group")) & (F.col("_block") == F.col("_at")))
-    return out.withColumn(name, (F.col("_first") + F.col("_nth")).cast("long")).drop("_block", "_nth", "_group", "_at", "_first")
+    block, nth, of, at, first = fresh(rows, "_block", "_nth", "_group", "_at", "_first")
+    blocks = max(BLOCKS, -(-total // BLOCK_ROWS))
+    dealt = rows.withColumn(block, F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    sizes = dealt.groupBy(group, block).agg(F.count("*").alias(nth))
+    before = Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(group).alias(of), F.col(block).alias(at), F.coalesce(F.sum(nth).over(before), F.lit(0)).alias(first))
+    inner = Window.partitionBy(group, block).orderBy(*order)
+    out = dealt.withColumn(nth, F.row_number().over(inner) - 1)
+    out = out.join(starts, (F.col(group) == F.col(of)) & (F.col(block) == F.col(at)))
+    return out.withColumn(name, (F.col(first) + F.col(nth)).cast("long")).drop(block, nth, of, at, first)
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length", order: list[str] | None = None) -> DataFrame:
     """pieces with sequence_id and offset: places in sequences of at most `capacity`, gapless from 0.
 
-    Lengths are 1 to capacity. Rows that are alike in every ordering column are interchangeable. An empty table stays
+    Lengths are 1 to capacity; other columns are kept, but for a sequence_id and an offset that are there. Rows that are alike in every ordering column are interchangeable. An empty table stays
     empty. The driver holds one count for each length; the plan that is broadcast has a few rows for each length.
     """
     own = pieces.columns
@@ -210,7 +212,8 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: list[s
     table = np.array(plan, dtype=np.int64).reshape(-1, 6)
     shared = pieces.sparkSession.sparkContext.broadcast(table)
     names = [n for n in own if n not in ("sequence_id", "offset")]
-    ranked = numbered(pieces.select(*names), length, order or names, "_rank")
+    (rank_name,) = fresh(pieces, "_rank")
+    ranked = numbered(pieces.select(*names), sum(counts.values()), length, order or names, rank_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -218,7 +221,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: list[s
         keys = t[:, 0] * width + t[:, 1]
         for batch in batches:
             cols = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            n, rank = cols[length].to_numpy(), cols["_rank"].to_numpy()
+            n, rank = cols[length].to_numpy(), cols[rank_name].to_numpy()
             at = np.searchsorted(keys, n * width + rank, side="right") - 1
             p = t[at]
             nth = rank - p[:, 1]

@@ -126,4 +126,5 @@ def kd_shards(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "
         table = cut(units(rows))
     placed = leaves(table, shards).withColumnRenamed("unit", "_unit")
     rows = rows.join(placed.hint("rebalance"), F.col("unit") == F.col("_unit")).select(key, "size", "text_crc32", "shard")
-    return numbered(cut(rows), "shard", [key, "text_crc32", "size"], "slot", blocks=256).select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = cut(rows)
+    return numbered(rows, rows.count(), "shard", [key, "text_crc32", "size"], "slot").select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
