@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import _BYTE, _LOWER, cut, list_array, slices, struct_of, text_buffer
+from docloom.llm.common import _BYTE, _LOWER, cut, slices, small, struct_of, text_buffer
 
 #: Bytes of a chunk: at least, by the mask on average beyond that, and at most.
 LEAST, MOST, MASK = 1024, 16384, np.uint64(0x7FF << 40)
@@ -116,10 +116,25 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with their own columns: of equal texts the one with the largest key, once."""
-    own = docs.columns
-    stay = exact_groups(docs, text, key).where("kept").select(F.col(key).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
+    """The rows of docs that stay, with their own columns: of equal texts the one with the largest key, once.
+
+    What goes is decided on keys and hashes alone. Keys of which all rows go are broadcast if they are few, so that no
+    text moves; beyond, texts are shuffled once. Only rows that share their key with others, null keys included, are
+    told apart by their texts. Other columns of docs may have any names.
+    """
+    marks = cut(exact_groups(docs, text, key).select(F.col(key).alias("_key"), "kept", "text_sha256"))
+    keys = marks.groupBy("_key").agg(F.count("*").alias("_rows"), F.bool_or("kept").alias("_any"))
+    other = cut(keys.where("_rows > 1 or not _any"))
+    gone = small(other, other.count())
+    stay = docs.join(gone, docs[key].eqNullSafe(gone["_key"]), "left_anti")
+    shared = cut(other.where("_any").select("_key"))
+    count = shared.count()
+    if not count:
+        return stay
     lower = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    rows = docs.withColumn("_sha256", F.sha2(lower, 256))
-    kept = rows.join(stay, F.col(key).eqNullSafe(F.col("_keep")) & (F.col("_sha256") == F.col("_sha")), "left_semi")
-    return kept.dropDuplicates([key, "_sha256"]).select(*own)
+    side = small(shared, count)
+    rows = docs.join(side, docs[key].eqNullSafe(side["_key"]), "left_semi")
+    rows = rows.select(F.struct("*").alias("_row"), F.col(key).alias("_at"), F.sha2(lower, 256).alias("_sha"))
+    first = marks.where("kept").join(side.withColumnRenamed("_key", "_shared"), F.col("_key").eqNullSafe(F.col("_shared")), "left_semi").select("_key", "text_sha256")
+    rows = rows.join(first, F.col("_at").eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    return stay.unionAll(rows.dropDuplicates(["_at", "_sha"]).select("_row.*"))
