@@ -328,7 +328,9 @@ def likely(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 def near_dedup(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with their own columns: of each component those with the smallest key.
 
-    Rows with null keys stay, and so do rows repeated with a key that stays.
+    Rows with null keys stay, and so do rows repeated with a key that stays. Keys that go are broadcast if they are few,
+    so that texts are not shuffled; beyond, texts are shuffled once. Other columns of docs may have any names.
     """
     gone = cut(near_components(docs, size, num, den, text, key).where("not kept").select(F.col(key).alias("_gone")).distinct())
-    return docs.join(small(gone, gone.count()), F.col(key) == F.col("_gone"), "left_anti")
+    side = small(gone, gone.count())
+    return docs.join(side, docs[key] == side["_gone"], "left_anti")
