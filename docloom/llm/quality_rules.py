@@ -64,7 +64,7 @@ def measured(column: pa.Array, table: np.ndarray, bits: int = BITS) -> dict[str,
         value = np.zeros(len(data) + 1)
         np.cumsum(np.append(table[buckets] * inside(own, len(buckets)), np.zeros(len(data) - len(buckets))), out=value[1:])
         llr = (value[own[1:]] - value[own[:-1]]) / np.maximum(np.diff(own) - 3, 1)
-        parts.append(rule_counts(data, own) | {"llr": np.round(llr, 9)})
+        parts.append(rule_counts(data, own) | {"llr": np.round(llr, 6)})
     empty = dict.fromkeys(COUNTS, np.zeros(0, np.int64)) | {"llr": np.zeros(0)}
     return {c: np.concatenate([p[c] for p in parts]) if parts else empty[c] for c in empty}
 
@@ -88,15 +88,13 @@ def scored(docs: DataFrame, ratios: np.ndarray, text: str, key: str) -> DataFram
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
-def fitted(docs: DataFrame, trusted: DataFrame, share: float, text: str, key: str) -> tuple[np.ndarray, DataFrame, float]:
-    """The log ratios, the scored rows, and the score from which on a text is kept."""
+def fitted(docs: DataFrame, trusted: DataFrame, text: str, key: str) -> tuple[np.ndarray, DataFrame]:
+    """The log ratios, and the ids of the trusted documents, marked for broadcast if they are few."""
     ids = cut(trusted.select(F.col(key).alias("_id")).where("_id is not null").distinct())
-    ids, count = ids.withColumn("_trusted", F.lit(True)), ids.count()
-    marked = docs.select(F.col(key), F.col(text)).join(small(ids, count), F.col(key) == F.col("_id"), "left")
-    ratios = log_ratios(gram_counts(marked.select(text, F.coalesce("_trusted", F.lit(False)).alias("_trusted"))))
-    rows = cut(scored(docs, ratios, text, key))
-    good = rows.where("not base_failed").join(small(ids, count), F.col(key) == F.col("_id"), "left_semi")
-    return ratios, rows, threshold(good, share)
+    ids = small(ids, ids.count())
+    own = docs.select(F.col(key), F.col(text))
+    marked = own.join(ids.withColumn("_trusted", F.lit(True)), F.col(key) == F.col("_id"), "left")
+    return log_ratios(gram_counts(marked.select(text, F.coalesce("_trusted", F.lit(False)).alias("_trusted")))), ids
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", share: float = SHARE) -> DataFrame:
@@ -108,13 +106,20 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", key:
     Counts cover all rows. Null and empty texts have no words and fail. Null ids are never trusted; repeated rows are
     counted and judged each for itself. The driver holds 2**BITS counts, and a histogram of trusted scores by steps.
     """
-    _, rows, level = fitted(docs, trusted, share, text, key)
+    ratios, ids = fitted(docs, trusted, text, key)
+    rows = cut(scored(docs, ratios, text, key))
+    level = threshold(rows.join(ids, F.col(key) == F.col("_id"), "left_semi"), share)
     return rows.select(key, *COUNTS, "base_failed", F.expr(f"not base_failed and llr >= {level!r}D").alias("kept"), "llr")
 
 
 def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", share: float = SHARE) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, with their own columns; rows are judged as they stream, unshuffled."""
-    ratios, _, level = fitted(docs, trusted, share, text, key)
+    """The rows of docs that quality_rules() keeps, with their own columns; rows are judged as they stream, unshuffled.
+
+    For the threshold only trusted rows are scored first. Other columns of docs may have any names.
+    """
+    ratios, ids = fitted(docs, trusted, text, key)
+    own = docs.select(F.col(key), F.col(text)).join(ids, F.col(key) == F.col("_id"), "left_semi")
+    level = threshold(scored(own, ratios, text, key), share)
     shared, at = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +131,8 @@ def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", key:
 
 
 def threshold(rows: DataFrame, share: float) -> float:
-    """The score below which at most `share` of the rows lie, less SLACK; from a histogram of steps of 0.001."""
-    steps = sorted((r[0], r[1]) for r in rows.groupBy(F.floor(F.col("llr") * 1000).alias("step")).count().collect())
+    """The score below which at most `share` of the rows that pass the base rules lie, less SLACK; by steps of 0.001."""
+    steps = sorted((r[0], r[1]) for r in rows.where("not base_failed").groupBy(F.floor(F.col("llr") * 1000).alias("step")).count().collect())
     left = share * sum(n for _, n in steps)
     for step, n in steps:
         left -= n
