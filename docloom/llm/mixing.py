@@ -51,6 +51,87 @@ def source_targets(sizes: DataFrame, most: int, weights: tuple[int, ...]) -> Dat
     return rows.select("source", "source_size", target.alias("target"))
 
 
+#: Tables with a row for each source that have at most this many are broadcast.
+SOURCES = 10_000
+
+
+def by_source(rows: DataFrame, table: DataFrame, count: int) -> DataFrame:
+    """rows with the columns of their source's row of table(_s, ...), if it has one."""
+    side = F.broadcast(table) if count <= SOURCES else table
+    return rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def measured(docs: DataFrame, text: str, source: str, key: str, *others: Column) -> DataFrame:
+    """(_key, source, size, _crc) of each row, and others."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc"), *others)
+
+
+def ordered(rows: DataFrame, plan: DataFrame, sources: int, salt: str) -> DataFrame:
+    """measured rows with their source's plan, their odds, and the buckets of their ranks."""
+    rows = by_source(rows, plan, sources)
+    u = uniform(F.col("_key"), salt)
+    odds = F.when(F.col("p") > 0, u / (1 - u) / (F.col("p") / (1 - F.col("p"))))
+    rows = rows.withColumn("odds", odds).withColumn("place", F.when(odds.isNotNull(), odds / (1 + odds)))
+    fine = F.col("place") * BUCKETS
+    return rows.withColumn("b1", F.least(F.floor(fine), F.lit(BUCKETS - 1))).withColumn("b2", F.least(F.floor((fine - F.floor(fine)) * BUCKETS), F.lit(BUCKETS - 1)))
+
+
+#: The order in which documents are taken: odds, then key, then the text's CRC-32.
+ORDER = ["odds", "_key", "_crc"]
+
+
+def chosen() -> Column:
+    """Whether an ordered row comes before its source's border."""
+    at, stop = F.struct("b1", "b2"), F.struct("b1_", "b2_")
+    mine, theirs = F.struct(*ORDER), F.struct(*(F.col(f"stop.{c}") for c in ORDER))
+    within = (at < stop) | ((at == stop) & (F.col("stop").isNull() | (mine < theirs)))
+    return F.coalesce(F.col("odds").isNotNull() & (F.col("size") > 0) & (F.col("b1_").isNull() | within), F.lit(False))
+
+
+class Mix:
+    """A mix of sources: for each source its target, the border in the order of its documents, and the filler after it.
+
+    Made from the narrow rows of all documents, and applied to rows with or without texts by joins with these tables
+    of one row for each source.
+    """
+
+    def __init__(self, rows: DataFrame, weights: tuple[int, ...], most: int, salt: str):
+        self.salt = salt
+        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        plan = cut(source_targets(sizes, most, weights)).withColumnRenamed("source", "_s")
+        self.sources = plan.count()
+        ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+        plan = plan.withColumn("whole", F.floor(ratio)).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+        self.plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
+        rows = cut(ordered(rows, self.plan, self.sources, salt))
+        self.rows = rows
+        able = rows.where("odds is not null and size > 0")
+
+        first = cut(_reached(able.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "b1", F.lit(0)))
+        inside = able.join(first.select(F.col("source").alias("_s"), F.col("b1").alias("_b"), F.col("before").alias("_before")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("_b"))).drop("_s", "_b")
+        second = cut(_reached(inside.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("_before").alias("_before")), "b2", F.col("_before")))
+        last = inside.drop("_before").join(second.select(F.col("source").alias("_s"), F.col("b2").alias("_b"), F.col("before").alias("_before")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("b2") == F.col("_b"))).drop("_s", "_b")
+        ranked = Window.partitionBy("source").orderBy(*ORDER)
+        last = last.withColumn("nth", F.row_number().over(ranked)).withColumn("upto", F.col("_before") + F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+        last = last.withColumn("short", F.col("upto") > F.col("rest"))
+        # the border: the last bucket, and in it the first row that no longer fits
+        border = last.groupBy("source").agg(F.first("b1").alias("b1_"), F.first("b2").alias("b2_"), F.min(F.when(F.col("short"), F.struct(*ORDER, "nth"))).alias("stop"), F.max(F.when(~F.col("short"), F.col("upto"))).alias("got"), F.first("_before").alias("_before"), F.first("rest").alias("gap"))
+        border = border.withColumn("gap", F.col("gap") - F.coalesce("got", "_before")).drop("got", "_before").withColumnRenamed("source", "_s")
+        self.border = cut(border)
+        # the row after these that fills the gap best, if it brings the source nearer
+        rest = by_source(rows, self.border, self.sources).where(~chosen()).where("odds is not null and size > 0 and gap > 0 and size < 2 * gap")
+        filler = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), *ORDER)).alias("f"))
+        self.filler = cut(filler.select(F.col("source").alias("_s"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ORDER)))
+
+    def applied(self, rows: DataFrame) -> DataFrame:
+        """ordered rows with `copies`, how often the mix takes each."""
+        rows = by_source(by_source(rows, self.border, self.sources), self.filler, self.sources)
+        fills = F.coalesce(F.struct(*ORDER) == F.struct(*(F.col(f"f_{c}") for c in ORDER)), F.lit(False))
+        copies = F.when(F.col("size") > 0, F.col("whole") + (chosen() | fills).cast("long")).otherwise(0).cast("long")
+        return rows.withColumn("copies", copies)
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, salt: str = ":mix", text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """(key, source, size long, source_size long, target double, copies long, taken long, text_crc long).
 
@@ -60,52 +141,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, sa
     the target 0, and rows without words are never taken. Ties of the key are broken by the text's CRC-32;
     rows alike in both are taken or left together. A null key is a key like any other. An empty table gives none. Reruns agree: chance comes from the key alone.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = cut(source_targets(sizes, most, weights)).withColumnRenamed("source", "_source")
-    ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    plan = plan.withColumn("whole", F.floor(ratio)).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    rows = rows.join(F.broadcast(plan) if plan.count() <= 10_000 else plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    u = uniform(F.col("_key"), salt)
-    odds = F.when(F.col("p") > 0, u / (1 - u) / (F.col("p") / (1 - F.col("p"))))
-    rows = rows.withColumn("odds", odds).withColumn("place", F.when(odds.isNotNull(), odds / (1 + odds)))
-    fine = F.col("place") * BUCKETS
-    rows = rows.withColumn("b1", F.least(F.floor(fine), F.lit(BUCKETS - 1))).withColumn("b2", F.least(F.floor((fine - F.floor(fine)) * BUCKETS), F.lit(BUCKETS - 1)))
-    rows = cut(rows)
-    able = rows.where("odds is not null and size > 0")
-
-    first = _reached(able.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "b1", F.lit(0))
-    first = cut(first)
-    inside = able.join(first.select(F.col("source").alias("_s"), F.col("b1").alias("_b"), F.col("before").alias("_before")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("_b"))).drop("_s", "_b")
-    second = _reached(inside.groupBy("source", "b2").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("_before").alias("_before")), "b2", F.col("_before"))
-    second = cut(second)
-    last = inside.drop("_before").join(second.select(F.col("source").alias("_s"), F.col("b2").alias("_b"), F.col("before").alias("_before")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("b2") == F.col("_b"))).drop("_s", "_b")
-    order = ["odds", "_key", "_crc"]
-    ranked = Window.partitionBy("source").orderBy(*order)
-    last = last.withColumn("nth", F.row_number().over(ranked)).withColumn("upto", F.col("_before") + F.sum("size").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    last = last.withColumn("short", F.col("upto") > F.col("rest"))
-    # the border: the last bucket, and in it the first row that no longer fits
-    border = last.groupBy("source").agg(F.first("b1").alias("b1_"), F.first("b2").alias("b2_"), F.min(F.when(F.col("short"), F.struct(*order, "nth"))).alias("stop"), F.max(F.when(~F.col("short"), F.col("upto"))).alias("got"), F.first("_before").alias("_before"), F.first("rest").alias("gap"))
-    border = border.withColumn("gap", F.col("gap") - F.coalesce("got", "_before")).drop("got", "_before").withColumnRenamed("source", "_s")
-    border = cut(border)
-    side = F.broadcast(border) if border.count() <= 10_000 else border
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    at, stop = F.struct("b1", "b2"), F.struct("b1_", "b2_")
-    mine, theirs = F.struct(*order), F.struct(*(F.col(f"stop.{c}") for c in order))
-    within = (at < stop) | ((at == stop) & (F.col("stop").isNull() | (mine < theirs)))
-    chosen = F.coalesce((F.col("odds").isNotNull()) & (F.col("size") > 0) & (F.col("b1_").isNull() | within), F.lit(False))
-    rows = rows.withColumn("chosen", chosen)
-    # the row after these that fills the gap best, if it brings the source nearer
-    filler = rows.where("not chosen and odds is not null and size > 0 and gap > 0 and size < 2 * gap")
-    filler = filler.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), *order)).alias("f"))
-    filler = cut(filler.select(F.col("source").alias("_s"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in order)))
-    side = F.broadcast(filler) if filler.count() <= 10_000 else filler
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left")
-    fills = ~F.col("chosen") & (F.struct(*order) == F.struct(*(F.col(f"f_{c}") for c in order)))
-    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("chosen") | F.coalesce(fills, F.lit(False))).cast("long")).otherwise(0).cast("long")
-    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.col("_crc").alias("text_crc"))
+    mix = Mix(cut(measured(docs, text, source, key)), weights, most, salt)
+    rows = mix.applied(mix.rows)
+    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_crc").alias("text_crc"))
 
 
 def _reached(sums: DataFrame, bucket: str, base: Column) -> DataFrame:
@@ -116,12 +154,12 @@ def _reached(sums: DataFrame, bucket: str, base: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their own columns."""
-    own = docs.columns
-    marks = mixed(docs, weights, most, text=text, source=source, key=key).select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("text_crc").alias("_c"), "copies")
-    marks = marks.groupBy("_k", "_s", "_c").agg(F.max("copies").alias("_copies"))
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(source).eqNullSafe(F.col("_s")) & (crc == F.col("_c"))
-    rows = docs.join(marks.where("_copies > 0"), same)
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*own)
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, salt: str = ":mix", text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The rows of docs as often as mixed() takes them, with their own columns.
+
+    Texts are not shuffled: each row is judged where it is, by its source's target, border and filler. Other columns
+    of docs may have any names.
+    """
+    mix = Mix(cut(measured(docs, text, source, key)), weights, most, salt)
+    rows = mix.applied(ordered(measured(docs, text, source, key, F.struct("*").alias("_row")), mix.plan, mix.sources, salt)).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
