@@ -239,7 +239,7 @@ def test_pipeline(spark, docs, tmp_path):
     near = [t.replace(t.split()[30], "changed", 1) for t in clean[:10]]
     rows = [*clean, *[t[0].upper() + t[1:] for t in clean[10:20]], *near, *["x$$$ " * 100, "short", "", None]]
     rows = [(i, t, "en", f"src{i % 3}") for i, t in enumerate(rows)]
-    docs(rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     table, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
@@ -247,6 +247,7 @@ def test_pipeline(spark, docs, tmp_path):
         assert out.columns == table.columns, name
         out.write.parquet(str(tmp_path / f"stage{k}"))
         table = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        assert table.where("_key <> 7 or _row <> 7 or size <> 7 or _sha <> 7").isEmpty(), name
         kept.append(sorted(r.doc_id for r in table.collect()))
     assert kept[0] == [*range(80)]
     assert kept[1] == [*range(10), *range(20, 80)]  # of equal texts the larger id

@@ -154,6 +154,10 @@ def test_exact_dedup(docs):
     assert Counter(map(tuple, got)) == Counter(want)
     kept = exact_dedup.exact_dedup(docs(rows)).collect()
     assert sorted(r.doc_id for r in kept) == [2, 3, 4, 6, 8, 9, 10]
+    rows += [(None, "alone"), (None, "ALONE"), (None, None), (20, "x"), (20, "X"), (20, "y"), (21, "y"), (4, "z")]
+    kept = exact_dedup.exact_dedup(docs(rows)).collect()
+    assert Counter((r.doc_id, lower(r.text)) for r in kept) == Counter([(2, "same"), (3, "sÄme"), (4, "säme"), (4, "z"), (6, ""), (None, "alone"), (20, "x"), (21, "y"), *((i, lower(texts[i])) for i in (8, 9, 10))])
+    assert exact_dedup.exact_dedup(docs([])).count() == 0
     assert exact_dedup.exact_groups(docs([])).count() == 0
 
 
