@@ -61,14 +61,19 @@ def by_source(rows: DataFrame, table: DataFrame, count: int) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-def measured(docs: DataFrame, text: str, source: str, key: str, *others: Column) -> DataFrame:
-    """(_key, source, size, _crc) of each row, and others."""
+def named(docs: DataFrame, text: str, source: str, key: str, *others: Column) -> DataFrame:
+    """(_key, source, _crc) of each row, and others."""
+    return docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc"), *others)
+
+
+def measured(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
+    """(_key, source, _crc, size) of each row; size: words of the whole text."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc"), *others)
+    return named(docs, text, source, key, size.alias("size"), (size > 0).alias("able"))
 
 
 def ordered(rows: DataFrame, plan: DataFrame, sources: int, salt: str) -> DataFrame:
-    """measured rows with their source's plan, their odds, and the buckets of their ranks."""
+    """named rows with their source's plan, their odds, and the buckets of their ranks."""
     rows = by_source(rows, plan, sources)
     u = uniform(F.col("_key"), salt)
     odds = F.when(F.col("p") > 0, u / (1 - u) / (F.col("p") / (1 - F.col("p"))))
@@ -86,7 +91,7 @@ def chosen() -> Column:
     at, stop = F.struct("b1", "b2"), F.struct("b1_", "b2_")
     mine, theirs = F.struct(*ORDER), F.struct(*(F.col(f"stop.{c}") for c in ORDER))
     within = (at < stop) | ((at == stop) & (F.col("stop").isNull() | (mine < theirs)))
-    return F.coalesce(F.col("odds").isNotNull() & (F.col("size") > 0) & (F.col("b1_").isNull() | within), F.lit(False))
+    return F.coalesce(F.col("odds").isNotNull() & F.col("able") & (F.col("b1_").isNull() | within), F.lit(False))
 
 
 class Mix:
@@ -125,10 +130,10 @@ class Mix:
         self.filler = cut(filler.select(F.col("source").alias("_s"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ORDER)))
 
     def applied(self, rows: DataFrame) -> DataFrame:
-        """ordered rows with `copies`, how often the mix takes each."""
+        """ordered rows with `copies`, how often the mix takes each. able: whether a row has any words."""
         rows = by_source(by_source(rows, self.border, self.sources), self.filler, self.sources)
         fills = F.coalesce(F.struct(*ORDER) == F.struct(*(F.col(f"f_{c}") for c in ORDER)), F.lit(False))
-        copies = F.when(F.col("size") > 0, F.col("whole") + (chosen() | fills).cast("long")).otherwise(0).cast("long")
+        copies = F.when(F.col("able"), F.col("whole") + (chosen() | fills).cast("long")).otherwise(0).cast("long")
         return rows.withColumn("copies", copies)
 
 
@@ -161,5 +166,6 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     of docs may have any names.
     """
     mix = Mix(cut(measured(docs, text, source, key)), weights, most, salt)
-    rows = mix.applied(ordered(measured(docs, text, source, key, F.struct("*").alias("_row")), mix.plan, mix.sources, salt)).where("copies > 0")
+    able = F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("able")
+    rows = mix.applied(ordered(named(docs, text, source, key, able, F.struct("*").alias("_row")), mix.plan, mix.sources, salt)).where("copies > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
