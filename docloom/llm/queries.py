@@ -20,7 +20,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(documents(spark, sf_dir), size=3, num=85, den=100)
+    return near_dedup.near_components(documents(spark, sf_dir), size=3, num=85, den=100).drop("n_joining_links")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +100,78 @@ g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.x) AS text_sha256 FROM t JOIN g USING (x)
 """
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[p:p + 2], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '' ORDER BY s)) AS same FROM g GROUP BY doc_id),
+rep AS (SELECT same, n, min(doc_id) AS id FROM n GROUP BY same, n),
+rs AS (SELECT id, n, s FROM rep JOIN g ON doc_id = id),
+pair AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS k FROM rs x JOIN rs y ON x.s = y.s AND x.id < y.id AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+link AS (SELECT a, b FROM pair WHERE 100 * k >= 85 * (na + nb - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, root) AS (SELECT id, id FROM rep UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.id WHERE r.root < e.b),
+comp AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN rep USING (same, n) LEFT JOIN comp c ON c.id = rep.id
+"""
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+trusted AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d WHERE len(ws) > 2)),
+again AS (SELECT doc_id, p FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p + i) AS n FROM again, (SELECT unnest([0, 1, 2]) AS i) GROUP BY doc_id),
+line AS (SELECT doc_id, count(l) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(line.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN line USING (doc_id) LEFT JOIN rep USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+bytes AS (SELECT doc_id, ('0x' || unnest(hs))::UBIGINT AS b, generate_subscripts(hs, 1) AS p FROM (SELECT doc_id, regexp_extract_all(x, '..') AS hs FROM d)),
+word AS (SELECT doc_id, b + 256 * lead(b, 1) OVER w + 65536 * lead(b, 2) OVER w + 16777216 * lead(b, 3) OVER w AS v FROM bytes WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+gram AS (SELECT doc_id, ((xor(v, v >> 15)::UHUGEINT * 2246822507 % 4294967296)::UBIGINT >> 18)::INT AS bucket FROM word WHERE v IS NOT NULL),
+part AS (SELECT doc_id, bucket, count(*) AS k FROM gram GROUP BY ALL),
+seen AS (SELECT bucket, sum(k) AS r, sum(CASE WHEN trusted.doc_id IS NOT NULL THEN k ELSE 0 END) AS t FROM part LEFT JOIN trusted USING (doc_id) GROUP BY bucket),
+total AS (SELECT sum(r) + 16384 AS r, sum(t) + 16384 AS t FROM seen),
+ratio AS (SELECT bucket, ln((seen.t + 1) / total.t::DOUBLE) - ln((seen.r + 1) / total.r::DOUBLE) AS ratio FROM seen, total),
+score AS (SELECT doc_id, round(sum(k * ratio) / sum(k), 6) AS llr FROM part JOIN ratio USING (bucket) GROUP BY doc_id),
+every AS (SELECT judged.*, coalesce(llr, 0.0::DOUBLE) AS llr FROM judged LEFT JOIN score USING (doc_id)),
+step AS (SELECT floor(llr * 1000) AS step, count(*) AS n FROM every SEMI JOIN trusted USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+upto AS (SELECT step, sum(n) OVER (ORDER BY step) AS n, sum(n) OVER () AS total FROM step),
+level AS (SELECT coalesce(min(step) / 1000.0::DOUBLE - 0.25, -1e9) AS level FROM upto WHERE n > 0.005::DOUBLE * total)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND llr >= level AS kept, llr FROM every, level
+"""
+
+
+def _spans_sql(kind: str, pattern: str, short: str) -> str:
+    """Spans of a pattern: its matches, and the text between them, laid end to end; short ones are dropped."""
+    return f"""SELECT doc_id, '{kind}' AS kind, began AS start, began + length(m) AS stop FROM (
+    SELECT doc_id, m, sum(length(gap)) OVER w + sum(length(m)) OVER w - length(m) AS began FROM (
+        SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m, unnest(string_split_regex(text, '{pattern}')[:len(regexp_extract_all(text, '{pattern}'))]) AS gap,
+            generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) AS i FROM d WHERE regexp_matches(text, '{pattern}'))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE {short}"""
+
+
+def _letters(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGNED = "(?:" + "|".join(map(_letters, ("password", "passwd", "secret", "token"))) + "|" + _letters("api") + "_?" + _letters("key") + """)["'']?\\x20*[:=]\\x20*["'']?"""
+_OPEN = "[A-Za-z0-9+/_.=-]+"
+_CRC_SQL = "list_reduce([4294967295::UBIGINT] || list_transform(range(1, 31), lambda i: ord(body[i])::UBIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8)::UBIGINT[], lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END))"
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+plain AS ({_spans_sql("assign", _ASSIGNED + _OPEN, f"length(regexp_extract(m, '^{_ASSIGNED}({_OPEN})$', 1)) >= 6")}
+    UNION ALL {_spans_sql("access", "AKIA[A-Z0-9]+", "length(m) >= 20")} UNION ALL {_spans_sql("hex", "[0-9a-f]+", "length(m) >= 24")}),
+key AS ({_spans_sql("private_key", secrets._KEY.pattern, "true")} UNION ALL {_spans_sql("web_token", secrets._WEB.pattern, "true")}),
+like_token AS (SELECT doc_id, start, stop, substr(text, start::BIGINT + 1, (stop - start)::BIGINT) AS m FROM ({_spans_sql("checked_token", "(?:gh[opsru]|npm)_[A-Za-z0-9]+", "length(m) = 40")}) JOIN d USING (doc_id)),
+crc AS (SELECT doc_id, start, stop, m, xor({_CRC_SQL}, 4294967295::UBIGINT) AS crc FROM (SELECT *, m[5:34] AS body FROM like_token)),
+token AS (SELECT doc_id, 'checked_token' AS kind, start, stop FROM crc
+    WHERE m[35:] = array_to_string(list_transform([916132832, 14776336, 238328, 3844, 62, 1], lambda k: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', (crc // k % 62)::INT + 1, 1)), '')),
+span AS (SELECT *, list_position({[*secrets.KINDS]}, kind) AS o, kind || ':' || start || ':' || stop AS t FROM (SELECT * FROM plain UNION ALL SELECT * FROM key UNION ALL SELECT * FROM token)),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(t, ',' ORDER BY start, o) FILTER (o <= 3) AS base, string_agg(t, ',' ORDER BY start, o) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_substring_dedup, op4_sharding, op5_quality_rules, op6_mixing, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_near_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op6_mixing": OP6_SQL, "op7_secrets": OP7_SQL, "op8_exact_dedup": OP8_SQL}

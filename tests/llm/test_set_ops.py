@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from docloom.llm import common, mixing, near_dedup, queries, sharding, substring_dedup
+from docloom.llm import common, mixing, near_dedup, queries, secrets, sharding, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -221,9 +221,16 @@ def test_queries_with_sql(spark, docs, tmp_path):
     rnd = random.Random(12)
     passage = words(70, rnd)
     rows = [(i, " ".join(words(rnd.randrange(90), rnd) + (passage if i % 4 == 0 else [])), "en", rnd.choice(["s1", "s2", "s3", None])) for i in range(120)] + [(500 + i, t) for i, t in enumerate(["", None, "Dup", "dUP"])]
+    body = "x7" * 15
+    token = f"ghp_{body}{secrets.base62(zlib.crc32(body.encode()), 6)}"
+    hidden = [token, f"{token}0", token[:-1] + "~", f"é {token}\n-----BEGIN RSA PRIVATE KEY-----", "PassWord = 'abcdef12' tokentoken: secret=short", "AKIA" + "B" * 16, "eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 12, "0123456789abcdef" * 2 + "x", "api_key=\"é"]
+    rows += [(600 + i, t) for i, t in enumerate(hidden)]
+    rows += [(700 + i, " ".join([*passage[:60], *passage[:12], f"tail{i % 3}", "#|$"]) + "\nsame line\nsame line") for i in range(6)]
     docs(rows, extra=False).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 120, 2)] + [(None, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for table in ("documents", "labels"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     for name, sql in queries.ORACLES.items():
         got, want = queries.QUERIES[name](spark, str(tmp_path)), duck.sql(sql)
         columns = sorted(got.columns)
