@@ -92,6 +92,97 @@ def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.col("adapter_no").cast("long").alias("adapter_no"), "kind", "format", F.array_join("codes", ",").alias("codes"))
 
 
+def text_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """A text document for every forty parts: a heading, and a paragraph with a bold brand for each."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
+    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for book, rows in zip(pdf["book"], pdf["rows"]):
+                blocks = [(1, [(f"Parts {book}", False)])] + [(0, [(f"{r['p_name']} of size {r['p_size']}, ", False), (r["p_brand"], True)]) for r in rows]
+                content = {"docx": lambda: build.package(build.docx_files(blocks)), "odt": lambda: build.package(build.odt_files(blocks)), "rtf": lambda: build.rtf_bytes(blocks)}[kind]()
+                out.append({"path": f"/parts/book{book}.{kind}", "length": len(content), "content": content})
+            yield pd.DataFrame(out, columns=["path", "length", "content"])
+
+    return books.mapInPandas(make, "path string, length long, content binary")
+
+
+def _text_sql(kind: str, heading: str) -> str:
+    return f"""WITH p AS (SELECT p_partkey // 40 AS book, p_partkey, p_name || ' of size ' || p_size || ', **' || p_brand || '**' AS line FROM part)
+SELECT '/parts/book' || book || '.{kind}' AS path, '{kind}' AS format, 'ok' AS status, '{heading}Parts ' || book || chr(10) || chr(10) || string_agg(line, chr(10) || chr(10) ORDER BY p_partkey) || chr(10) AS markdown FROM p GROUP BY book"""
+
+
+def _converted(files: DataFrame) -> DataFrame:
+    return engine.convert_documents(files).select("path", "format", "status", "markdown")
+
+
+@query(_text_sql("docx", "# "))
+def docx_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _converted(text_files(spark, sf_dir, "docx"))
+
+
+@query(_text_sql("odt", "# "))
+def odt_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _converted(text_files(spark, sf_dir, "odt"))
+
+
+@query(_text_sql("rtf", ""))
+def rtf_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _converted(text_files(spark, sf_dir, "rtf"))
+
+
+def master_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every forty parts a master document of four linked texts of ten parts each; every fifth text is missing."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 10").alias("text"), F.struct("p_partkey", "p_name").alias("x"))
+    texts = rows.groupBy("text").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for text, rows in zip(pdf["text"], pdf["rows"]):
+                if text % 4 == 0:
+                    master = build.odm_files([(2, [(f"Volume {text // 4}", False)])], [(f"Part {k}", f"texts/t{k}.odt") for k in range(text, text + 4)])
+                    out.append((f"/books/volume{text // 4}.odm", build.package(master)))
+                if text % 5:
+                    out.append((f"/books/texts/t{text}.odt", build.package(build.odt_files([(0, [(r["p_name"], False)]) for r in rows]))))
+            yield pd.DataFrame([(p, len(c), c) for p, c in out], columns=["path", "length", "content"])
+
+    return texts.mapInPandas(make, "path string, length long, content binary")
+
+
+@query("""WITH t AS (SELECT p_partkey // 10 AS t, string_agg(p_name, chr(10) || chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY ALL),
+v AS (SELECT DISTINCT t // 4 AS v FROM t WHERE t % 4 = 0), s AS (SELECT v, 4 * v + i AS t FROM v, (SELECT unnest(range(0, 4)) AS i)),
+j AS (SELECT v, s.t, body FROM s LEFT JOIN t ON s.t = t.t AND s.t % 5 <> 0),
+m AS (SELECT v, bool_and(body IS NOT NULL) AS whole, min(CASE WHEN body IS NULL THEN t END) AS missing, string_agg('## Section: Part ' || t || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY t) AS text FROM j GROUP BY v)
+SELECT '/books/volume' || v || '.odm' AS path, CASE WHEN whole THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT whole THEN 'Invalid ODM input at /books/volume' || v || '.odm: the linked section document is missing or not an ODT document: texts/t' || missing || '.odt' END AS error,
+    CASE WHEN whole THEN '# volume' || v || chr(10) || chr(10) || '## Volume ' || v || chr(10) || chr(10) || text || chr(10) END AS markdown, CASE WHEN whole THEN 'openDocumentMaster.flattened' ELSE '' END AS codes FROM m""")
+def master_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = engine.convert_documents(master_files(spark, sf_dir)).where("format = 'odm'")
+    return done.select("path", "status", "error", "markdown", F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("codes"))
+
+
+@query("""SELECT '/notes/n' || c_custkey || '.rtfd' AS path, 'ok' AS status, c_name || ' in **' || c_mktsegment || '**' || chr(10) AS markdown,
+    CASE WHEN c_nationkey % 2 = 0 THEN 'Attachment was not represented in the generated Markdown: n' || c_nationkey || '.pdf' ELSE '' END AS messages FROM customer""")
+def package_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder package of rich text for each customer; those of even nations have an attachment that nothing shows."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                home = f"/notes/n{r.c_custkey}.rtfd"
+                out += [(f"{home}/TXT.rtf", build.rtf_bytes([(0, [(f"{r.c_name} in ", False), (r.c_mktsegment, True)])])), (f"{home}/.hidden", b"x")]
+                if r.c_nationkey % 2 == 0:
+                    out.append((f"{home}/n{r.c_nationkey}.pdf", b"%PDF"))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    done = engine.convert_packages(rows.mapInPandas(make, "path string, content binary"))
+    return done.select("path", "status", "markdown", F.array_join(F.transform("warnings", lambda w: w["message"]), ",").alias("messages"))
+
+
 def _mapped(df: DataFrame, key: str, column: str, f, out: str) -> DataFrame:
     @F.pandas_udf("string")
     def apply(s: pd.Series) -> pd.Series:

@@ -6,7 +6,7 @@ import struct
 import zlib
 from html import escape
 
-from docloom.sources import ods, xls, xlsx
+from docloom.sources import odm, ods, wordml, xls, xlsx
 from docloom.sources.cfb import END, FAT, FREE, SIGNATURE
 
 
@@ -92,6 +92,55 @@ def ods_files(sheets: list[tuple[str, list[list]]]) -> dict[str, str]:
     return ods_content(out)
 
 
+#: A paragraph: its heading level, 0 for none, and its runs of text, each bold or not.
+Block = tuple[int, list[tuple[str, bool]]]
+
+
+def docx_files(blocks: list[Block]) -> dict[str, str]:
+    body = ""
+    for level, runs in blocks:
+        style = f'<w:pPr><w:pStyle w:val="Heading{level}"/></w:pPr>' if level else ""
+        body += f"<w:p>{style}" + "".join(f'<w:r>{"<w:rPr><w:b/></w:rPr>" if bold else ""}<w:t xml:space="preserve">{escape(t)}</w:t></w:r>' for t, bold in runs) + "</w:p>"
+    main = next(iter(wordml.MAIN_TYPES))
+    return {
+        "[Content_Types].xml": f'<Types xmlns="{xlsx.TYPES}"><Override PartName="/word/document.xml" ContentType="{main}"/></Types>',
+        "word/styles.xml": f'<w:styles xmlns:w="{wordml.W}">' + "".join(f'<w:style w:styleId="Heading{n}"><w:name w:val="heading {n}"/></w:style>' for n in range(1, 7)) + "</w:styles>",
+        "word/document.xml": f'<w:document xmlns:w="{wordml.W}"><w:body>{body}</w:body></w:document>',
+    }
+
+
+def _open_document(mimetype: str, body: str) -> dict[str, str]:
+    spaces = {"office": ods.OFFICE, "text": ods.TEXT, "style": wordml.STYLE, "fo": wordml.FO, "xlink": odm.XLINK}
+    names = " ".join(f'xmlns:{k}="{v}"' for k, v in spaces.items())
+    styles = '<office:automatic-styles><style:style style:name="B" style:family="text"><style:text-properties fo:font-weight="bold"/></style:style></office:automatic-styles>'
+    return {"mimetype": mimetype, "content.xml": f"<office:document-content {names}>{styles}<office:body><office:text>{body}</office:text></office:body></office:document-content>"}
+
+
+def _paragraphs(blocks: list[Block]) -> str:
+    out = ""
+    for level, runs in blocks:
+        inner = "".join(f'<text:span text:style-name="B">{escape(t)}</text:span>' if bold else escape(t) for t, bold in runs)
+        out += f'<text:h text:outline-level="{level}">{inner}</text:h>' if level else f"<text:p>{inner}</text:p>"
+    return out
+
+
+def odt_files(blocks: list[Block]) -> dict[str, str]:
+    return _open_document(wordml.ODT_MIMETYPE, _paragraphs(blocks))
+
+
+def odm_files(blocks: list[Block], sections: list[tuple[str, str]]) -> dict[str, str]:
+    """A master document: its own paragraphs, then sections of (name, reference)."""
+    parts = "".join(f'<text:section text:name="{escape(n)}"><text:section-source xlink:href="{escape(r)}"/></text:section>' for n, r in sections)
+    return _open_document(odm.MIMETYPE, _paragraphs(blocks) + parts)
+
+
+def rtf_bytes(blocks: list[Block]) -> bytes:
+    """Headings are paragraphs like others; text beyond ASCII is written by number."""
+    char = lambda c: f"\\{c}" if c in "\\{}" else c if c.isascii() else f"\\u{ord(c) - 65536 if ord(c) > 32767 else ord(c)}?"
+    body = "".join("".join(("\\b " if bold else "") + "".join(map(char, t)) + ("\\b0 " if bold else "") for t, bold in runs) + "\\par\n" for _, runs in blocks)
+    return f"{{\\rtf1\\ansi {body}}}".encode()
+
+
 def record(kind: int, payload: bytes = b"") -> bytes:
     return struct.pack("<HH", kind, len(payload)) + payload
 
