@@ -109,6 +109,45 @@ def gfm_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.workbooks(named, ["doc_id"], "title")
 
 
+def book_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_cells in books of at most 64 sheets, so that no book grows with the tables; runs of backticks stand first."""
+    cells = order_cells(spark, sf_dir).withColumn("doc_id", F.expr("sheet_no div 64"))
+    shown = F.concat(F.repeat(F.lit("`"), (F.col("written.l_suppkey") % 5).cast("int")), "display")
+    return grid.last_written(cells.withColumn("display", shown), ["doc_id", "sheet_no"], F.col("written"))
+
+
+BOOK_CELLS = """
+cell AS (SELECT l_orderkey // 64 AS doc_id, l_orderkey AS sheet_no, l_linenumber AS r, (l_partkey % 5)::INT AS c,
+    max_by(repeat('`', l_suppkey % 5) || l_returnflag || '|' || l_suppkey, (l_partkey, l_suppkey, l_returnflag || '|' || l_suppkey)) AS display FROM lineitem GROUP BY ALL),
+size AS (SELECT doc_id, sheet_no, max(r) AS h, max(c) AS w FROM cell GROUP BY ALL),
+spot AS (SELECT doc_id, sheet_no, r, unnest(range(0, w::BIGINT + 1))::INT AS c FROM (SELECT doc_id, sheet_no, w, unnest(range(0, h::BIGINT + 1))::INT AS r FROM size)),
+shown AS (SELECT s.*, coalesce(display, '') AS display FROM spot s LEFT JOIN cell USING (doc_id, sheet_no, r, c))
+"""
+_BOOK_SQL = """SELECT doc_id, '# orders ' || doc_id || string_agg(chr(10) || chr(10) || '## Sheet: o' || sheet_no || chr(10) || chr(10) || body, '' ORDER BY sheet_no) || chr(10) AS markdown
+FROM body GROUP BY doc_id"""
+
+
+def _books(bodies: DataFrame) -> DataFrame:
+    named = bodies.withColumn("name", F.concat(F.lit("o"), F.col("sheet_no").cast("string"))).withColumn("title", F.concat(F.lit("orders "), F.col("doc_id").cast("string")))
+    return render.workbooks(named, ["doc_id"], "title")
+
+
+@query(f"""WITH {BOOK_CELLS},
+line AS (SELECT doc_id, sheet_no, r, '| ' || string_agg({GFM.format("display")}, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '| ' || string_agg('---', ' | ') || ' |' ELSE '' END AS t FROM shown GROUP BY doc_id, sheet_no, r),
+body AS (SELECT doc_id, sheet_no, string_agg(t, chr(10) ORDER BY r) AS body FROM line GROUP BY ALL)
+{_BOOK_SQL}""")
+def order_books_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _books(render.gfm_tables(grid.dense_grid(book_cells(spark, sf_dir), ["doc_id", "sheet_no"]), ["doc_id", "sheet_no"]))
+
+
+@query(f"""WITH {BOOK_CELLS},
+line AS (SELECT doc_id, sheet_no, r, string_agg({TSV.format("display")}, chr(9) ORDER BY c) AS t, max(length(regexp_extract(display, '^(`*)', 1))) AS k FROM shown GROUP BY ALL),
+body AS (SELECT doc_id, sheet_no, repeat('`', greatest(3, max(k) + 1)) || 'tsv' || chr(10) || string_agg(t, chr(10) ORDER BY r) || chr(10) || repeat('`', greatest(3, max(k) + 1)) AS body FROM line GROUP BY ALL)
+{_BOOK_SQL}""")
+def order_books_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _books(render.tsv_blocks(grid.dense_grid(book_cells(spark, sf_dir), ["doc_id", "sheet_no"]), ["doc_id", "sheet_no"]))
+
+
 @query("""WITH r AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS nth,
     CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS display, l_quantity::BIGINT AS repeat, l_linestatus = 'F' AND l_returnflag = 'N' AS covered FROM lineitem),
 s AS (SELECT *, sum(repeat) OVER (PARTITION BY sheet ORDER BY nth) - repeat AS start, max(CASE WHEN display <> '' OR covered THEN nth END) OVER (PARTITION BY sheet) AS stop FROM r)
