@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import byte_alphabet, cut, fresh, struct_of, text_runs
 
 #: Words, and characters of words, that a worker keeps with their identifiers before it starts anew.
-CACHE, CHARS = 300_000, 6_000_000
+CACHE, CHARS = 150_000, 3_000_000
 #: Blocks in which the rows of one group are numbered, at least, and rows of a table for each block more.
 BLOCKS, BLOCK_ROWS = 64, 100_000
 
