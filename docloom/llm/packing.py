@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import byte_alphabet, cut, fresh, struct_of, text_runs
 
-#: Words, and characters of words, that a worker keeps with their identifiers before it starts anew.
-CACHE, CHARS = 150_000, 3_000_000
+#: Words, and pieces of at most LONG characters, that a worker keeps with their identifiers before it starts anew.
+CACHE, CHARS, LONG = 150_000, 3_000_000, 64
 #: Blocks in which the rows of one group are numbered, at least, and rows of a table for each block more.
 BLOCKS, BLOCK_ROWS = 64, 100_000
 
@@ -45,17 +45,21 @@ class Words:
         self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_alphabet()))
+        self.pieces: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.pool, self.ends, self.chars = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
 
     def piece(self, piece: str) -> list[int]:
         if (ids := self.pieces.get(piece)) is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = [t.id for t in self.tokenize(letters)]
+            ids = [t.id for t in self.tokenize(letters)]
+            if len(piece) <= LONG:
+                self.pieces[piece] = ids
         return ids
 
     def learn(self, words: list[str]) -> np.ndarray:
