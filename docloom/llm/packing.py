@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import byte_alphabet, cut, fresh, struct_of, text_runs
 
 #: Words, and pieces of at most LONG characters, that a worker keeps with their identifiers before it starts anew.
-CACHE, CHARS, LONG = 150_000, 3_000_000, 64
+CACHE, CHARS, LONG = 300_000, 6_000_000, 64
 #: Blocks in which the rows of one group are numbered, at least, and rows of a table for each block more.
 BLOCKS, BLOCK_ROWS = 64, 100_000
 
@@ -45,19 +46,19 @@ class Words:
         self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = dict(enumerate(byte_alphabet()))
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.clear()
 
     def clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.pool, self.ends, self.chars = np.zeros(0, "<u4"), np.zeros(1, np.int64), 0
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         if (ids := self.pieces.get(piece)) is None:
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
             letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenize(letters)]
+            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
             if len(piece) <= LONG:
                 self.pieces[piece] = ids
         return ids
@@ -68,17 +69,12 @@ class Words:
         if len(self.rows) + len(new) > CACHE or self.chars > CHARS:
             self.clear()
             new = words
-        flat: list[int] = []
-        ends = []
-        for w in new:
-            for p in _PIECE.findall(w):
-                flat += self.piece(p)
-            ends.append(len(flat))
+        own = [b"".join(map(self.piece, _PIECE.findall(w))) for w in new]
         known = len(self.rows)
         self.rows.update(zip(new, range(known, known + len(new))))
         self.chars += sum(map(len, new))
-        self.ends = np.append(self.ends, len(self.pool) + np.array(ends, np.int64))
-        self.pool = np.append(self.pool, np.array(flat, "<u4"))
+        self.ends = np.append(self.ends, len(self.pool) + np.cumsum([len(x) // 4 for x in own], dtype=np.int64))
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(own), "<u4"))
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: list[str]) -> list[bytes]:
