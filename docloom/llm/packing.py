@@ -69,7 +69,8 @@ class Words:
         if len(self.rows) + len(new) > CACHE or self.chars > CHARS:
             self.clear()
             new = words
-        own = [b"".join(map(self.piece, _PIECE.findall(w))) for w in new]
+        held, piece, split = self.pieces.get, self.piece, _PIECE.findall
+        own = [held(w) or b"".join([held(p) or piece(p) for p in split(w)]) for w in new]
         known = len(self.rows)
         self.rows.update(zip(new, range(known, known + len(new))))
         self.chars += sum(map(len, new))
@@ -82,7 +83,7 @@ class Words:
         plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t if p else "" for t, p in zip(texts, plain)], pa.large_string())))
         words = lists.values.dictionary_encode()
-        places = self.learn(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        places = self.learn(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         start = self.ends[places]
         size = self.ends[places + 1] - start
         upto = np.append(0, np.cumsum(size))
@@ -109,7 +110,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_numpy(zero_copy_only=False)]
             row, piece, start, length, crc = [], [], [], [], []
             for a, b in text_runs(texts):
                 for i, ids in enumerate(words.encode(texts[a:b]), a):
