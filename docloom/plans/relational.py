@@ -178,30 +178,14 @@ def trailing_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("sheet_no", "r", F.array_join("row", "\t").alias("cells"), F.size("row").cast("long").alias("n"))
 
 
-@query("""WITH cell AS (SELECT l_suppkey % 7 AS sheet, l_linenumber AS r, (l_partkey % 9)::INT AS c FROM lineitem WHERE l_partkey % 4 = 0 GROUP BY ALL),
-link AS (SELECT s_suppkey AS link, s_suppkey % 7 AS sheet, s_suppkey % 5 AS r0, s_suppkey % 6 AS c0, s_suppkey % 5 + s_nationkey % 4 AS r1, s_suppkey % 6 + s_nationkey % 3 AS c1,
-    CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_name END AS display FROM supplier),
-rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link WHERE display <> ''),
-area AS (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS c FROM rows)
-SELECT sheet, a.r, a.c, min_by(display, link) AS display FROM area a ANTI JOIN cell USING (sheet, r, c) GROUP BY ALL""")
-def link_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").where("l_partkey % 4 = 0").select((F.col("l_suppkey") % 7).alias("sheet"), F.col("l_linenumber").cast("long").alias("r"), (F.col("l_partkey") % 9).alias("c"), F.lit("x").alias("display")).distinct()
-    s = F.col("s_suppkey")
-    links = table(spark, sf_dir, "supplier").select(
-        s.alias("link"), (s % 7).alias("sheet"), (s % 5).alias("r0"), (s % 6).alias("c0"), (s % 5 + F.col("s_nationkey") % 4).alias("r1"), (s % 6 + F.col("s_nationkey") % 3).alias("c1"),
-        F.when(s % 11 == 0, "").otherwise(F.col("s_name")).alias("display"),
-    )
-    return grid.link_fill(cells, links, ["sheet"])
-
-
 @query("""WITH cell AS (SELECT l_suppkey % 7 AS sheet, l_linenumber AS r, (l_partkey % 9)::INT AS c FROM lineitem WHERE (l_suppkey % 7 * 5 + l_linenumber * 3 + l_partkey % 9) % 4 <> 0 GROUP BY ALL),
 link AS (SELECT s_suppkey AS link, s_suppkey % 7 AS sheet, s_suppkey % 5 AS r0, s_suppkey % 6 AS c0, s_suppkey % 5 + s_nationkey % 4 AS r1, s_suppkey % 6 + s_nationkey % 3 AS c1,
     CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_name END AS display FROM supplier),
 rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link WHERE display <> ''),
 area AS (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS c FROM rows)
 SELECT sheet, a.r, a.c, min_by(display, link) AS display FROM area a ANTI JOIN cell USING (sheet, r, c) GROUP BY ALL""")
-def link_fill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """link_fill over every row of lineitem; the gaps are cells whose display is blank, by their place."""
+def link_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of every row of lineitem; the gaps are cells whose display is blank, by their place."""
     sheet, r, c = F.col("l_suppkey") % 7, F.col("l_linenumber").cast("long"), F.col("l_partkey") % 9
     display = F.when((sheet * 5 + r * 3 + c) % 4 == 0, "").otherwise("x")
     cells = table(spark, sf_dir, "lineitem").select(sheet.alias("sheet"), r.alias("r"), c.alias("c"), display.alias("display")).distinct()
@@ -235,23 +219,12 @@ def shared_string_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.shared_strings(cells, strings, []).drop("idx")
 
 
-@query("""WITH rel AS (SELECT c_custkey AS rel, CASE c_custkey % 4 WHEN 0 THEN 'chartsheet' WHEN 1 THEN 'styles' ELSE 'worksheet' END AS type, CASE WHEN c_custkey % 10 = 3 THEN 'External' END AS mode FROM customer WHERE c_custkey % 9 <> 0)
-SELECT o_orderkey, CASE WHEN type IS NULL OR type = 'worksheet' AND mode = 'External' THEN 'error' WHEN type = 'worksheet' THEN 'worksheet' WHEN type = 'chartsheet' THEN 'skipped' ELSE 'error' END AS kind
-FROM orders LEFT JOIN rel ON o_custkey = rel""")
-def sheet_rel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("c_custkey")
-    kind = F.when(key % 4 == 0, "chartsheet").when(key % 4 == 1, "styles").otherwise("worksheet")
-    rels = table(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select(key.alias("rel"), kind.alias("type"), F.when(key % 10 == 3, "External").alias("mode"))
-    sheets = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("rel"))
-    return grid.sheet_parts(sheets, rels, []).select("o_orderkey", "kind")
-
-
 @query("""WITH rel AS (SELECT c_custkey AS rel, CASE c_custkey % 4 WHEN 0 THEN 'chartsheet' WHEN 1 THEN 'styles' ELSE 'worksheet' END AS type, CASE WHEN c_custkey % 10 = 3 THEN 'External' END AS mode FROM customer),
 sheet AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN -1 - o_custkey ELSE o_custkey END AS id FROM orders)
 SELECT o_orderkey, CASE WHEN type IS NULL OR type = 'worksheet' AND mode = 'External' THEN 'error' WHEN type = 'worksheet' THEN 'worksheet' WHEN type = 'chartsheet' THEN 'skipped' ELSE 'error' END AS kind
 FROM sheet LEFT JOIN rel ON id = rel""")
-def sheet_rel_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sheet_rel_join over every customer; the gaps are orders whose relationship id is shifted to one that is not there."""
+def sheet_rel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every customer; the gaps are orders whose relationship id is shifted to one that is not there."""
     key, cust = F.col("c_custkey"), F.col("o_custkey")
     kind = F.when(key % 4 == 0, "chartsheet").when(key % 4 == 1, "styles").otherwise("worksheet")
     rels = table(spark, sf_dir, "customer").select(key.alias("rel"), kind.alias("type"), F.when(key % 10 == 3, "External").alias("mode"))
@@ -439,22 +412,12 @@ def leading_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostile(spark, sf_dir).select("doc_id", text.leading_escape(F.col("text")).alias("text"))
 
 
-@query(rf"""WITH h AS ({DUCK_HOSTILE}), l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM h UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '  \_\_\_' ELSE '***• **' || chr(160) END FROM documents)
-SELECT doc_id, line, regexp_replace(translate(line, '*_', ''), '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g') = '•' AS bullet,
-    CASE WHEN regexp_matches(line, '^[ \t]*(\\_){{3,}}[ \t]*$') THEN replace(line, '\_', '_') ELSE line END AS rule, regexp_replace(line, '^([ \t]*)\\-', '\1-') AS hyphen FROM l""")
-def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = hostile(spark, sf_dir).select("doc_id", F.split("text", "\n")[0].alias("line"))
-    made = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "  \\_\\_\\_").otherwise("***• ** ").alias("line"))
-    line = F.col("line")
-    return first.unionAll(made).select("doc_id", "line", text.bullet_line(line).alias("bullet"), text.plain_rule(line).alias("rule"), text.plain_hyphen(line).alias("hyphen"))
-
-
 @query(rf"""WITH h AS ({DUCK_HOSTILE}), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM h
     UNION ALL SELECT doc_id, -1, CASE WHEN doc_id % 2 = 0 THEN '  \_\_\_' ELSE '***• **' || chr(160) END FROM documents)
 SELECT doc_id, pos, line, regexp_replace(translate(line, '*_', ''), '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g') = '•' AS bullet,
     CASE WHEN regexp_matches(line, '^[ \t]*(\\_){{3,}}[ \t]*$') THEN replace(line, '\_', '_') ELSE line END AS rule, regexp_replace(line, '^([ \t]*)\\-', '\1-') AS hyphen FROM l""")
-def line_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """line_rules over every line of each text, by position; the made lines stand at -1."""
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of each text, by position; the made lines stand at -1."""
     lines = hostile(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     made = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1), F.when(F.col("doc_id") % 2 == 0, "  \\_\\_\\_").otherwise("***• **\u00a0"))
     line = F.col("line")

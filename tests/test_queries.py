@@ -53,7 +53,7 @@ def test_hostile_content_reaches_every_rule(spark):
 
 def test_line_rules_reach_every_line(spark):
     want = sorted((r.doc_id, pos, line) for r in relational.hostile(spark, DATA).where("text is not null").collect() for pos, line in enumerate(r.text.split("\n")))
-    got = relational.QUERIES["line_rules_all"](spark, DATA).where("pos >= 0")
+    got = relational.QUERIES["line_rules"](spark, DATA).where("pos >= 0")
     assert sorted((r.doc_id, r.pos, r.line) for r in got.collect()) == want
     assert any(pos > 0 for _, pos, _ in want)
 
@@ -63,11 +63,11 @@ def test_gaps_are_made_without_a_filter(spark, monkeypatch):
     fill, parts = relational.grid.link_fill, relational.grid.sheet_parts
     monkeypatch.setattr(relational.grid, "link_fill", lambda cells, links, by: seen.update(cells=cells) or fill(cells, links, by))
     monkeypatch.setattr(relational.grid, "sheet_parts", lambda sheets, rels, by: seen.update(rels=rels) or parts(sheets, rels, by))
-    filled = {(r.sheet, r.r, r.c) for r in relational.QUERIES["link_fill_all"](spark, DATA).collect()}
+    filled = {(r.sheet, r.r, r.c) for r in relational.QUERIES["link_fill"](spark, DATA).collect()}
     places = {(r[0] % 7, r[1], r[2] % 9) for r in relational.table(spark, DATA, "lineitem").select("l_suppkey", "l_linenumber", "l_partkey").collect()}
     assert {(r.sheet, r.r, r.c) for r in seen["cells"].collect()} == places
     assert filled & places and all((5 * s + 3 * r + c) % 4 == 0 for s, r, c in filled & places)
-    kinds = dict(relational.QUERIES["sheet_rel_join_all"](spark, DATA).collect())
+    kinds = dict(relational.QUERIES["sheet_rel_join"](spark, DATA).collect())
     customers = {r[0] for r in relational.table(spark, DATA, "customer").select("c_custkey").collect()}
     assert {r.rel for r in seen["rels"].collect()} == customers
     ninth = [r[0] for r in relational.table(spark, DATA, "orders").where("o_custkey % 9 = 0 and o_orderkey % 9 <> 0 and o_custkey % 4 = 0").select("o_orderkey").collect()]
