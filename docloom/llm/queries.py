@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_counts
+from docloom.llm import exact_dedup, license_rules, license_scan, mixing, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secrets, sharding, substring_dedup, token_counts, whitening
 from docloom.llm.common import documents
 
 
@@ -61,6 +61,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.license_spans(documents(spark, sf_dir)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(documents(spark, sf_dir))))
+
+
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM d WHERE len(ws) >= 50)),
@@ -173,5 +186,29 @@ s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FIL
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_substring_dedup, op4_sharding, op5_quality_rules, op6_mixing, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts)}
-ORACLES = {"op1_near_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op6_mixing": OP6_SQL, "op7_secrets": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+
+
+def _rule_rows() -> str:
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    rows = ((r["number"], quoted(r["keyword"]), quoted(r["before"]), quoted(r["after"]), quoted(r["label"]), r["level"], r["confidence"], r["base"]) for r in map(license_scan.shown, license_rules.rules()))
+    return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+
+
+OP12_SQL = rf"""
+WITH rule(number, keyword, before, after, label, level, confidence, base) AS (VALUES {_rule_rows()}),
+d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.GAP}'), lambda w: w <> '') AS ws FROM documents),
+word AS (SELECT doc_id, ws, unnest(ws) AS w, (generate_subscripts(ws, 1) - 1)::INT AS at FROM d),
+hit AS (SELECT doc_id, w, at, array_to_string(list_transform(ws[greatest(at - 24, 0) + 1:at], lambda x: x || ' '), '') AS l, array_to_string(list_transform(ws[at + 2:at + 25], lambda x: ' ' || x), '') AS r
+    FROM word WHERE w IN (SELECT keyword FROM rule)),
+part AS (SELECT doc_id, at, regexp_extract(l, before, 1) AS l, regexp_extract(r, after, 1) AS r, number, label, level, confidence, base FROM hit JOIN rule ON w = keyword WHERE regexp_matches(l, before) AND regexp_matches(r, after)),
+found AS (SELECT doc_id, at - length(l) + length(replace(l, ' ', '')) AS start, at + 1 + length(r) - length(replace(r, ' ', '')) AS stop, number, label, level, confidence, base FROM part),
+gone AS (SELECT DISTINCT x.doc_id, x.start, x.stop, x.number FROM found x JOIN found y ON x.doc_id = y.doc_id AND y.start <= x.start AND y.stop >= x.stop AND y.level <= x.level AND NOT y.base
+    WHERE NOT x.base AND (y.start < x.start OR y.stop > x.stop OR (y.level, y.number) < (x.level, x.number))),
+s AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(confidence) AS score FROM found ANTI JOIN gone USING (doc_id, start, stop, number) GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN s USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_packing, op3_substring_dedup, op4_sharding, op5_quality_rules, op6_mixing, op7_secrets, op8_exact_dedup, op9_quality_classifier, op10_token_counts, op11_whitening, op12_licenses, op13_periodic_runs)}
+ORACLES = {"op1_near_dedup": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op5_quality_rules": OP5_SQL, "op6_mixing": OP6_SQL, "op7_secrets": OP7_SQL, "op8_exact_dedup": OP8_SQL, "op12_licenses": OP12_SQL}
