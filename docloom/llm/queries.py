@@ -197,11 +197,11 @@ def _rule_rows() -> str:
 OP12_SQL = rf"""
 WITH rule(number, keyword, before, after, label, level, confidence, base) AS (VALUES {_rule_rows()}),
 d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{license_scan.GAP}'), lambda w: w <> '') AS ws FROM documents),
-word AS (SELECT doc_id, ws, unnest(ws) AS w, (generate_subscripts(ws, 1) - 1)::INT AS at FROM d),
-hit AS (SELECT doc_id, w, at, array_to_string(list_transform(ws[greatest(at - 24, 0) + 1:at], lambda x: x || ' '), '') AS l, array_to_string(list_transform(ws[at + 2:at + 25], lambda x: ' ' || x), '') AS r
+word AS (SELECT doc_id, ws, unnest(ws) AS w, (generate_subscripts(ws, 1) - 1)::INT AS pos FROM d),
+hit AS (SELECT doc_id, w, pos, array_to_string(list_transform(ws[greatest(pos - 24, 0) + 1:pos], lambda x: x || ' '), '') AS l, array_to_string(list_transform(ws[pos + 2:pos + 25], lambda x: ' ' || x), '') AS r
     FROM word WHERE w IN (SELECT keyword FROM rule)),
-part AS (SELECT doc_id, at, regexp_extract(l, before, 1) AS l, regexp_extract(r, after, 1) AS r, number, label, level, confidence, base FROM hit JOIN rule ON w = keyword WHERE regexp_matches(l, before) AND regexp_matches(r, after)),
-found AS (SELECT doc_id, at - length(l) + length(replace(l, ' ', '')) AS start, at + 1 + length(r) - length(replace(r, ' ', '')) AS stop, number, label, level, confidence, base FROM part),
+part AS (SELECT doc_id, pos, regexp_extract(l, before, 1) AS l, regexp_extract(r, after, 1) AS r, number, label, level, confidence, base FROM hit JOIN rule ON w = keyword WHERE regexp_matches(l, before) AND regexp_matches(r, after)),
+found AS (SELECT doc_id, pos - length(l) + length(replace(l, ' ', '')) AS start, pos + 1 + length(r) - length(replace(r, ' ', '')) AS stop, number, label, level, confidence, base FROM part),
 gone AS (SELECT DISTINCT x.doc_id, x.start, x.stop, x.number FROM found x JOIN found y ON x.doc_id = y.doc_id AND y.start <= x.start AND y.stop >= x.stop AND y.level <= x.level AND NOT y.base
     WHERE NOT x.base AND (y.start < x.start OR y.stop > x.stop OR (y.level, y.number) < (x.level, x.number))),
 s AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
