@@ -51,9 +51,9 @@ def _count(spaced: Column) -> Column:
     return F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))
 
 
-def _near(words: Column, present: Column) -> Column:
+def _near(words: Column, keywords: tuple[str, ...]) -> Column:
     """(at, word, before, after) of each word that is a keyword."""
-    at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(present, w), i)), lambda i: i.isNotNull())
+    at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*keywords), i)), lambda i: i.isNotNull())
 
     def around(i: Column) -> Column:
         first = F.greatest(i - NEAR, F.lit(0))
@@ -126,8 +126,7 @@ def license_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     n = F.size(words) - F.when(F.size(words) == 1, blank(1)).otherwise(blank(1) + blank(-1))
     rows = rows.select(k, t, n.cast("long").alias("n_words"), F.arrays_overlap(words, F.array(*map(F.lit, keywords))).alias(gate))
     rows = rows.withColumn(words, F.when(F.col(gate), _words(F.translate(t, _UPPER, _LOWER))).otherwise(F.array().cast("array<string>"))).drop(t)
-    rows = rows.withColumn("_present", F.array_intersect(words, F.array(*map(F.lit, keywords))))
-    rows = rows.withColumn(near, _near(F.col(words), F.col("_present"))).drop(words)
+    rows = rows.withColumn(near, _near(F.col(words), keywords)).drop(words)
     ruled = F.from_json(F.lit(spec), f"map<string, array<struct<{_ddl(_RULE)}>>>")
     rows = rows.withColumn(found, _found(F.col(near), ruled)).drop(near)
     return rows.select(F.col(k).alias(key), "n_words", _kept(F.col(found)).alias("spans"))
