@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, unquote, urlparse
 
-_IMAGE = re.compile(r"""(<img\b[^>]*?\bsrc\s*=\s*)(["'])(.*?)\2""", re.I | re.S)
+#: Fixed value: what an image's source is. Groups: what is before it, the source, what ends it.
+IMAGE = r"""(<img\b[^>]*\bsrc\s*=\s*["'])([^"']+)(["'])"""
+_IMAGE = re.compile(IMAGE, re.I)
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
 
 
@@ -21,9 +23,9 @@ def resolved(reference: str) -> str:
         return unquote(urlparse(plain).path).rpartition("/")[2]
     if _SCHEME.match(plain):
         raise UnsafeReference(reference)
-    name = re.sub(r"^(\./)+", "", unquote(plain))
-    parts = name.split("/")
-    if not name or name.startswith("/") or "\\" in name or any(p in ("", ".", "..") for p in parts):
+    name = re.sub("/+", "/", re.sub(r"^(\./)+", "", unquote(plain)))
+    name = name[:-1] if len(name) > 1 and name.endswith("/") else name
+    if not name or name.startswith("/") or "\\" in name or {".", ".."} & {*name.split("/")}:
         raise UnsafeReference(reference)
     return name
 
@@ -34,13 +36,13 @@ def rewrite(html: str, files: dict[str, bytes]) -> tuple[str, dict[str, bytes],
     assets: dict[str, bytes] = {}
 
     def place(m: re.Match) -> str:
-        name = resolved(m[3])
+        name = resolved(m[2])
         if name not in files:
-            raise UnsafeReference(m[3])
+            raise UnsafeReference(m[2])
         if name not in named:
             suffix = name.rpartition("/")[2].rpartition(".")
             named[name] = f"image{len(named) + 1:02d}" + (f".{suffix[2].lower()}" if suffix[1] else "")
             assets[f"images/{named[name]}"] = files[name]
-        return f"{m[1]}{m[2]}images/{quote(named[name])}{m[2]}"
+        return f"{m[1]}images/{quote(named[name])}{m[3]}"
 
     return _IMAGE.sub(place, html), assets, {*named}

@@ -6,11 +6,12 @@ import re
 
 _BLANK = re.compile(r"[ \t]*")
 _INDENT = re.compile(r"[ \t]*")
-_MARKER = re.compile(r"[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+")
+_MARKER = re.compile(r"[ \t]*((?:[-*+]|[0-9]{1,9}[.)])[ \t]+)")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)", re.S)
 _RULE = re.compile(r"([ \t]*)((?:\\_){3,})")
 _HYPHEN = re.compile(r"([ \t]*)\\-")
-_EDGE = re.compile(r"^[\s ]+|[\s ]+$")
+#: What is trimmed: tabs and the spaces of Unicode.
+_SPACES = "\t \u00a0\u1680\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def width(indent: str) -> int:
@@ -53,7 +54,7 @@ def code_lines(lines: list[str]) -> list[bool]:
             elif found := opening_fence(line):
                 code[i], fence = True, found
             elif m := _MARKER.match(line):
-                items = [*items, width(m[0])]
+                items = [*items, indent + len(m[1])]
         if run and code[i] and last_code == run[0] - 1 and last_code >= 0:
             for k in run:
                 code[k] = True
@@ -66,11 +67,11 @@ def code_lines(lines: list[str]) -> list[bool]:
 def plain_line(line: str, following: str | None) -> str:
     """One line that is not code; the first rule that fits holds."""
     indent = _INDENT.match(line)[0]
-    if _EDGE.sub("", line.translate({42: None, 95: None})) == "•":
+    if line.translate({42: None, 95: None}).strip(_SPACES) == "•":
         return indent + "-"
     if (len(line) - len(line.rstrip("\\"))) % 2:
         body = line[:-1]
-        if not body.strip(" \t ").strip("*_"):
+        if not body.strip(_SPACES).strip("*_"):
             return "  "
         layout = following is None or is_blank(following) or _MARKER.match(following)
         return body.rstrip(" \t") + ("" if layout else "  ")
@@ -86,7 +87,7 @@ def compact(lines: list[str], code: list[bool]) -> list[str]:
     for i, line in enumerate(lines):
         if line == "" and not code[i] and out and i + 1 < len(lines):
             before, after = out[-1], lines[i + 1]
-            if soft(before) or soft(after) or before.strip() == after.strip() == "-":
+            if soft(before) or soft(after) or before.strip(_SPACES) == after.strip(_SPACES) == "-":
                 continue
         out.append(line)
     return out
@@ -96,8 +97,8 @@ def normalized(markdown: str) -> str:
     """Hard breaks as two spaces, plain bullets, rules and hyphens, compact blanks; code stays; one final line end."""
     text = markdown.replace("\r\n", "\n")
     final = text.endswith("\n")
-    lines = text.split("\n")
+    lines = text.removesuffix("\n").split("\n")
     code = code_lines(lines)
     plain = [x if c else plain_line(x, lines[i + 1] if i + 1 < len(lines) else None) for i, (x, c) in enumerate(zip(lines, code))]
     out = "\n".join(compact(plain, code))
-    return out if not final or out.endswith("\n") else out + "\n"
+    return out + "\n" if final else out

@@ -59,10 +59,16 @@ def blank_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\p{Zs}\t]+|[\p{Zs}\t]+$", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Whether a line has nothing but spaces and tabs."""
+    return c.rlike(r"\A[ \t]*\z")
+
+
 def list_indent(c: Column) -> Column:
-    """Width of a list item's marker and the blanks after it, tabs as four columns; null without a marker."""
-    marker = F.regexp_extract(c, r"^([ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+)", 1)
-    return F.when(marker != "", indent_width(marker))
+    """Where a list item's content begins: the width of its indentation, and the marker and the blanks after it, a
+    column each; null without a marker."""
+    marker = r"\A([ \t]*)((?:[-*+]|[0-9]{1,9}[.)])[ \t]+)"
+    return F.when(c.rlike(marker), indent_width(F.regexp_extract(c, marker, 1)) + F.length(F.regexp_extract(c, marker, 2)))
 
 
 def indent_width(c: Column) -> Column:
@@ -76,12 +82,12 @@ def bullet_line(c: Column) -> Column:
 
 def hard_break(c: Column) -> Column:
     """Whether a line ends with an odd number of backslashes."""
-    return F.length(F.regexp_extract(c, r"(\\*)$", 1)) % 2 == 1
+    return F.length(F.regexp_extract(c, r"(\\*)\z", 1)) % 2 == 1
 
 
 def plain_rule(c: Column) -> Column:
-    r"""A line of three or more escaped underscores becomes plain underscores."""
-    return F.when(c.rlike(r"^[ \t]*(\\_){3,}[ \t]*$"), F.replace(c, F.lit("\\_"), F.lit("_"))).otherwise(c)
+    r"""A line of three or more escaped underscores, and nothing after them, becomes plain underscores."""
+    return F.when(c.rlike(r"\A[ \t]*(\\_){3,}\z"), F.replace(c, F.lit("\\_"), F.lit("_"))).otherwise(c)
 
 
 def plain_hyphen(c: Column) -> Column:

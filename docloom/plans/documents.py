@@ -191,11 +191,6 @@ def _mapped(df: DataFrame, key: str, column: str, f, out: str) -> DataFrame:
     return df.select(key, apply(F.col(column)).alias(out))
 
 
-@query()
-def normalize_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(hostile(spark, sf_dir), "doc_id", "text", markdown.normalized, "markdown")
-
-
 @query()
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = hostile(spark, sf_dir).withColumn("text", F.concat(F.lit("![x](images/image01.png) `](images/` \\](images/ "), "text", F.lit("\n\n[y](<images/image02.png>)")))
@@ -205,5 +200,3 @@ def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(table(spark, sf_dir, "pages"), "page_id", "html", lambda h: markdown.normalized(gfm.markdown(h)), "markdown")
-
-

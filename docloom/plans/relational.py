@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import refs, text
-from docloom.operators import grid, render, resolve
+from docloom.functions.images import IMAGE
+from docloom.operators import grid, images, normalize, render, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -274,6 +275,44 @@ def first_seen_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.sequential_names(rows, "page_id", "pos", "ref", "ext")
 
 
+#: Images put before a page, by number: one or several tags, safe and unsafe.
+PICTURES = [
+    '<img src="media/a.PNG"><img alt="x" src="./media/a.PNG"><img src=\'media//a.PNG\'>', '<IMG width=1 src = "a%20b&amp;c.jpeg">', '<img src="../up.png">', '<img src="https://h.example/x.png">', '<img src="file:///tmp/dir/c%20d.Gif"><img src="c%20d.Gif">',
+    '<img src="/abs.png">', '<img src="a\\b.png">', '<img alt="no source"><p src="x.png">', '<img src="a/./b.png">', '<img src="x+y.p~g"><img src="odd.a(b">', '<img data-x="1" src="noext"><img src=".hidden"><img src="end.">',
+]
+_DUCK_PAGES = f"""p AS (SELECT page_id, [{", ".join(map(_duck, PICTURES))}][page_id % {len(PICTURES)} + 1] || replace(html, '<a href="/', '<IMG class=x src = "./') AS html FROM pages),
+r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i){IMAGE.replace("'", "''")}', 2)) AS reference, generate_subscripts(regexp_extract_all(html, '(?i){IMAGE.replace("'", "''")}', 2), 1) - 1 AS pos FROM p),
+t AS (SELECT *, replace(reference, '&amp;', '&') AS t, rtrim(regexp_replace(regexp_replace(url_decode(replace(reference, '&amp;', '&')), '^(\\./)+', ''), '/+', '/', 'g'), '/') AS f FROM r),
+n AS (SELECT page_id, pos, reference, CASE WHEN starts_with(t, 'file:') THEN url_decode(regexp_extract(t, '([^/]*)$', 1)) WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR f = '' OR starts_with(f, '/') OR contains(f, '\\') OR list_has_any(string_split(f, '/'), ['.', '..']) THEN NULL ELSE f END AS file FROM t)"""
+
+
+def pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose own links are images, and with others before them."""
+    head = F.get(F.array(*map(F.lit, PICTURES)), (F.col("page_id") % len(PICTURES)).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.replace("html", F.lit('<a href="/'), F.lit('<IMG class=x src = "./'))).alias("html"))
+
+
+@query(f"WITH {_DUCK_PAGES} SELECT page_id, pos::BIGINT AS pos, reference, file FROM n")
+def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_references(pictured(spark, sf_dir), "page_id").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"""WITH {_DUCK_PAGES},
+e AS (SELECT page_id, arg_min(reference, pos) AS bad FROM n WHERE file IS NULL GROUP BY page_id),
+first AS (SELECT page_id, file, min(pos) AS pos FROM n GROUP BY ALL),
+named AS (SELECT page_id, file, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS k, lower(regexp_extract(file, '[^/]\\.([^./]+)$', 1)) AS ext FROM first),
+asset AS (SELECT page_id, file, 'image' || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') || CASE WHEN ext = '' THEN '' ELSE '.' || ext END AS asset FROM named),
+piece AS (SELECT p.page_id, unnest(string_split_regex(html, '(?i){IMAGE.replace("'", "''")}')) AS t, generate_subscripts(string_split_regex(html, '(?i){IMAGE.replace("'", "''")}'), 1) - 1 AS pos FROM p),
+edge AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i){IMAGE.replace("'", "''")}', 1)) AS head, unnest(regexp_extract_all(html, '(?i){IMAGE.replace("'", "''")}', 3)) AS tail, generate_subscripts(regexp_extract_all(html, '(?i){IMAGE.replace("'", "''")}', 1), 1) - 1 AS pos FROM p),
+html AS (SELECT page_id, string_agg(piece.t || coalesce(head || 'images/' || replace(replace(asset, '(', '%28'), ' ', '%20') || tail, ''), '' ORDER BY pos) AS html FROM piece LEFT JOIN edge USING (page_id, pos) LEFT JOIN n USING (page_id, pos) LEFT JOIN asset USING (page_id, file) GROUP BY page_id),
+list AS (SELECT page_id, string_agg(asset || '=' || file, ',' ORDER BY asset) AS assets FROM asset GROUP BY page_id)
+SELECT page_id, CASE WHEN bad IS NULL THEN html END AS html, CASE WHEN bad IS NULL THEN coalesce(assets, '') END AS assets, '{images.UNSAFE}' || bad AS error FROM html LEFT JOIN e USING (page_id) LEFT JOIN list USING (page_id)""")
+def image_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = images.rewrite_images(pictured(spark, sf_dir), "page_id")
+    listed = F.array_join(F.array_sort(F.transform("assets", lambda a: F.concat(a["asset"], F.lit("="), a["file"]))), ",")
+    return done.withColumn("assets", listed)
+
+
 @query(r"""WITH l AS (SELECT page_id, unnest(list_concat([url, ''], regexp_extract_all(html, '(?i)href="([^"]*)"', 1), [replace(url, '/', '\'), 'a/../b', '/abs', 'images/' || page_id || '.png', './x/..'])) AS ref FROM pages)
 SELECT page_id, ref, ref = '' OR regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.\-]*:') OR starts_with(ref, '/') OR contains(ref, '\') OR regexp_matches(ref, '(^|/)\.\.(/|$)') AS unsafe FROM l""")
 def unsafe_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +347,8 @@ def word_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 x AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 1 THEN line || '\' ELSE line END AS line FROM l),
 n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM x)
 SELECT doc_id, pos, length(regexp_extract(line, '(\\*)$', 1)) % 2 = 1 AS breaks, next IS NULL OR trim(next, ' ' || chr(9)) = '' OR regexp_matches(next, '^[ \t]*([-*+]|[0-9]{{1,9}}[.)])[ \t]+') AS dropped,
-    length(replace(nullif(regexp_extract(line, '^([ \t]*(?:[-*+]|[0-9]{{1,9}}[.)])[ \t]+)', 1), ''), chr(9), '    ')) AS indent FROM n""")
+    CASE WHEN regexp_matches(line, '^[ \t]*(?:[-*+]|[0-9]{{1,9}}[.)])[ \t]+')
+        THEN length(replace(regexp_extract(line, '^([ \t]*)', 1), chr(9), '    ')) + length(regexp_extract(line, '^[ \t]*((?:[-*+]|[0-9]{{1,9}}[.)])[ \t]+)', 1)) END AS indent FROM n""")
 def line_lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -415,7 +455,7 @@ def leading_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH h AS ({DUCK_HOSTILE}), l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM h
     UNION ALL SELECT doc_id, -1, CASE WHEN doc_id % 2 = 0 THEN '  \_\_\_' ELSE '***• **' || chr(160) END FROM documents)
 SELECT doc_id, pos, line, regexp_replace(translate(line, '*_', ''), '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g') = '•' AS bullet,
-    CASE WHEN regexp_matches(line, '^[ \t]*(\\_){{3,}}[ \t]*$') THEN replace(line, '\_', '_') ELSE line END AS rule, regexp_replace(line, '^([ \t]*)\\-', '\1-') AS hyphen FROM l""")
+    CASE WHEN regexp_matches(line, '^[ \t]*(\\_){{3,}}$') THEN replace(line, '\_', '_') ELSE line END AS rule, regexp_replace(line, '^([ \t]*)\\-', '\1-') AS hyphen FROM l""")
 def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of each text, by position; the made lines stand at -1."""
     lines = hostile(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -424,6 +464,51 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionAll(made).select("doc_id", F.col("pos").cast("long").alias("pos"), "line", text.bullet_line(line).alias("bullet"), text.plain_rule(line).alias("rule"), text.plain_hyphen(line).alias("hyphen"))
 
 
+#: Markdown put before a text, by number.
+MARKDOWN = [
+    "```sh\na \\\n\n  \n***• ***\n````  \n\n\\- x", "1. a\n\n       code \\\n\n\n       more\n   - b\n\n         deep\n  back\\\n- c\\", "~~~\n```\n~~\n~~~ x\n~~~\n\n    in\n\ntext", "-\n\n-\n\n\n - \n\n  \n\nx\\\n\n*_*\\\ny",
+    "\\_\\_\\_\n  \\_\\_\\_\\_ \n\t\\_\\_\\_\n\\_\\_", "*\ttab\n\t x\n\t\t\tcode\n+ y\n      z\\", "``` a`b\n    x\\\n\u2003**•**\u00a0\n- \\\n", "    first\n\n\tsecond\\\n\n", "123456789) n\n1234567890) n\n  \n\nend\\\\\nend\\\\\\\n1) z",
+]
+_MARK, _ITEM = r"^ {0,3}(`{3,}|~{3,})", r"^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+"
+_DUCK_MARKDOWN = f"SELECT doc_id, replace([{', '.join(map(_duck, MARKDOWN))}][doc_id % {len(MARKDOWN)} + 1] || chr(10) || replace(replace(replace(text, ', ', ',\\' || chr(10)), '. ', '.' || chr(10) || chr(10) || '    '), 'a ', 'a' || chr(10) || '* '), chr(13) || chr(10), chr(10)) AS t FROM documents"
+
+
+def converted_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with the marks of a converter: hard breaks at commas, indented blocks at stops, list items, and MARKDOWN first."""
+    text_ = F.col("text")
+    for old, new in ((", ", ",\\\n"), (". ", ".\n\n    "), ("a ", "a\n* ")):
+        text_ = F.replace(text_, F.lit(old), F.lit(new))
+    head = F.get(F.array(*map(F.lit, MARKDOWN)), (F.col("doc_id") % len(MARKDOWN)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\n"), text_).alias("text"))
+
+
+@query(rf"""WITH RECURSIVE h AS ({_DUCK_MARKDOWN}),
+l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS pos, ends FROM (SELECT doc_id, string_split(CASE WHEN ends_with(t, chr(10)) THEN t[:-2] ELSE t END, chr(10)) AS ls, ends_with(t, chr(10)) AS ends FROM h)),
+f AS (SELECT *, regexp_matches(x, '^[ \t]*$') AS blank, length(replace(regexp_extract(x, '^([ \t]*)', 1), chr(9), '    ')) AS indent, regexp_extract(x, '{_MARK}', 1) AS mark,
+    CASE WHEN regexp_matches(x, '{_ITEM}') THEN length(replace(regexp_extract(x, '^([ \t]*)', 1), chr(9), '    ')) + length(regexp_extract(x, '^[ \t]*((?:[-*+]|[0-9]{{1,9}}[.)])[ \t]+)', 1)) END AS item FROM l),
+g AS MATERIALIZED (SELECT *, mark <> '' AND NOT (starts_with(mark, '`') AND contains(substr(ltrim(x, ' '), length(mark) + 1), '`')) AS opens, mark <> '' AND trim(substr(ltrim(x, ' '), length(mark) + 1), ' ' || chr(9)) = '' AS alone FROM f),
+walk(doc_id, pos, fence, items, code, blank) AS (SELECT doc_id, 0::BIGINT, '', []::BIGINT[], false, false FROM h UNION ALL
+    SELECT doc_id, pos, CASE WHEN fence <> '' THEN CASE WHEN alone AND mark[1] = fence[1] AND length(mark) >= length(fence) THEN '' ELSE fence END WHEN blank OR deep THEN '' WHEN opens THEN mark ELSE '' END,
+        CASE WHEN fence <> '' OR blank THEN items WHEN NOT deep AND NOT opens AND item IS NOT NULL THEN list_append(open, item) ELSE open END, fence <> '' OR NOT blank AND (deep OR opens), blank AND fence = ''
+    FROM (SELECT *, indent >= coalesce(list_last(open), 0) + 4 AS deep FROM (SELECT g.*, w.fence, w.items, list_filter(w.items, lambda i: i <= g.indent) AS open FROM walk w JOIN g ON g.doc_id = w.doc_id AND g.pos = w.pos + 1))),
+c AS (SELECT doc_id, pos, code OR blank AND coalesce(last_value(CASE WHEN NOT blank THEN code END IGNORE NULLS) OVER b, false) AND coalesce(first_value(CASE WHEN NOT blank THEN code END IGNORE NULLS) OVER a, false) AS code FROM walk
+    WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+n AS (SELECT l.*, code, lead(x) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM l JOIN c USING (doc_id, pos)),
+p AS (SELECT doc_id, pos, ends, code, CASE WHEN code THEN x
+    WHEN regexp_replace(translate(x, '*_', ''), '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g') = '•' THEN regexp_extract(x, '^([ \t]*)', 1) || '-'
+    WHEN length(regexp_extract(x, '(\\*)$', 1)) % 2 = 1 THEN CASE WHEN trim(regexp_replace(x[:-2], '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g'), '*_') = '' THEN '  '
+        ELSE rtrim(x[:-2], ' ' || chr(9)) || CASE WHEN next IS NULL OR regexp_matches(next, '^[ \t]*$') OR regexp_matches(next, '{_ITEM}') THEN '' ELSE '  ' END END
+    WHEN regexp_matches(x, '^[ \t]*(\\_){{3,}}$') THEN replace(x, '\', '') ELSE regexp_replace(x, '^([ \t]*)\\-', '\1-') END AS x FROM n),
+q AS (SELECT *, x = '' AND NOT code AS hollow, x <> '' AND regexp_matches(x, '^[ \t]*$') AS soft, regexp_replace(x, '^[\p{{Zs}}\t]+|[\p{{Zs}}\t]+$', '', 'g') = '-' AS lone FROM p),
+r AS MATERIALIZED (SELECT *, lead(soft) OVER w AS next_soft, lead(lone) OVER w AS next_lone FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+keep(doc_id, pos, stays, soft, lone) AS (SELECT doc_id, 0::BIGINT, false, NULL::BOOLEAN, NULL::BOOLEAN FROM h UNION ALL
+    SELECT doc_id, pos, NOT gone, CASE WHEN gone THEN old_soft ELSE soft END, CASE WHEN gone THEN old_lone ELSE lone END
+    FROM (SELECT r.*, k.soft AS old_soft, k.lone AS old_lone, coalesce(r.hollow AND k.soft IS NOT NULL AND r.next_soft IS NOT NULL AND (k.soft OR r.next_soft OR k.lone AND r.next_lone), false) AS gone FROM keep k JOIN r ON r.doc_id = k.doc_id AND r.pos = k.pos + 1))
+SELECT doc_id, string_agg(x, chr(10) ORDER BY pos) FILTER (stays) || CASE WHEN any_value(ends) THEN chr(10) ELSE '' END AS markdown FROM keep JOIN p USING (doc_id, pos) GROUP BY doc_id""")
+def normalize_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.normalized(converted_markdown(spark, sf_dir), "doc_id", "text")
+
+
 @query("""WITH c AS (SELECT event_id, (event_id % 256) / 255.0::DOUBLE AS r, (event_id * 7 % 256) / 255.0::DOUBLE AS g, (event_id * 7 % 256 + event_id % 9) / 255.0::DOUBLE AS b, (event_id % 4) / 3.0::DOUBLE AS a FROM events)
 SELECT event_id, greatest(r, g, b) - least(r, g, b) > 0.02::DOUBLE AND a > 0.01::DOUBLE AS coloured FROM c""")
 def chromatic_flag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,7 +271,10 @@ def child_path(reference: str) -> str:
 
 
 def resolve_master(master: Result, children: dict[str, Result]) -> Result:
-    """The master with its sections filled in from children, by child_path(); any child in error is the master's error."""
+    """The master with its sections filled in from children, by child_path(); any child in error is the master's error.
+
+    Assets get their places in the master; their values, bytes or where these are, are passed on as they come.
+    """
     parts, assets, warnings = [f"# {one_line(stem_of(master.path))}"], {}, [*master.warnings]
     n = 0
     for item in master.items or []:

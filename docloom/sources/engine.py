@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from docloom.functions import refs
 from docloom.sources import convert as one
+from docloom.sources.shared import stored
 
 MAX_INPUT = 1 << 30
 
@@ -68,20 +69,43 @@ def _row(r: one.Result) -> dict:
     }
 
 
+def whole(value):
+    """The value with each half of a surrogate pair that stands alone, in any text of it, made U+FFFD."""
+    if isinstance(value, str):
+        return value.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    if isinstance(value, dict):
+        return {k: whole(v) for k, v in value.items()}
+    return [whole(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """The rows in Arrow. Texts that no file may hold, such as half a character, are mended where Arrow refuses them."""
+    try:
+        return pa.RecordBatch.from_pylist(rows, schema)
+    except UnicodeEncodeError:
+        return pa.RecordBatch.from_pylist(whole(rows), schema)
+
+
 def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
     """One Arrow pass over (path, content): rows(path, content) -> dicts, a few documents at a time.
 
-    A file without content gives unread(path, message) -> dict instead.
+    A file without content gives unread(path, message) -> dict instead, and so does one whose rows can't be made.
     """
     schema = _arrow(ddl)
 
+    def made(path: str, content: bytes | None, length: int | None) -> list[pa.RecordBatch]:
+        if content is None:
+            return [_batch([unread(path, _unread(path, length))], schema)]
+        try:
+            found = rows(path, content)
+            return [_batch(found[k : k + 20_000], schema) for k in range(0, len(found), 20_000)]
+        except Exception as e:  # one bad file must not fail the job
+            return [_batch([unread(path, f"{type(e).__name__}: {e}")], schema)] if unread else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, length in zip(*batch.columns):
-                path, content = path.as_py(), content.as_py()
-                found = rows(path, content) if content is not None else [unread(path, _unread(path, length.as_py()))]
-                for k in range(0, len(found), 20_000):
-                    yield pa.RecordBatch.from_pylist(found[k : k + 20_000], schema)
+                yield from made(path.as_py(), content.as_py(), length.as_py())
 
     files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     length = F.col("length") if "length" in files.columns else F.lit(None).cast("long").alias("length")
@@ -91,7 +115,9 @@ def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
 def convert_documents(files: DataFrame, rendering: str = "table") -> DataFrame:
     """RESULTS, a row for each file. Master documents are put together with the ODT files of the same scan.
 
-    Only master documents and the ODT results meet in a shuffle; all else is one pass without one.
+    Files are read and converted once, when this is called: results go to a table in the shared folder, with a folder
+    each for master documents, for the ODT files that these may name, and for all others. Masters then meet ODT results,
+    without their assets, in a shuffle; nothing else moves.
     """
 
     def rows(path: str, content: bytes) -> list[dict]:
@@ -103,37 +129,56 @@ def convert_documents(files: DataFrame, rendering: str = "table") -> DataFrame:
         return _row(one.Result(path, status="error", error_kind="invalid_input", error=why)) | {"items": None}
 
     done = _pass(files, f"{RESULTS}, {ITEMS}", rows, unread)
-    masters = done.where("status = 'master'")
-    plain = done.where("status <> 'master'").drop("items")
-    return plain.unionByName(assemble_masters(masters, done.where("format = 'odt'")))
+    part = F.when(F.col("status") == "master", "master").when(F.col("format") == "odt", "odt").otherwise("other")
+    done = stored(done.withColumn("part", part), "part")
+    plain = done.where("part <> 'master'").drop("items", "part")
+    return plain.unionByName(assemble_masters(done.where("part = 'master'"), done.where("part = 'odt'")))
+
+
+_PLAN = "path string, format string, status string, error_kind string, error string, warnings " + WARNING + ", markdown string, places array<struct<path:string,child:string,source:string>>"
 
 
 def assemble_masters(masters: DataFrame, children: DataFrame) -> DataFrame:
-    """Master rows (with items) and the converted ODT rows -> RESULTS of the masters."""
+    """Master rows (with items) and the converted ODT rows -> RESULTS of the masters.
+
+    Texts are put together first, with the place that each asset gets. The assets' bytes stay rows of their own and join
+    these places; they pass through no Python worker.
+    """
     folder = F.regexp_replace("path", "[^/]*$", "")
     wanted = masters.select(F.col("path").alias("master"), "items", "warnings", folder.alias("folder"))
     refs_ = wanted.select("master", "folder", F.explode_outer(F.filter("items", lambda i: i["kind"] == "section")).alias("s"))
     plain = F.try_url_decode(F.regexp_replace("s.reference", r"\+", "%2B"))
     links = refs_.select("master", F.concat("folder", F.regexp_replace(F.coalesce(plain, F.lit("")), r"^(\./)+", "")).alias("child"), F.col("s.reference").alias("reference")).distinct()
-    kids = children.select(F.col("path").alias("child"), F.struct("status", "format", "error", "warnings", "markdown", "assets").alias("got"))
+    kids = children.select(F.col("path").alias("child"), F.struct("status", "format", "error", "warnings", "markdown", F.col("assets.path").alias("names")).alias("got"))
     joined = links.join(kids, "child").groupBy("master").agg(F.collect_list(F.struct("child", "got")).alias("kids"))
     rows = wanted.join(joined, "master", "left").select("master", "items", "warnings", "folder", "kids")
 
-    schema = _arrow(RESULTS)
+    schema = _arrow(_PLAN)
+
+    def assembled(row: dict) -> dict:
+        master = one.Result(row["master"], "odm", "master", warnings=[(w["code"], w["message"]) for w in row["warnings"]], items=[one.odm.Item(**i) for i in row["items"]])
+        kids = {}
+        for k in row["kids"] or []:
+            got = k["got"]
+            assets = {name: (k["child"], name) for name in got["names"] or []}  # where the bytes are
+            kids[k["child"][len(row["folder"]) :]] = one.Result(k["child"], got["format"], got["status"], None, got["error"], [(w["code"], w["message"]) for w in got["warnings"]], got["markdown"], assets)
+        done = one.resolve_master(master, kids)
+        out = _row(done)
+        out["places"] = [{"path": p, "child": child, "source": name} for p, (child, name) in sorted(done.assets.items())]
+        del out["assets"]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                master = one.Result(row["master"], "odm", "master", warnings=[(w["code"], w["message"]) for w in row["warnings"]], items=[one.odm.Item(**i) for i in row["items"]])
-                kids = {}
-                for k in row["kids"] or []:
-                    got = k["got"]
-                    kids[k["child"][len(row["folder"]) :]] = one.Result(
-                        k["child"], got["format"], got["status"], None, got["error"], [(w["code"], w["message"]) for w in got["warnings"]], got["markdown"], {a["path"]: a["bytes"] for a in got["assets"]}
-                    )
-                yield pa.RecordBatch.from_pylist([_row(one.resolve_master(master, kids))], schema)
+                yield _batch([assembled(row)], schema)
 
-    return rows.mapInArrow(run, _schema(RESULTS))
+    texts = stored(rows.mapInArrow(run, _schema(_PLAN)))
+    places = texts.select(F.col("path").alias("master"), F.explode("places").alias("p")).select("master", "p.*")
+    bytes_ = children.select(F.col("path").alias("child"), F.explode("assets").alias("a")).select("child", F.col("a.path").alias("source"), "a.bytes")
+    assets = places.join(bytes_, ["child", "source"]).groupBy("master").agg(F.array_sort(F.collect_list(F.struct("path", "bytes"))).alias("assets"))
+    none = F.array().cast(ASSET)
+    return texts.drop("places").join(assets.withColumnRenamed("master", "path"), "path", "left").withColumn("assets", F.coalesce("assets", none))
 
 
 def convert_packages(files: DataFrame) -> DataFrame:
@@ -147,7 +192,7 @@ def convert_packages(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([_row(one.convert_package(row["folder"], {f["name"]: f["content"] for f in row["files"]}))], schema)
+                yield _batch([_row(one.convert_package(row["folder"], {f["name"]: f["content"] for f in row["files"]}))], schema)
 
     return groups.mapInArrow(run, _schema(RESULTS))
 

@@ -152,7 +152,12 @@ def rtf_html(data: bytes, mark_colours: bool = False, attachments: dict[str, byt
     end_table()
     if runs:
         paragraphs.append(f"<p>{taken()}</p>")
-    return "".join(p for p in paragraphs if p != "<p></p>"), files
+    return _paired("".join(p for p in paragraphs if p != "<p></p>")), files
+
+
+def _paired(text: str) -> str:
+    """UTF-16 halves that \\u gave one after the other become their character; a half alone becomes U+FFFD."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 def _joined(runs):
