@@ -32,7 +32,7 @@ def resolved(reference: Column) -> Column:
     path = F.regexp_replace(decoded(plain), r"\A(?:\./)+", "")
     path = F.regexp_replace(F.regexp_replace(path, "/+", "/"), r"(?<=[^/])/\z", "")
     bad = (path == "") | path.startswith("/") | path.contains("\\") | path.rlike(r"(?:\A|/)\.\.?(?:/|\z)")
-    file = decoded(F.regexp_extract(plain, r"([^/?#]*)/*(?:[?#].*)?\z", 1))
+    file = decoded(F.regexp_extract(F.regexp_replace(plain, r"(?i)\Afile:(?://[^/]*)?", ""), r"([^/?#]*)/*(?:[?#].*)?\z", 1))
     return F.when(F.lower(plain).startswith("file:"), F.when(~file.isin("", ".", ".."), file)).when(plain.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), None).otherwise(F.when(~bad, path))
 
 

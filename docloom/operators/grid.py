@@ -26,9 +26,11 @@ def dense_grid(cells: DataFrame, by: list[str]) -> DataFrame:
     return flat.select(*by, "r", F.coalesce(F.try_element_at("rows", F.col("r")), empty).alias("row"))
 
 
-def trailing_trim(row: Column, empty: Column | None = None) -> Column:
-    """A row without its trailing empty cells."""
-    last = F.array_max(F.transform(row, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+def trailing_trim(row: Column, solid: Column | None = None) -> Column:
+    """A row without its trailing empty cells. solid: flags of the cells that aren't empty although they show nothing, as
+    those with a formula."""
+    flag = lambda i: F.coalesce(F.get(solid, i), F.lit(False)) if solid is not None else F.lit(False)
+    last = F.array_max(F.transform(row, lambda x, i: F.when((x != "") | flag(i), i + 1).otherwise(0)))
     return F.slice(row, 1, F.coalesce(last, F.lit(0)))
 
 
@@ -44,15 +46,32 @@ def rle_expand(runs: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.select(*by, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("repeat") - 1)).alias("c"), "display")
 
 
+#: Rows and columns of a tile.
+TILE = 64
+
+
 def link_fill(cells: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     """Cells that link displays fill: those of a link's range that hold nothing, the first link winning.
 
-    links(by, link, r0, c0, r1, c1, display); an empty display fills nothing.
+    links(by, link, r0, c0, r1, c1, display); an empty display fills nothing. cells(by, r, c, display[, formula]): a cell
+    with a formula holds something even if it shows nothing.
+
+    Ranges are cut at the borders of tiles, and of ranges that cover the same part of a tile the first alone goes on, by
+    rows and then by cells. So a cell is made about once for each different part of a tile that covers it, not once for
+    each link, and a range of a million cells is a few hundred rows until then.
     """
-    area = links.where("display <> ''").select(*by, "link", "display", "c0", "c1", F.explode(F.sequence("r0", "r1")).alias("r"))
-    area = area.select(*by, "link", "display", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    free = area.join(cells.where("display <> ''").select(*by, "r", "c"), [*by, "r", "c"], "left_anti")
-    return free.groupBy(*by, "r", "c").agg(F.min_by("display", "link").alias("display"))
+    first = F.min("_link").alias("_link")
+    rows = links.where("display <> ''").select(*by, F.struct("link", "display").alias("_link"), *(F.col(c).cast("long").alias(c) for c in ("r0", "c0", "r1", "c1"))).where("r0 <= r1 and c0 <= c1")
+    block = lambda c: F.floor(F.col(c) / TILE)
+    rows = rows.withColumn("_tr", F.explode(F.sequence(block("r0"), block("r1")))).withColumn("_tc", F.explode(F.sequence(block("c0"), block("c1"))))
+    edge = lambda low, high, tile: (F.greatest(F.col(low), F.col(tile) * TILE), F.least(F.col(high), F.col(tile) * TILE + TILE - 1))
+    (top, bottom), (left, right) = edge("r0", "r1", "_tr"), edge("c0", "c1", "_tc")
+    parts = rows.groupBy(*by, top.alias("_top"), bottom.alias("_bottom"), left.alias("_left"), right.alias("_right")).agg(first)
+    lines = parts.select(*by, "_left", "_right", "_link", F.explode(F.sequence("_top", "_bottom")).alias("r")).groupBy(*by, "r", "_left", "_right").agg(first)
+    area = lines.select(*by, "r", "_link", F.explode(F.sequence("_left", "_right")).alias("c")).groupBy(*by, "r", "c").agg(first)
+    held = "display <> ''" + (" or formula is not null" if "formula" in cells.columns else "")
+    taken = cells.where(held).select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    return area.join(taken, [*by, "r", "c"], "left_anti").select(*by, "r", "c", F.col("_link.display").alias("display"))
 
 
 def running_budget(rows: DataFrame, by: list[str], order: list[str], amount: str, limit: int) -> DataFrame:

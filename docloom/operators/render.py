@@ -59,4 +59,29 @@ def sections(items: DataFrame, by: list[str], title: str) -> DataFrame:
 
 def within_budget(text: Column, limit: int = 134_217_728) -> Column:
     """An error for a text over the output limit, else null."""
-    return F.when(F.octet_length(text) > limit, F.lit("the spreadsheet output exceeds the supported size limit"))
+    return F.when(F.octet_length(text) > limit, F.lit(TOO_LARGE))
+
+
+#: The output limit, and what is said of a workbook over it.
+MAX_OUTPUT = 134_217_728
+TOO_LARGE = "the spreadsheet output exceeds the supported size limit"
+
+
+def table_bytes(grid: DataFrame, by: list[str], sheet: str, name: str, title: str) -> DataFrame:
+    """grid(by, sheet, name, title, r, row) -> (by, n_bytes): the size of each workbook that gfm_tables() and workbooks()
+    would make of it, from the sizes of its cells."""
+    cells = F.aggregate("row", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(gfm_cell(x)))
+    lines = grid.select(*by, sheet, F.octet_length(heading(F.col(name))).alias("_name"), F.octet_length(heading(F.col(title))).alias("_title"), cells.alias("_cells"), F.size("row").alias("_n"))
+    sheets = lines.groupBy(*by, sheet).agg(F.count("*").alias("rows"), F.greatest(F.max("_n"), F.lit(1)).alias("w"), F.sum("_cells").alias("cells"), F.first("_name").alias("name"), F.first("_title").alias("title"))
+    # a line is framed by 4 bytes and has 3 between cells; the rule has 3 more a cell; a sheet's heading takes 14
+    body = F.col("cells") + (F.col("rows") + 1) * (3 * F.col("w") + 1) + 3 * F.col("w") + F.col("rows")
+    return sheets.groupBy(*by).agg((F.sum(body + 14 + F.col("name")) + F.first("title") + 3).cast("long").alias("n_bytes"))
+
+
+def bounded_workbooks(grid: DataFrame, by: list[str], sheet: str, name: str, title: str, limit: int = MAX_OUTPUT) -> DataFrame:
+    """(by, n_bytes, markdown, error). A workbook over the limit has the error and is never put together."""
+    sizes = table_bytes(grid, by, sheet, name, title)
+    small = grid.join(sizes.where(F.col("n_bytes") <= limit).select(*by), by, "left_semi")
+    bodies = gfm_tables(small, [*by, sheet, name, title]).withColumnsRenamed({sheet: "sheet_no", name: "name"})
+    done = sizes.join(workbooks(bodies, by, title), by, "left")
+    return done.select(*by, "n_bytes", "markdown", F.when(F.col("n_bytes") > limit, F.lit(TOO_LARGE)).alias("error"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +53,35 @@ def flagged(*pairs: tuple[Column, str]) -> Column:
     return F.filter(F.array(*(F.when(c, F.lit(code)) for c, code in pairs)), lambda x: x.isNotNull())
 
 
+def folded(name: Column) -> Column:
+    """The name without case, alike for texts that are canonically equivalent: full case folding of decomposed text.
+
+    Names of ASCII are folded where they are; others go through Python, a batch at a time.
+    """
+    @F.pandas_udf("string")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda x: normalize("NFD", normalize("NFD", x).casefold()), na_action="ignore")
+
+    plain = name.rlike(r"\A[\x00-\x7F]*\z")
+    return F.when(plain, F.lower(name)).otherwise(fold(F.when(~plain, name)))
+
+
 def name_collisions(entries: DataFrame, doc: str, name: str) -> DataFrame:
     """(doc, key, n): names that are equal without a trailing slash and without case, more than once."""
-    key = F.lower(F.regexp_replace(name, "/$", ""))
-    return entries.groupBy(doc, key.alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    key = folded(F.regexp_replace(name, r"/\z", ""))
+    return entries.select(doc, key.alias("key")).groupBy(doc, "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def entry_collisions(entries: DataFrame, doc: str, *readings: str) -> DataFrame:
+    """(doc, reading, key, n): collisions of each reading of the entries' names by itself.
+
+    A package's entry has a name as its bytes are decoded and one that an extra field may give; a reader of either must
+    not see one file overwrite another. A null name is no name.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("reading"), F.col(r).alias("name")) for r in readings)))
+    names = entries.select(doc, each.alias("_e")).select(doc, "_e.*").where("name is not null")
+    keys = names.select(doc, "reading", folded(F.regexp_replace("name", r"/\z", "")).alias("key"))
+    return keys.groupBy(doc, "reading", "key").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def sequential_names(refs: DataFrame, doc: str, pos: str, ref: str, ext: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import refs, text
 from docloom.functions.images import IMAGE
-from docloom.operators import grid, images, normalize, render, resolve
+from docloom.operators import budgets, grid, images, normalize, render, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,29 +167,32 @@ def rle_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ORDER_CELLS},
 full_row AS (SELECT doc_id, sheet_no, r, unnest(range(0, 5))::INT AS c FROM wide),
-shown AS (SELECT f.*, CASE WHEN display LIKE 'N%' THEN '' ELSE coalesce(display, '') END AS display FROM full_row f LEFT JOIN cell USING (doc_id, sheet_no, r, c)),
-last AS (SELECT doc_id, sheet_no, r, coalesce(max(CASE WHEN display <> '' THEN c + 1 END), 0) AS n FROM shown GROUP BY ALL)
+shown AS (SELECT f.*, CASE WHEN display LIKE 'N%' THEN '' ELSE coalesce(display, '') END AS display, display LIKE 'N%3' AS formula FROM full_row f LEFT JOIN cell USING (doc_id, sheet_no, r, c)),
+last AS (SELECT doc_id, sheet_no, r, coalesce(max(CASE WHEN display <> '' OR formula THEN c + 1 END), 0) AS n FROM shown GROUP BY ALL)
 SELECT sheet_no, r, coalesce(string_agg(display, chr(9) ORDER BY c) FILTER (c < n), '') AS cells, any_value(n)::BIGINT AS n FROM shown JOIN last USING (doc_id, sheet_no, r) GROUP BY sheet_no, r""")
 def trailing_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose display begins with N show nothing; of these, the ones that end with 3 have a formula."""
     cells = grid.last_written(order_cells(spark, sf_dir), ["sheet_no"], F.col("written"))
-    shown = F.when(F.col("display").startswith("N"), "").otherwise(F.col("display"))
-    rows = cells.groupBy("sheet_no", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", shown.alias("d")))).alias("m"))
-    row = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
-    kept = rows.select("sheet_no", "r", grid.trailing_trim(row).alias("row"))
+    shown, formula = F.when(F.col("display").startswith("N"), "").otherwise(F.col("display")), F.col("display").rlike("^N.*3$")
+    rows = cells.groupBy("sheet_no", "r").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct(shown.alias("d"), formula.alias("f")).alias("x")))).alias("m"))
+    place = lambda i: F.try_element_at("m", i)
+    row = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.coalesce(place(i)["d"], F.lit("")))
+    solid = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: place(i)["f"])
+    kept = rows.select("sheet_no", "r", row.alias("row"), solid.alias("solid")).select("sheet_no", "r", grid.trailing_trim(F.col("row"), F.col("solid")).alias("row"))
     return kept.select("sheet_no", "r", F.array_join("row", "\t").alias("cells"), F.size("row").cast("long").alias("n"))
 
 
-@query("""WITH cell AS (SELECT l_suppkey % 7 AS sheet, l_linenumber AS r, (l_partkey % 9)::INT AS c FROM lineitem WHERE (l_suppkey % 7 * 5 + l_linenumber * 3 + l_partkey % 9) % 4 <> 0 GROUP BY ALL),
+@query("""WITH cell AS (SELECT l_suppkey % 7 AS sheet, l_linenumber AS r, (l_partkey % 9)::INT AS c FROM lineitem WHERE (l_suppkey % 7 * 5 + l_linenumber * 3 + l_partkey % 9) % 4 <> 0 OR (l_suppkey % 7 + l_linenumber + l_partkey % 9) % 3 = 0 GROUP BY ALL),
 link AS (SELECT s_suppkey AS link, s_suppkey % 7 AS sheet, s_suppkey % 5 AS r0, s_suppkey % 6 AS c0, s_suppkey % 5 + s_nationkey % 4 AS r1, s_suppkey % 6 + s_nationkey % 3 AS c1,
     CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE s_name END AS display FROM supplier),
 rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link WHERE display <> ''),
 area AS (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS c FROM rows)
 SELECT sheet, a.r, a.c, min_by(display, link) AS display FROM area a ANTI JOIN cell USING (sheet, r, c) GROUP BY ALL""")
 def link_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of every row of lineitem; the gaps are cells whose display is blank, by their place."""
+    """Cells of every row of lineitem; the gaps are cells whose display is blank, by their place, without a formula."""
     sheet, r, c = F.col("l_suppkey") % 7, F.col("l_linenumber").cast("long"), F.col("l_partkey") % 9
     display = F.when((sheet * 5 + r * 3 + c) % 4 == 0, "").otherwise("x")
-    cells = table(spark, sf_dir, "lineitem").select(sheet.alias("sheet"), r.alias("r"), c.alias("c"), display.alias("display")).distinct()
+    cells = table(spark, sf_dir, "lineitem").select(sheet.alias("sheet"), r.alias("r"), c.alias("c"), display.alias("display"), F.when((sheet + r + c) % 3 == 0, "").alias("formula")).distinct()
     s = F.col("s_suppkey")
     links = table(spark, sf_dir, "supplier").select(
         s.alias("link"), (s % 7).alias("sheet"), (s % 5).alias("r0"), (s % 6).alias("c0"), (s % 5 + F.col("s_nationkey") % 4).alias("r1"), (s % 6 + F.col("s_nationkey") % 3).alias("c1"),
@@ -198,6 +201,59 @@ def link_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.link_fill(cells, links, ["sheet"])
 
 
+@query("""WITH cell AS (SELECT DISTINCT l_suppkey // 20 AS sheet, l_linenumber * 29 AS r, l_partkey % 97 AS c FROM lineitem),
+link AS (SELECT s_suppkey AS link, s_suppkey // 20 AS sheet, s_suppkey * 7 % 40 AS r0, s_suppkey * 5 % 20 AS c0, s_suppkey * 7 % 40 + s_nationkey * 9 AS r1, s_suppkey * 5 % 20 + s_nationkey % 8 * 11 AS c1, s_name AS display FROM supplier),
+rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link),
+area AS (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS c FROM rows)
+SELECT sheet, a.r, a.c, min_by(display, link) AS display FROM area a ANTI JOIN cell USING (sheet, r, c) GROUP BY ALL""")
+def link_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links over areas of up to 217 rows and 78 columns, twenty to a sheet, most of which overlap."""
+    cells = table(spark, sf_dir, "lineitem").select(F.expr("l_suppkey div 20").alias("sheet"), (F.col("l_linenumber") * 29).alias("r"), (F.col("l_partkey") % 97).alias("c"), F.lit("x").alias("display")).distinct()
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    r0, c0 = s * 7 % 40, s * 5 % 20
+    links = table(spark, sf_dir, "supplier").select(s.alias("link"), F.expr("s_suppkey div 20").alias("sheet"), r0.alias("r0"), c0.alias("c0"), (r0 + n * 9).alias("r1"), (c0 + n % 8 * 11).alias("c1"), F.col("s_name").alias("display"))
+    return grid.link_fill(cells, links, ["sheet"])
+
+
+@query("""WITH cell AS (SELECT l_suppkey % 5 AS book, l_orderkey AS sheet, l_linenumber AS r, l_partkey % 30 AS c, l_returnflag || '§' || l_suppkey AS d FROM lineitem),
+line AS (SELECT book, sheet, r, max(c) + 1 AS w, sum(octet_length(encode(d))) AS t FROM cell GROUP BY ALL),
+sums AS (SELECT book, sheet, r, sum(w) OVER o AS cells, sum(t) OVER o AS bytes FROM line WINDOW o AS (PARTITION BY book ORDER BY sheet, r ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT book, max(cells) AS cells, max(bytes) AS bytes, min(CASE WHEN cells > 40000 THEN sheet END) AS cells_at, min(CASE WHEN bytes > 50000 THEN sheet END) AS bytes_at FROM sums GROUP BY book),
+link AS (SELECT s_suppkey % 5 AS book, s_suppkey * 31 AS sheet, s_suppkey AS link, (s_nationkey + 1) * (s_suppkey % 13 + 1) AS area FROM supplier),
+run AS (SELECT book, sheet, area, sum(area) OVER (PARTITION BY book ORDER BY sheet, link ROWS UNBOUNDED PRECEDING) AS scanned FROM link),
+l AS (SELECT book, max(scanned) AS scanned, min(CASE WHEN area > 40000 THEN sheet END) AS large_at, min(CASE WHEN scanned > 900 THEN sheet END) AS scanned_at FROM run GROUP BY book),
+e AS (SELECT book, unnest([cells_at, bytes_at, large_at, scanned_at]) AS sheet_no, unnest([0, 1, 2, 3]) AS n FROM c LEFT JOIN l USING (book)),
+f AS (SELECT book, min_by(sheet_no, (sheet_no, n)) AS sheet_no, min_by(n, (sheet_no, n)) AS n FROM e WHERE sheet_no IS NOT NULL GROUP BY book)
+SELECT book, cells::BIGINT AS cells, bytes::BIGINT AS bytes, coalesce(scanned, 0)::BIGINT AS scanned, sheet_no, ['the XLSX sheet exceeds the expanded-cell budget', 'the spreadsheet exceeds the materialized-text budget', 'the XLSX sheet exceeds the expanded-cell budget', 'the XLSX hyperlinks exceed the scan budget'][n + 1] AS error
+FROM c LEFT JOIN l USING (book) LEFT JOIN f USING (book)""")
+def workbook_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five large workbooks, a sheet for each order; their cells, bytes and linked areas against limits of 40,000, 50,000 and 900."""
+    book = F.col("l_suppkey") % 5
+    cells = table(spark, sf_dir, "lineitem").select(book.alias("book"), F.col("l_orderkey").alias("sheet_no"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 30).alias("c"), F.concat("l_returnflag", F.lit("§"), F.col("l_suppkey").cast("string")).alias("display"))
+    s = F.col("s_suppkey")
+    links = table(spark, sf_dir, "supplier").select((s % 5).alias("book"), (s * 31).alias("sheet_no"), s.alias("link"), F.lit(0).alias("r0"), F.lit(0).alias("c0"), F.col("s_nationkey").alias("r1"), (s % 13).alias("c1"))
+    return budgets.workbook_errors(cells, links, ["book"], max_cells=40_000, max_text=50_000, max_scans=900)
+
+
+@query("""SELECT event_id, (sum(event_id % 37) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used, (count(*) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS n FROM events""")
+def corpus_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A running sum and a count over all events in one order, in three levels of blocks."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id")
+    return budgets.prefix_sums(rows, [], [F.floor(e / 1_000_000), F.floor(e / 1000)], ["event_id"], used=e % 37, n=F.lit(1))
+
+
+@query(f"""WITH {BOOK_CELLS},
+line AS (SELECT doc_id, sheet_no, r, '| ' || string_agg({GFM.format("display")}, ' | ' ORDER BY c) || ' |' || CASE WHEN r = 0 THEN chr(10) || '| ' || string_agg('---', ' | ') || ' |' ELSE '' END AS t FROM shown GROUP BY doc_id, sheet_no, r),
+body AS (SELECT doc_id, sheet_no, string_agg(t, chr(10) ORDER BY r) AS body FROM line GROUP BY ALL), done AS ({_BOOK_SQL})
+SELECT doc_id, octet_length(encode(markdown))::BIGINT AS n_bytes, CASE WHEN octet_length(encode(markdown)) <= 6000 THEN markdown END AS markdown, CASE WHEN octet_length(encode(markdown)) > 6000 THEN 'the spreadsheet output exceeds the supported size limit' END AS error FROM done""")
+def books_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books of order_books_table against an output limit of 6,000 bytes, known before any book is put together."""
+    dense = grid.dense_grid(book_cells(spark, sf_dir), ["doc_id", "sheet_no"])
+    named = dense.withColumn("name", F.concat(F.lit("o"), F.col("sheet_no").cast("string"))).withColumn("title", F.concat(F.lit("orders "), F.col("doc_id").cast("string")))
+    return render.bounded_workbooks(named, ["doc_id"], "sheet_no", "name", "title", 6_000)
+
+
 @query("""SELECT o_orderkey, o_custkey, (sum(o_orderkey % 100 + 1) OVER w)::BIGINT AS used, (sum(o_orderkey % 100 + 1) OVER w) > 300 AS over
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)""")
 def cumulative_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,6 +485,22 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.name_collisions(table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("doc"), name.alias("name")), "doc", "name")
 
 
+_SPELT = ["σας", "ΣΑΣ", "caf\u00e9", "cafe\u0301", "CAFE\u0301", "straße", "STRASSE", "a"]
+_FOLD = "replace(replace(nfc_normalize(lower(nfc_normalize({0}))), 'ς', 'σ'), 'ß', 'ss')"
+
+
+@query(f"""WITH e AS (SELECT p_partkey % 40 AS doc, {_SPELT}[p_partkey % 8 + 1] || '/' || p_size % 3 || CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '' END AS name, CASE WHEN p_partkey % 3 = 0 THEN {_SPELT}[p_size % 8 + 1] || p_size % 4 END AS other FROM part),
+k AS (SELECT doc, unnest(['name', 'other']) AS reading, unnest([{_FOLD.format("regexp_replace(name, '/$', '')")}, {_FOLD.format("other")}]) AS key FROM e)
+SELECT doc, reading, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
+def entry_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with final sigmas, sharp s and accents in one and two characters, in two readings; keys are shown composed."""
+    spelt = lambda i: F.get(F.array(*map(F.lit, _SPELT)), (i % 8).cast("int"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(spelt(key), F.lit("/"), (size % 3).cast("string"), F.when(key % 5 == 0, "/").otherwise(""))
+    entries = table(spark, sf_dir, "part").select((key % 40).alias("doc"), name.alias("name"), F.when(key % 3 == 0, F.concat(spelt(size), (size % 4).cast("string"))).alias("other"))
+    return resolve.entry_collisions(entries, "doc", "name", "other").withColumn("key", F.replace("key", F.lit("e\u0301"), F.lit("\u00e9")))
+
+
 _ITEMS = ["<li><p>", '<li class="x">\n<p class="y">', "<li><p>a <b>b</b></p><p>", "<li><p><div>", "<LI><P>"]
 _DUCK_LIST = text.LIST_ITEM
 

@@ -94,7 +94,8 @@ def test_images():
     html, assets, names = images.rewrite('<img src="b%20c.PNG"><IMG alt="" src=\'./d.jpg\'><img src="b%20c.PNG">', {"b c.PNG": b"1", "d.jpg": b"2"})
     assert html == '<img src="images/image01.png"><IMG alt="" src=\'images/image02.jpg\'><img src="images/image01.png">'
     assert assets == {"images/image01.png": b"1", "images/image02.jpg": b"2"} and names == {"b c.PNG", "d.jpg"}
-    for bad in ("http://x/y.png", "../a", "/a", "a\\b", "", "missing.png"):
+    assert images.rewrite('<img src="">', {}) == ('<img src="">', {}, set())  # no source, so nothing to rewrite
+    for bad in ("http://x/y.png", "../a", "/a", "a\\b", "missing.png"):
         with pytest.raises(images.UnsafeReference):
             images.rewrite(f'<img src="{bad}">', {})
 
