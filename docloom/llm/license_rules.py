@@ -151,7 +151,8 @@ def rules() -> list[Rule]:
     def add(pattern: str, label: str, level: int, confidence: float, lead: str = "", tail: str = "", base: bool = False) -> None:
         keywords, before, after, need = _split(pattern)
         before, after = ((x.replace("(", "(?:")) for x in (lead + before, after + tail))
-        out.extend(Rule(len(out) + i, k, before, after, need, label, level, confidence, base) for i, k in enumerate(keywords))
+        first = len(out)
+        out.extend(Rule(first + i, k, before, after, need, label, level, confidence, base) for i, k in enumerate(keywords))
 
     for pattern, label in BASE.items():
         add(pattern, label, 3, 0.6, base=True)
