@@ -66,3 +66,14 @@ def signature(content: Column) -> Column:
 def chromatic(r: Column, g: Column, b: Column, a: Column) -> Column:
     """Whether a colour (0 to 1) is visible and not grey."""
     return (F.greatest(r, g, b) - F.least(r, g, b) > 0.02) & (a > 0.01)
+
+
+def section_path(reference: Column) -> Column:
+    """struct(path, problem): a master document's section as a path below the master's folder, or unsafe or leaves."""
+    raw = F.regexp_replace(reference, r"(?s)#.*\z", "")
+    plain = F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+    unsafe = raw.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:") | raw.contains("?") | plain.isNull() | (plain == "") | plain.startswith("/") | plain.contains("\\")
+    parts = F.split(plain, "/")
+    path = F.array_join(F.filter(parts, lambda p: ~p.isin("", ".")), "/")
+    problem = F.when(F.coalesce(unsafe, F.lit(True)), "unsafe").when(F.array_contains(parts, ".."), "leaves")
+    return F.struct(F.when(problem.isNull(), path).alias("path"), problem.alias("problem"))

@@ -156,13 +156,54 @@ def master_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT DISTINCT t // 4 AS v FROM t WHERE t % 4 = 0), s AS (SELECT v, 4 * v + i AS t FROM v, (SELECT unnest(range(0, 4)) AS i)),
 j AS (SELECT v, s.t, body FROM s LEFT JOIN t ON s.t = t.t AND s.t % 5 <> 0),
 m AS (SELECT v, bool_and(body IS NOT NULL) AS whole, min(CASE WHEN body IS NULL THEN t END) AS missing, string_agg('## Section: Part ' || t || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY t) AS text FROM j GROUP BY v)
-SELECT '/books/volume' || v || '.odm' AS path, CASE WHEN whole THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT whole THEN 'Invalid ODM input at /books/volume' || v || '.odm: the linked section document is missing or not an ODT document: texts/t' || missing || '.odt' END AS error,
+SELECT '/books/volume' || v || '.odm' AS path, CASE WHEN whole THEN 'ok' ELSE 'error' END AS status, CASE WHEN NOT whole THEN 'Invalid ODM input at /books/volume' || v || '.odm: linked ODM section is missing: texts/t' || missing || '.odt' END AS error,
     CASE WHEN whole THEN '# volume' || v || chr(10) || chr(10) || '## Volume ' || v || chr(10) || chr(10) || text || chr(10) END AS markdown, CASE WHEN whole THEN 'openDocumentMaster.flattened' ELSE '' END AS codes FROM m""")
 def master_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = engine.convert_documents(master_files(spark, sf_dir)).where("format = 'odm'")
     return done.select("path", "status", "error", "markdown", F.array_join(F.transform("warnings", lambda w: w["code"]), ",").alias("codes"))
 
 
+#: What a section's text is, by number: good, with tracked changes, broken, of another format, or not there.
+_TEXTS = ["plain", "changed", "plain", "broken", "plain", "word", "plain", "missing", "plain", "changed", "plain"]
+#: How a section is named, by number.
+_NAMES = ["t{0}.odt", "./t{0}.odt", "t{0}.odt", "t%20{0}.odt", "../t{0}.odt", "https://h.example/t{0}.odt", "t{0}.odt", "t{0}.odt?x", "t{0}.odt#top"]
+
+
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every two customers of one nation and segment a master of their two texts, of several kinds and names."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                k = r.c_custkey
+                kind, name = _TEXTS[k % len(_TEXTS)], _NAMES[k % len(_NAMES)].format(k)
+                place = name.removeprefix("./").replace("%20", " ").removesuffix("#top")
+                text = build.odt_files([(0, [(r.c_name, False)])])
+                if kind == "changed":
+                    text["content.xml"] = text["content.xml"].replace("<office:text>", "<office:text><text:tracked-changes/>")
+                content = {"broken": lambda: b"PK", "word": lambda: build.package(build.docx_files([(0, [(r.c_name, False)])]))}.get(kind, lambda: build.package(text))()
+                if kind != "missing" and "//" not in name:
+                    out.append((f"/linked/{place}", content))
+                out.append((f"/linked/m{k}.odm", build.package(build.odm_files([(1, [(r.c_name, False)])], [("Own", name), ("First", "../../up.odt" if k % 10 == 9 else name)]))))
+            yield pd.DataFrame([(p, len(c), c) for p, c in out], columns=["path", "length", "content"])
+
+    return rows.mapInPandas(make, "path string, length long, content binary")
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, {_TEXTS}[c_custkey % {len(_TEXTS)} + 1] AS kind, replace({_NAMES}[c_custkey % {len(_NAMES)} + 1], '{{0}}', c_custkey::VARCHAR) AS name FROM customer),
+p AS (SELECT *, CASE WHEN contains(name, '//') OR contains(name, '?') THEN 'unsafe or non-local ODM section reference: ' || name WHEN starts_with(name, '../') THEN 'ODM section reference leaves the document bundle: ' || name
+    WHEN kind = 'missing' THEN 'linked ODM section is missing: ' || name WHEN kind = 'broken' THEN 'linked document is invalid (' || name || '): the ZIP package signature is missing'
+    WHEN kind = 'word' THEN 'linked master-document section is not an ODT file: ' || name WHEN k % 10 = 9 THEN 'ODM section reference leaves the document bundle: ../../up.odt' END AS reason FROM c)
+SELECT '/linked/m' || k || '.odm' AS path, CASE WHEN reason IS NULL THEN 'match' ELSE 'invalid' END AS kind, 109::BIGINT AS priority, reason,
+    CASE WHEN reason IS NOT NULL THEN '' WHEN kind = 'changed' THEN 'openDocumentMaster.flattened,openDocument.changesNotPreserved' ELSE 'openDocumentMaster.flattened' END AS codes FROM p""")
+def master_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What detection says of master documents whose texts are good, changed, broken, of another format, missing or elsewhere."""
+    rows = engine.detections(linked_files(spark, sf_dir)).where("format = 'odm'")
+    return rows.select("path", "kind", F.col("priority").cast("long").alias("priority"), "reason", F.array_join("codes", ",").alias("codes"))
+
+
 @query("""SELECT '/notes/n' || c_custkey || '.rtfd' AS path, 'ok' AS status, c_name || ' in **' || c_mktsegment || '**' || chr(10) AS markdown,
     CASE WHEN c_nationkey % 2 = 0 THEN 'Attachment was not represented in the generated Markdown: n' || c_nationkey || '.pdf' ELSE '' END AS messages FROM customer""")
 def package_convert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ EXTENSIONS = {
     "rtf": "rtf", "rtfd": "rtfd", "docx": "docx", "docm": "docx", "dotx": "docx", "dotm": "docx", "odt": "odt", "doc": "doc", "ods": "ods", "xlsx": "xlsx", "xls": "xls", "odm": "odm",
 }
 PRIORITIES = {"rtf": 100, "rtfd": 100, "docx": 110, "odt": 110, "doc": 105, "ods": 108, "xlsx": 108, "xls": 108, "odm": 109}
+#: The place of the word-processing adapter in detectors().
+WORDS = 1
 #: Warnings by code.
 WARNINGS = {
     "richText.colorNotPreserved": "Chromatic text colors in RTF cannot be represented and were not preserved.",
@@ -260,13 +262,22 @@ def convert_package(path: str, files: dict[str, bytes | None]) -> Result:
     return result
 
 
+#: What is said of a master document's section, by what is wrong with it.
+SECTION_ERRORS = {
+    "unsafe": "unsafe or non-local ODM section reference: {0}", "leaves": "ODM section reference leaves the document bundle: {0}", "missing": "linked ODM section is missing: {0}",
+    "not_odt": "linked master-document section is not an ODT file: {0}", "invalid": "linked document is invalid ({0}): {1}",
+}
+
+
 def child_path(reference: str) -> str:
     """A section's reference as a path below the master's folder; raises PackageError if it leads elsewhere."""
-    plain = unquote(reference)
+    path = reference.partition("#")[0]
+    plain = unquote(path)
+    if not plain or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) or plain.startswith("/") or "\\" in plain or "?" in path:
+        raise PackageError(SECTION_ERRORS["unsafe"].format(reference))
     parts = plain.split("/")
-    bad = not plain or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", plain) or plain.startswith("/") or "\\" in plain or ".." in parts or "?" in reference
-    if bad:
-        raise PackageError(f"a master-document section has an unsafe reference: {reference}")
+    if ".." in parts:
+        raise PackageError(SECTION_ERRORS["leaves"].format(reference))
     return "/".join(p for p in parts if p not in ("", "."))
 
 
@@ -285,11 +296,12 @@ def resolve_master(master: Result, children: dict[str, Result]) -> Result:
         try:
             path = child_path(item.reference or "")
         except PackageError as e:
-            return Result(master.path, "odm", "error", "invalid_input", str(e))
+            return Result(master.path, "odm", "error", "invalid_input", f"Invalid ODM input at {master.path}: {e}")
         child = children.get(path)
         if child is None or child.status != "ok" or child.format != "odt":
-            why = child.error if child is not None and child.error else "the linked section document is missing or not an ODT document"
-            return Result(master.path, "odm", "error", "invalid_input", f"Invalid ODM input at {master.path}: {why}: {item.reference}")
+            kind = "missing" if child is None else "invalid" if child.error and child.format == "odt" else "not_odt"
+            why = (child.error or "").removeprefix(f"Invalid ODT input at {child.path}: ") if child else ""
+            return Result(master.path, "odm", "error", "invalid_input", f"Invalid ODM input at {master.path}: {SECTION_ERRORS[kind].format(item.reference, why)}")
         body = child.markdown or ""
         for old, data in child.assets.items():
             new = f"images/section{n:02d}-{old.rpartition('/')[2]}"

@@ -147,8 +147,7 @@ def assemble_masters(masters: DataFrame, children: DataFrame) -> DataFrame:
     folder = F.regexp_replace("path", "[^/]*$", "")
     wanted = masters.select(F.col("path").alias("master"), "items", "warnings", folder.alias("folder"))
     refs_ = wanted.select("master", "folder", F.explode_outer(F.filter("items", lambda i: i["kind"] == "section")).alias("s"))
-    plain = F.try_url_decode(F.regexp_replace("s.reference", r"\+", "%2B"))
-    links = refs_.select("master", F.concat("folder", F.regexp_replace(F.coalesce(plain, F.lit("")), r"^(\./)+", "")).alias("child"), F.col("s.reference").alias("reference")).distinct()
+    links = refs_.select("master", F.concat("folder", refs.section_path(F.col("s.reference"))["path"]).alias("child")).distinct()
     kids = children.select(F.col("path").alias("child"), F.struct("status", "format", "error", "warnings", "markdown", F.col("assets.path").alias("names")).alias("got"))
     joined = links.join(kids, "child").groupBy("master").agg(F.collect_list(F.struct("child", "got")).alias("kids"))
     rows = wanted.join(joined, "master", "left").select("master", "items", "warnings", "folder", "kids")
@@ -200,16 +199,49 @@ def convert_packages(files: DataFrame) -> DataFrame:
 def detections(files: DataFrame) -> DataFrame:
     """(path, adapter_no, kind, format, priority, reason, codes): what each adapter says of each file.
 
-    A file over the size limit has one row of kind invalid, without adapter and format.
+    A file over the size limit has one row of kind invalid, without adapter and format. A master document is a match only
+    if all texts that it names are: with the warnings of these, or invalid with what is wrong with the first that isn't.
+    Files are read once; what is said of masters and texts then meets in joins of a few columns.
     """
 
     def rows(path: str, content: bytes) -> list[dict]:
-        return [{"path": path, "adapter_no": n, "kind": d.kind, "format": d.format, "priority": d.priority, "reason": d.reason, "codes": d.warnings} for n, d in enumerate(one.detectors(path, content))]
+        out = []
+        for n, d in enumerate(one.detectors(path, content)):
+            sections = [i.reference for i in d.parsed if i.kind == "section"] if d.format == "odm" and d.parsed else []
+            out.append({"path": path, "adapter_no": n, "kind": d.kind, "format": d.format, "priority": d.priority, "reason": d.reason, "codes": d.warnings, "sections": sections})
+        return out
 
     def unread(path: str, why: str) -> dict:
-        return {"path": path, "kind": "invalid", "priority": 0, "reason": why, "codes": []}
+        return {"path": path, "kind": "invalid", "priority": 0, "reason": why, "codes": [], "sections": []}
+
+    told = stored(_pass(files, "path string, adapter_no int, kind string, format string, priority int, reason string, codes array<string>, sections array<string>", rows, unread))
+    linked = F.col("format").eqNullSafe("odm") & (F.col("kind") == "match") & (F.size("sections") > 0)
+    own = told.where(~linked).drop("sections")
+    return own.unionByName(linked_masters(told.where(linked), told))
+
 
-    return _pass(files, "path string, adapter_no int, kind string, format string, priority int, reason string, codes array<string>", rows, unread)
+def linked_masters(masters: DataFrame, told: DataFrame) -> DataFrame:
+    """Detections of masters (with sections), judged by what the word-processing adapter says of the files these name.
+
+    told: detections of all files. A section that names no file of them is missing.
+    """
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    sections = masters.select("path", folder.alias("_folder"), F.posexplode("sections").alias("_at", "_reference")).withColumn("_to", refs.section_path(F.col("_reference")))
+    sections = sections.select("path", "_at", "_reference", F.col("_to.problem").alias("_problem"), F.concat("_folder", "_to.path").alias("_child"))
+    words = told.where(F.col("adapter_no") == one.WORDS).select(F.col("path").alias("_child"), F.struct("kind", "format", "reason", "codes").alias("_said"))
+    met = sections.join(words, "_child", "left")
+    text = F.col("_said.format").eqNullSafe("odt") & F.col("_said.kind").eqNullSafe("match")
+    problem = F.coalesce("_problem", F.when(F.col("_said").isNull(), "missing").when(F.col("_said.kind") == "invalid", "invalid").when(~text, "not_odt"))
+    messages = F.create_map(*(F.lit(x) for pair in one.SECTION_ERRORS.items() for x in pair))
+    said = F.replace(F.replace(F.try_element_at(messages, problem), F.lit("{0}"), F.col("_reference")), F.lit("{1}"), F.coalesce("_said.reason", F.lit("")))
+    judged = met.groupBy("path").agg(F.min(F.when(problem.isNotNull(), F.struct(F.col("_at"), said.alias("_why"))))["_why"].alias("_why"), F.array_sort(F.collect_list(F.struct("_at", F.col("_said.codes").alias("c")))).alias("_codes"))
+    rows = masters.drop("sections").join(judged, "path")
+    bad, named = F.col("_why").isNotNull(), F.lower(F.col("path")).endswith(".odm")
+    every = F.array_distinct(F.concat("codes", F.flatten(F.transform("_codes", lambda x: F.coalesce(x["c"], F.array().cast("array<string>"))))))
+    return rows.select(
+        "path", "adapter_no", F.when(~bad, "match").when(named, "invalid").otherwise("none").alias("kind"), F.when(~bad | named, F.col("format")).alias("format"), F.when(~bad | named, F.col("priority")).otherwise(0).alias("priority"),
+        F.when(named, F.col("_why")).alias("reason"), F.when(bad, F.array().cast("array<string>")).otherwise(every).alias("codes"),
+    )
 
 
 def document_cells(files: DataFrame) -> DataFrame:

@@ -204,3 +204,23 @@ def test_names_fold_fully(spark):
     got = {(r.doc, r.reading, r.n) for r in resolve.entry_collisions(df, "doc", "name", "other").collect()}
     assert got == {(1, "name", 2), (2, "other", 2)}
     assert {r.key for r in resolve.name_collisions(df.where("name is not null"), "doc", "name").collect()} == {"σασ", "café", "strasse", "i"}
+
+
+def test_masters_are_judged_by_their_texts(spark):
+    changed = odt("<text:tracked-changes/><text:p>x</text:p>")
+    files = {
+        "/d/good.odm": master(SECTION % ("A", "./sub//a%20b.odt#part") + SECTION % ("B", "c.odt")), "/d/sub/a b.odt": odt("<text:p>x</text:p>"), "/d/c.odt": changed, "/d/plain.odm": master("<text:p>x</text:p>"),
+        "/d/first.odm": master(SECTION % ("A", "gone.odt") + SECTION % ("B", "../up.odt")), "/d/second.odm": master(SECTION % ("A", "c.odt") + SECTION % ("B", "../up.odt")), "/d/empty.odm": master(SECTION % ("A", "")),
+        "/d/renamed.zip": master(SECTION % ("A", "gone.odt")), "/d/broken.odm": master(SECTION % ("A", "bad.odt")), "/d/bad.odt": b"PK\x03\x04", "/d/other.odm": master(SECTION % ("A", "good.odm")), "/up.odt": changed,
+    }
+    rows = {r.path: (r.kind, r.reason, r.codes) for r in engine.detections(files_of(spark, files)).where("adapter_no = 4").collect() if r.path.startswith("/d/") and not r.path.endswith(".odt")}
+    flat = "openDocumentMaster.flattened"
+    bad = rows.pop("/d/broken.odm")
+    assert bad[0] == "invalid" and bad[1].startswith("linked document is invalid (bad.odt): ")
+    assert rows == {
+        "/d/good.odm": ("match", None, [flat, "openDocument.changesNotPreserved"]), "/d/plain.odm": ("match", None, [flat]), "/d/first.odm": ("invalid", "linked ODM section is missing: gone.odt", []),
+        "/d/second.odm": ("invalid", "ODM section reference leaves the document bundle: ../up.odt", []), "/d/empty.odm": ("invalid", "unsafe or non-local ODM section reference: ", []), "/d/renamed.zip": ("none", None, []),
+        "/d/other.odm": ("invalid", "linked master-document section is not an ODT file: good.odm", []),
+    }
+    done = {r.path: (r.status, r.error) for r in engine.convert_documents(files_of(spark, files)).collect()}
+    assert done["/d/good.odm"] == ("ok", None) and done["/d/first.odm"] == ("error", "Invalid ODM input at /d/first.odm: linked ODM section is missing: gone.odt")
