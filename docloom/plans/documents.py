@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import gfm, links, markdown
+from docloom.operators import xmlnodes
 from docloom.plans.relational import hostile, table
-from docloom.sources import build, engine
+from docloom.sources import build, engine, nodes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,6 +205,74 @@ def master_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "kind", F.col("priority").cast("long").alias("priority"), "reason", F.array_join("codes", ",").alias("codes"))
 
 
+#: What stands in a made document, by number: in the body, or as an external image of one mode.
+_DOCX = ["", '<w:commentRangeStart w:id="1"/>', "<w:ins><w:r/></w:ins>", '<x:del xmlns:x="urn:x"/>', "External", "Internal", "<w:p><w:moveTo/><w:commentRangeStart/></w:p>"]
+_ODT = ["", "<office:annotation/>", "<text:tracked-changes/>", '<draw:image xlink:href="../b.png"/><draw:image xlink:href="http://a/x.png"/>', '<draw:image xlink:href="Pictures/p.png"/>']
+
+
+def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word document and an open one for each customer, with comments, changes and images of several kinds."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                kind = _DOCX[r.c_custkey % len(_DOCX)]
+                word = build.docx_files([(0, [(r.c_name, False)])])
+                if kind.startswith("<"):
+                    word["word/document.xml"] = word["word/document.xml"].replace("</w:body>", f"{kind}</w:body>")
+                elif kind:
+                    targets = "".join(f'<Relationship Id="r{k}" Type="urn:y/image" TargetMode="{kind}" Target="http://h/{r.c_nationkey}-{k}.png"/>' for k in (2, 1))
+                    word["word/_rels/document.xml.rels"] = f'<Relationships xmlns="{xmlnodes.RELATIONSHIPS}">{targets}<Relationship Id="l" Type="urn:y/hyperlink" TargetMode="External" Target="http://a"/></Relationships>'
+                if r.c_nationkey % 5 == 0:
+                    word["word/comments.xml"] = f'<w:comments xmlns:w="{xmlnodes.WORD[0]}"><w:comment/></w:comments>'
+                text = build.odt_files([(0, [(r.c_name, False)])])
+                text["content.xml"] = text["content.xml"].replace("<office:text>", f'<office:text xmlns:draw="{xmlnodes.DRAW}">{_ODT[r.c_custkey % len(_ODT)]}')
+                out += [(f"/marked/{r.c_custkey}.docx", build.package(word)), (f"/marked/{r.c_custkey}.odt", build.package(text))]
+            yield pd.DataFrame([(p, len(c), c) for p, c in out], columns=["path", "length", "content"])
+
+    return rows.mapInPandas(make, "path string, length long, content binary")
+
+
+@query(f"""SELECT '/marked/' || c_custkey || '.docx' AS path, c_custkey % 7 IN (1, 6) OR c_nationkey % 5 = 0 AS comments, c_custkey % 7 IN (2, 6) AS changes, false AS odt_changes, CASE WHEN c_custkey % 7 = 4 THEN 'http://h/' || c_nationkey || '-1.png' END AS unsafe FROM customer
+UNION ALL SELECT '/marked/' || c_custkey || '.odt', c_custkey % 5 = 1, false, c_custkey % 5 = 2, CASE WHEN c_custkey % 5 = 3 THEN '../b.png' END FROM customer""")
+def package_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, tracked changes and images from elsewhere, as predicates on the elements of the packages' parts."""
+    return xmlnodes.inspections(nodes.xml_nodes(marked_files(spark, sf_dir), xmlnodes.PARTS))
+
+
+def string_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for every forty parts: its strings are the parts' names, in one or two runs, and its sheets their brands."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
+    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for book, rows in zip(pdf["book"], pdf["rows"]):
+                files = build.xlsx_files([("S", [["a"]])])
+                run = lambda n, k: f"<r><rPr/><t>{n[:k]}</t></r><r><t>{n[k:]}</t></r>" if k % 2 else f"<t>{n}</t>" if k % 4 else ""
+                files["xl/sharedStrings.xml"] = f'<sst xmlns="{xmlnodes.SHEET}">' + "".join(f"<si>{run(r['p_name'], int(r['p_size']))}</si>" for r in rows) + "</sst>"
+                sheets = "".join(f'<sheet name="{r["p_brand"]}" r:id="r{r["p_partkey"]}"/>' if r["p_size"] % 10 else f'<sheet name="{r["p_brand"]}"/>' for r in rows)
+                files["xl/workbook.xml"] = f'<workbook xmlns="{xmlnodes.SHEET}" xmlns:r="{xmlnodes.OFFICE_RELATIONSHIPS}"><sheets>{sheets}</sheets></workbook>'
+                content = build.package(files)
+                out.append({"path": f"/parts/book{book}.xlsx", "length": len(content), "content": content})
+            yield pd.DataFrame(out, columns=["path", "length", "content"])
+
+    return books.mapInPandas(make, "path string, length long, content binary")
+
+
+@query("""SELECT '/parts/book' || p_partkey // 40 || '.xlsx' AS path, (row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1)::BIGINT AS idx, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS text, p_brand AS sheet,
+    CASE WHEN p_size % 10 <> 0 THEN 'r' || p_partkey END AS rel, CASE WHEN p_size % 10 = 0 THEN 'an XLSX sheet declaration is incomplete' END AS error FROM part""")
+def workbook_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared strings and declared sheets out of the elements of workbooks' parts, side by side by number."""
+    found = nodes.xml_nodes(string_files(spark, sf_dir), xmlnodes.PARTS)
+    strings = xmlnodes.shared_strings(found)
+    sheets = xmlnodes.sheet_list(found).select("path", F.col("sheet_no").alias("idx"), F.col("name").alias("sheet"), "rel", "error")
+    return strings.join(sheets, ["path", "idx"]).withColumn("idx", F.col("idx").cast("long"))
+
+
 @query("""SELECT '/notes/n' || c_custkey || '.rtfd' AS path, 'ok' AS status, c_name || ' in **' || c_mktsegment || '**' || chr(10) AS markdown,
     CASE WHEN c_nationkey % 2 = 0 THEN 'Attachment was not represented in the generated Markdown: n' || c_nationkey || '.pdf' ELSE '' END AS messages FROM customer""")
 def package_convert(spark: SparkSession, sf_dir: str) -> DataFrame:

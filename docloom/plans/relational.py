@@ -201,46 +201,52 @@ def link_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.link_fill(cells, links, ["sheet"])
 
 
-@query("""WITH cell AS (SELECT DISTINCT l_suppkey // 20 AS sheet, l_linenumber * 29 AS r, l_partkey % 97 AS c FROM lineitem),
-link AS (SELECT s_suppkey AS link, s_suppkey // 20 AS sheet, s_suppkey * 7 % 40 AS r0, s_suppkey * 5 % 20 AS c0, s_suppkey * 7 % 40 + s_nationkey * 9 AS r1, s_suppkey * 5 % 20 + s_nationkey % 8 * 11 AS c1, s_name AS display FROM supplier),
-rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link),
+@query("""WITH cell AS (SELECT DISTINCT doc_id // 80 AS sheet, n_chars % 217 AS r, doc_id % 97 AS c FROM documents WHERE n_chars % 5 > 1 OR n_chars % 5 = 1),
+link AS (SELECT page_id AS link, page_id // 20 AS sheet, page_id * 7 % 40 AS r0, page_id * 5 % 20 AS c0, page_id * 7 % 40 + length(html) % 178 AS r1, page_id * 5 % 20 + length(url) % 59 AS c1, CASE WHEN page_id % 11 = 3 THEN '' ELSE url END AS display FROM pages),
+rows AS (SELECT *, unnest(range(r0::BIGINT, r1::BIGINT + 1)) AS r FROM link WHERE display <> ''),
 area AS (SELECT *, unnest(range(c0::BIGINT, c1::BIGINT + 1)) AS c FROM rows)
 SELECT sheet, a.r, a.c, min_by(display, link) AS display FROM area a ANTI JOIN cell USING (sheet, r, c) GROUP BY ALL""")
 def link_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links over areas of up to 217 rows and 78 columns, twenty to a sheet, most of which overlap."""
-    cells = table(spark, sf_dir, "lineitem").select(F.expr("l_suppkey div 20").alias("sheet"), (F.col("l_linenumber") * 29).alias("r"), (F.col("l_partkey") % 97).alias("c"), F.lit("x").alias("display")).distinct()
-    s, n = F.col("s_suppkey"), F.col("s_nationkey")
-    r0, c0 = s * 7 % 40, s * 5 % 20
-    links = table(spark, sf_dir, "supplier").select(s.alias("link"), F.expr("s_suppkey div 20").alias("sheet"), r0.alias("r0"), c0.alias("c0"), (r0 + n * 9).alias("r1"), (c0 + n % 8 * 11).alias("c1"), F.col("s_name").alias("display"))
+    """Links over areas of up to 178 rows and 59 columns, twenty to a sheet, most of which overlap; some cells show nothing,
+    and some of these have a formula."""
+    n = F.col("n_chars")
+    cells = table(spark, sf_dir, "documents").select(F.expr("doc_id div 80").alias("sheet"), (n % 217).alias("r"), (F.col("doc_id") % 97).alias("c"), F.when(n % 5 > 1, "x").otherwise("").alias("display"), F.when(n % 5 == 1, "").alias("formula")).distinct()
+    p = F.col("page_id")
+    r0, c0 = p * 7 % 40, p * 5 % 20
+    links = table(spark, sf_dir, "pages").select(
+        p.alias("link"), F.expr("page_id div 20").alias("sheet"), r0.alias("r0"), c0.alias("c0"), (r0 + F.length("html") % 178).alias("r1"), (c0 + F.length("url") % 59).alias("c1"),
+        F.when(p % 11 == 3, "").otherwise(F.col("url")).alias("display"),
+    )
     return grid.link_fill(cells, links, ["sheet"])
 
 
-@query("""WITH cell AS (SELECT l_suppkey % 5 AS book, l_orderkey AS sheet, l_linenumber AS r, l_partkey % 30 AS c, l_returnflag || '§' || l_suppkey AS d FROM lineitem),
+@query("""WITH cell AS (SELECT lang AS book, doc_id AS sheet, unnest(string_split(text, chr(10))) AS d, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS r, n_chars % 30 AS c FROM documents),
 line AS (SELECT book, sheet, r, max(c) + 1 AS w, sum(octet_length(encode(d))) AS t FROM cell GROUP BY ALL),
 sums AS (SELECT book, sheet, r, sum(w) OVER o AS cells, sum(t) OVER o AS bytes FROM line WINDOW o AS (PARTITION BY book ORDER BY sheet, r ROWS UNBOUNDED PRECEDING)),
-c AS (SELECT book, max(cells) AS cells, max(bytes) AS bytes, min(CASE WHEN cells > 40000 THEN sheet END) AS cells_at, min(CASE WHEN bytes > 50000 THEN sheet END) AS bytes_at FROM sums GROUP BY book),
-link AS (SELECT s_suppkey % 5 AS book, s_suppkey * 31 AS sheet, s_suppkey AS link, (s_nationkey + 1) * (s_suppkey % 13 + 1) AS area FROM supplier),
+c AS (SELECT book, max(cells) AS cells, max(bytes) AS bytes, min(CASE WHEN cells > 20000 THEN sheet END) AS cells_at, min(CASE WHEN bytes > 200000 THEN sheet END) AS bytes_at FROM sums GROUP BY book),
+link AS (SELECT lang AS book, doc_id AS sheet, unnest([0, 1]) AS link, (n_chars % 7 + 1) * (doc_id % 13 + 1) AS area FROM documents WHERE doc_id % 3 = 1),
 run AS (SELECT book, sheet, area, sum(area) OVER (PARTITION BY book ORDER BY sheet, link ROWS UNBOUNDED PRECEDING) AS scanned FROM link),
-l AS (SELECT book, max(scanned) AS scanned, min(CASE WHEN area > 40000 THEN sheet END) AS large_at, min(CASE WHEN scanned > 900 THEN sheet END) AS scanned_at FROM run GROUP BY book),
+l AS (SELECT book, max(scanned) AS scanned, min(CASE WHEN area > 20000 THEN sheet END) AS large_at, min(CASE WHEN scanned > 900 THEN sheet END) AS scanned_at FROM run GROUP BY book),
 e AS (SELECT book, unnest([cells_at, bytes_at, large_at, scanned_at]) AS sheet_no, unnest([0, 1, 2, 3]) AS n FROM c LEFT JOIN l USING (book)),
 f AS (SELECT book, min_by(sheet_no, (sheet_no, n)) AS sheet_no, min_by(n, (sheet_no, n)) AS n FROM e WHERE sheet_no IS NOT NULL GROUP BY book)
 SELECT book, cells::BIGINT AS cells, bytes::BIGINT AS bytes, coalesce(scanned, 0)::BIGINT AS scanned, sheet_no, ['the XLSX sheet exceeds the expanded-cell budget', 'the spreadsheet exceeds the materialized-text budget', 'the XLSX sheet exceeds the expanded-cell budget', 'the XLSX hyperlinks exceed the scan budget'][n + 1] AS error
 FROM c LEFT JOIN l USING (book) LEFT JOIN f USING (book)""")
 def workbook_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five large workbooks, a sheet for each order; their cells, bytes and linked areas against limits of 40,000, 50,000 and 900."""
-    book = F.col("l_suppkey") % 5
-    cells = table(spark, sf_dir, "lineitem").select(book.alias("book"), F.col("l_orderkey").alias("sheet_no"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 30).alias("c"), F.concat("l_returnflag", F.lit("§"), F.col("l_suppkey").cast("string")).alias("display"))
-    s = F.col("s_suppkey")
-    links = table(spark, sf_dir, "supplier").select((s % 5).alias("book"), (s * 31).alias("sheet_no"), s.alias("link"), F.lit(0).alias("r0"), F.lit(0).alias("c0"), F.col("s_nationkey").alias("r1"), (s % 13).alias("c1"))
-    return budgets.workbook_errors(cells, links, ["book"], max_cells=40_000, max_text=50_000, max_scans=900)
+    """A workbook for each language, with a sheet for each text and a cell in each of its lines; every third sheet has two
+    links. Limits are 20,000 cells, 200,000 bytes and 900 linked cells."""
+    docs = table(spark, sf_dir, "documents").withColumnsRenamed({"lang": "book", "doc_id": "sheet_no"})
+    cells = docs.select("book", "sheet_no", (F.col("n_chars") % 30).alias("c"), F.posexplode(F.split("text", "\n")).alias("r", "display"))
+    ends = (F.lit(0).alias("r0"), F.lit(0).alias("c0"), (F.col("n_chars") % 7).alias("r1"), (F.col("sheet_no") % 13).alias("c1"))
+    links = docs.where(F.col("sheet_no") % 3 == 1).select("book", "sheet_no", F.explode(F.array(F.lit(0), F.lit(1))).alias("link"), *ends)
+    return budgets.workbook_errors(cells, links, ["book"], max_cells=20_000, max_text=200_000, max_scans=900)
 
 
-@query("""SELECT event_id, (sum(event_id % 37) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used, (count(*) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS n FROM events""")
+@query("""SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS used, (count(*) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS n FROM documents""")
 def corpus_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A running sum and a count over all events in one order, in three levels of blocks."""
-    e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("event_id")
-    return budgets.prefix_sums(rows, [], [F.floor(e / 1_000_000), F.floor(e / 1000)], ["event_id"], used=e % 37, n=F.lit(1))
+    """A running sum and a count over all documents in one order, in three levels of blocks."""
+    i = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return budgets.prefix_sums(rows, [], [F.floor(i / 1_000_000), F.floor(i / 1000)], ["doc_id"], used=F.col("n_chars"), n=F.lit(1)).drop("n_chars")
 
 
 @query(f"""WITH {BOOK_CELLS},
@@ -489,15 +495,15 @@ _SPELT = ["σας", "ΣΑΣ", "caf\u00e9", "cafe\u0301", "CAFE\u0301", "straße"
 _FOLD = "replace(replace(nfc_normalize(lower(nfc_normalize({0}))), 'ς', 'σ'), 'ß', 'ss')"
 
 
-@query(f"""WITH e AS (SELECT p_partkey % 40 AS doc, {_SPELT}[p_partkey % 8 + 1] || '/' || p_size % 3 || CASE WHEN p_partkey % 5 = 0 THEN '/' ELSE '' END AS name, CASE WHEN p_partkey % 3 = 0 THEN {_SPELT}[p_size % 8 + 1] || p_size % 4 END AS other FROM part),
+@query(f"""WITH e AS (SELECT doc_id // 40 AS doc, {_SPELT}[doc_id % 8 + 1] || '/' || n_chars % 3 || CASE WHEN doc_id % 5 = 0 THEN '/' ELSE '' END AS name, CASE WHEN doc_id % 3 = 0 THEN {_SPELT}[n_chars % 8 + 1] || n_chars % 4 END AS other FROM documents),
 k AS (SELECT doc, unnest(['name', 'other']) AS reading, unnest([{_FOLD.format("regexp_replace(name, '/$', '')")}, {_FOLD.format("other")}]) AS key FROM e)
 SELECT doc, reading, key, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
 def entry_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with final sigmas, sharp s and accents in one and two characters, in two readings; keys are shown composed."""
     spelt = lambda i: F.get(F.array(*map(F.lit, _SPELT)), (i % 8).cast("int"))
-    key, size = F.col("p_partkey"), F.col("p_size")
+    key, size = F.col("doc_id"), F.col("n_chars")
     name = F.concat(spelt(key), F.lit("/"), (size % 3).cast("string"), F.when(key % 5 == 0, "/").otherwise(""))
-    entries = table(spark, sf_dir, "part").select((key % 40).alias("doc"), name.alias("name"), F.when(key % 3 == 0, F.concat(spelt(size), (size % 4).cast("string"))).alias("other"))
+    entries = table(spark, sf_dir, "documents").select(F.expr("doc_id div 40").alias("doc"), name.alias("name"), F.when(key % 3 == 0, F.concat(spelt(size), (size % 4).cast("string"))).alias("other"))
     return resolve.entry_collisions(entries, "doc", "name", "other").withColumn("key", F.replace("key", F.lit("e\u0301"), F.lit("\u00e9")))
 
 
