@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import refs, text
 from docloom.functions.images import IMAGE
-from docloom.operators import budgets, grid, images, normalize, render, resolve
+from docloom.operators import budgets, colours, grid, images, normalize, render, resolve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -595,6 +595,23 @@ def chromatic_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", refs.chromatic(part(e % 256), part(e * 7 % 256), part(e * 7 % 256 + e % 9), (e % 4).cast("double") / F.lit(3.0)).alias("coloured"))
 
 
+@query(r"""WITH d AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || ' ') AS text, n_chars FROM documents), k AS (SELECT unnest(range(0, 9)) AS n),
+r AS (SELECT doc_id, n, (doc_id * 37 + n * n * 211) % greatest(n_chars, 1) AS start, (doc_id * 13 + n * 29) % 90 * (n % 4) AS length, (doc_id + n) % 4 AS colour FROM d, k),
+c AS (SELECT doc_id, p, max_by(colour, n) AS colour FROM (SELECT doc_id, n, colour, unnest(range(start, start + length)) AS p FROM r) GROUP BY ALL),
+i AS (SELECT doc_id, colour, min(p) AS start, max(p) + 1 AS stop FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, colour ORDER BY p) AS g FROM c) WHERE colour IN (1, 3) GROUP BY doc_id, colour, g),
+o AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS since FROM i),
+m AS (SELECT doc_id, string_agg(substr(text, since + 1, start - since) || regexp_replace(substr(text, start + 1, stop - start), '([^\p{Zs}\t\n\r\x{FFFC}](?:[^\n\r\x{FFFC}]*[^\p{Zs}\t\n\r\x{FFFC}])?)', '==\1==', 'g'), '' ORDER BY start) AS head, max(stop) AS stop FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(head, '') || substr(text, coalesce(stop, 0) + 1) AS text FROM d LEFT JOIN m USING (doc_id)""")
+def colour_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine ranges to a text, overlapping and of four colours, two of which are chromatic; lines end at stops."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n ")).alias("text"), "n_chars")
+    doc, n = F.col("doc_id"), F.col("n")
+    shades = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip("rgba", v))) for v in ((0.5, 0.5, 0.5, 1.0), (1.0, 0.0, 0.0, 1.0), (0.9, 0.1, 0.1, 0.0), (0.0, 0.4, 0.0, 0.5))))
+    rows = docs.select("doc_id", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("n"))
+    ranges = rows.select(doc, n, ((doc * 37 + n * n * 211) % F.greatest(F.col("n_chars"), F.lit(1))).alias("start"), ((doc * 13 + n * 29) % 90 * (n % 4)).alias("length"), F.get(shades, ((doc + n) % 4).cast("int")).alias("colour"))
+    return colours.marked_texts(docs.drop("n_chars"), ranges, "doc_id")
+
+
 @query(r"""WITH i AS (SELECT conv_id, turn, role, regexp_replace(chr(10) || text || chr(13) || chr(10), '^[\r\n]+|[\r\n]+$', '', 'g') AS t FROM conversations)
 SELECT conv_id, '# talk ' || conv_id || chr(10) || chr(10) || string_agg(CASE WHEN role = 'user' THEN '## Section: ' || role || ' ' || turn || chr(10) || chr(10) || t ELSE t END, chr(10) || chr(10) ORDER BY turn, role, t) || chr(10) AS markdown FROM i GROUP BY conv_id""")
 def section_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
