@@ -10,17 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.resolve import availability
-
-#: Format, extensions, container and tools. Formats whose reader is part of this library need none.
-FORMATS = [
-    ("rtf", ["rtf"], "file", []), ("rtfd", ["rtfd"], "package", []), ("docx", ["docx", "docm", "dotx", "dotm"], "file", []), ("odt", ["odt"], "file", []),
-    ("doc", ["doc"], "file", ["textutil", "pandoc"]), ("ods", ["ods"], "file", []), ("xlsx", ["xlsx"], "file", []), ("xls", ["xls"], "file", []), ("odm", ["odm"], "file", []),
-]
+from docloom.sources.adapters import Registry
+from docloom.sources.convert import DEFAULT
 
 #: Why a format that is detected is never converted, whatever tools are there.
 NEVER = {"doc": "DOC is detected but never converted here"}
 
 
+def declared(registry: Registry) -> list[tuple[str, list[str], str, list[str]]]:
+    """(format, extensions, container, tools) as the adapters declare them."""
+    order = ["rtf", "rtfd", "docx", "odt", "doc", "ods", "xlsx", "xls", "odm"]
+    formats = sorted(registry.formats.values(), key=lambda f: order.index(f.name) if f.name in order else len(order))
+    return [(f.name, [*f.extensions], f.container, [*f.requires]) for f in formats]
+
+
 def resolve_tool(name: str, explicit: str | None = None) -> str | None:
     """An executable regular file: the explicit path if one is given, else the first on PATH."""
     found = explicit or shutil.which(name)
@@ -28,22 +31,23 @@ def resolve_tool(name: str, explicit: str | None = None) -> str | None:
     return real if real and os.path.isfile(real) and os.access(real, os.X_OK) else None
 
 
-def catalog(spark: SparkSession, explicit: dict[str, str] | None = None) -> DataFrame:
+def catalog(spark: SparkSession, explicit: dict[str, str] | None = None, registry: Registry = DEFAULT) -> DataFrame:
     """(format, extensions, container, requires, missing, available, reason); each tool is looked for once."""
-    tools = {t for f in FORMATS for t in f[3]}
+    formats = declared(registry)
+    tools = {t for f in formats for t in f[3]}
     there = [t for t in sorted(tools) if resolve_tool(t, (explicit or {}).get(t))]
-    rows = spark.createDataFrame(FORMATS, "format string, extensions array<string>, container string, requires array<string>")
+    rows = spark.createDataFrame(formats, "format string, extensions array<string>, container string, requires array<string>")
     found = availability(rows, there)
     never = F.col("format").isin(*NEVER)
     why = F.try_element_at(F.create_map(*(F.lit(x) for pair in NEVER.items() for x in pair)), F.col("format"))
     return found.withColumn("available", F.col("available") & ~never).withColumn("reason", F.coalesce("reason", why))
 
 
-def catalog_rows(explicit: dict[str, str] | None = None) -> list[dict]:
+def catalog_rows(explicit: dict[str, str] | None = None, registry: Registry = DEFAULT) -> list[dict]:
     """The same without Spark, for the command line."""
-    there = {t: bool(resolve_tool(t, (explicit or {}).get(t))) for f in FORMATS for t in f[3]}
+    there = {t: bool(resolve_tool(t, (explicit or {}).get(t))) for f in declared(registry) for t in f[3]}
     out = []
-    for name, extensions, container, requires in FORMATS:
+    for name, extensions, container, requires in declared(registry):
         missing = [t for t in requires if not there[t]]
         reason = f"missing required tool: {', '.join(missing)}" if missing else NEVER.get(name)
         out.append({"containerKind": container, "fileExtensions": extensions, "format": name, "isAvailable": reason is None, "missingTools": missing, "requiredTools": requires, "unavailableReason": reason})

@@ -46,7 +46,7 @@ def rle_expand(runs: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.select(*by, F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("repeat") - 1)).alias("c"), "display")
 
 
-#: Rows and columns of a tile.
+#: Rows and columns of a tile: a row of it is the 64 bits of a long.
 TILE = 64
 
 
@@ -56,22 +56,39 @@ def link_fill(cells: DataFrame, links: DataFrame, by: list[str]) -> DataFrame:
     links(by, link, r0, c0, r1, c1, display); an empty display fills nothing. cells(by, r, c, display[, formula]): a cell
     with a formula holds something even if it shows nothing.
 
-    Ranges are cut at the borders of tiles, and of ranges that cover the same part of a tile the first alone goes on, by
-    rows and then by cells. So a cell is made about once for each different part of a tile that covers it, not once for
-    each link, and a range of a million cells is a few hundred rows until then.
+    Ranges are cut at the borders of tiles; of ranges that cover the same part of a tile the first alone goes on. A row of
+    a tile is a mask of its columns, for each range that covers any and for the cells that hold something, so ranges and
+    cells meet by tile rows. There the ranges take their turns, each the bits that are left; only what they get is laid
+    out as cells, and that is not shuffled any more.
     """
-    first = F.min("_link").alias("_link")
+    row = [*by, "r", "_tc"]
     rows = links.where("display <> ''").select(*by, F.struct("link", "display").alias("_link"), *(F.col(c).cast("long").alias(c) for c in ("r0", "c0", "r1", "c1"))).where("r0 <= r1 and c0 <= c1")
     block = lambda c: F.floor(F.col(c) / TILE)
     rows = rows.withColumn("_tr", F.explode(F.sequence(block("r0"), block("r1")))).withColumn("_tc", F.explode(F.sequence(block("c0"), block("c1"))))
     edge = lambda low, high, tile: (F.greatest(F.col(low), F.col(tile) * TILE), F.least(F.col(high), F.col(tile) * TILE + TILE - 1))
     (top, bottom), (left, right) = edge("r0", "r1", "_tr"), edge("c0", "c1", "_tc")
-    parts = rows.groupBy(*by, top.alias("_top"), bottom.alias("_bottom"), left.alias("_left"), right.alias("_right")).agg(first)
-    lines = parts.select(*by, "_left", "_right", "_link", F.explode(F.sequence("_top", "_bottom")).alias("r")).groupBy(*by, "r", "_left", "_right").agg(first)
-    area = lines.select(*by, "r", "_link", F.explode(F.sequence("_left", "_right")).alias("c")).groupBy(*by, "r", "c").agg(first)
-    held = "display <> ''" + (" or formula is not null" if "formula" in cells.columns else "")
-    taken = cells.where(held).select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-    return area.join(taken, [*by, "r", "c"], "left_anti").select(*by, "r", "c", F.col("_link.display").alias("display"))
+    parts = rows.groupBy(*by, top.alias("_top"), bottom.alias("_bottom"), "_tc", left.alias("_left"), right.alias("_right")).agg(F.min("_link").alias("_link"))
+    shift = lambda x, n: F.call_function("shiftleft", x, n.cast("int"))
+    one, width = F.lit(1).cast("long"), F.col("_right") - F.col("_left") + 1
+    mask = shift(F.when(width == TILE, F.lit(-1).cast("long")).otherwise(shift(one, width) - 1), F.col("_left") - F.col("_tc") * TILE)
+    lines = parts.select(*by, F.explode(F.sequence("_top", "_bottom")).alias("r"), "_tc", mask.alias("_mask"), "_link")
+    # one exchange by tile row serves both steps; of ranges with one mask the first is kept, so a list has 2,080 at most
+    lines = lines.repartition(*row).groupBy(*row, "_mask").agg(F.min("_link").alias("_link")).groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("_link", "_mask"))).alias("_turns"))
+    holds = "display <> ''" + (" or formula is not null" if "formula" in cells.columns else "")
+    place = cells.where(holds).select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    held = place.groupBy(*by, "r", block("c").alias("_tc")).agg(F.bit_or(shift(one, F.col("c") % TILE)).alias("_held"))
+    got = "array<struct<display:string,mask:bigint>>"
+
+    def turn(s: Column, x: Column) -> Column:
+        new = x["_mask"].bitwiseAND(F.bitwise_not(s["taken"]))
+        gets = F.concat(s["gets"], F.array(F.struct(x["_link"]["display"].alias("display"), new.alias("mask"))))
+        return F.struct(s["taken"].bitwiseOR(new).alias("taken"), F.when(new != 0, gets).otherwise(s["gets"]).alias("gets"))
+
+    met = lines.join(held, row, "left")
+    start = F.struct(F.coalesce("_held", F.lit(0).cast("long")).alias("taken"), F.array().cast(got).alias("gets"))
+    filled = met.select(*row, F.explode(F.aggregate("_turns", start, turn, lambda s: s["gets"])).alias("_g"))
+    columns = F.filter(F.sequence(F.lit(0), F.lit(TILE - 1)), lambda b: F.getbit(F.col("_g.mask"), b) == 1)
+    return filled.select(*by, "r", F.col("_tc"), F.col("_g.display").alias("display"), F.explode(columns).alias("_b")).select(*by, "r", (F.col("_tc") * TILE + F.col("_b")).alias("c"), "display")
 
 
 def running_budget(rows: DataFrame, by: list[str], order: list[str], amount: str, limit: int) -> DataFrame:

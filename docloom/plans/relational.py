@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.catalog import declared
 from docloom.functions import refs, text
 from docloom.functions.images import IMAGE
 from docloom.operators import budgets, colours, grid, images, normalize, render, resolve
+from docloom.sources.convert import DEFAULT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -437,28 +439,36 @@ def a1_column_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(ref.alias("ref")).select("ref", refs.a1_column(F.col("ref")).alias("c"), refs.a1_row(F.col("ref")).alias("r"))
 
 
-CATALOG = [
-    ("rtf", ["rtf"], ["pandoc"]), ("rtfd", ["rtfd"], ["pandoc", "textutil"]), ("docx", ["docx", "docm", "dotx", "dotm"], ["pandoc"]), ("odt", ["odt"], ["pandoc"]),
-    ("doc", ["doc"], ["textutil", "pandoc"]), ("ods", ["ods"], []), ("xlsx", ["xlsx"], []), ("xls", ["xls"], []), ("odm", ["odm"], ["pandoc"]),
-]
-_CATALOG_SQL = "cat(format, extensions, requires) AS (VALUES " + ", ".join(f"('{f}', {e}::VARCHAR[], {r}::VARCHAR[])" for f, e, r in CATALOG) + ")"
+_CATALOG_SQL = "cat(format, extensions, requires) AS (VALUES " + ", ".join(f"('{f}', {e}::VARCHAR[], {r}::VARCHAR[])" for f, e, _, r in declared(DEFAULT)) + ")"
+#: Extensions of documents, by number; the last two are of no format.
+_ENDINGS = ["rtf", "RTFD", "docx", "dotm", "odt", "doc", "ods", "XLSX", "xls", "odm", "pdf", ""]
+
+
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, format, requires): documents with the format that the catalog has for their extension."""
+    catalog = spark.createDataFrame(declared(DEFAULT), "format string, extensions array<string>, container string, requires array<string>")
+    known = catalog.select("format", "requires", F.explode("extensions").alias("extension"))
+    ending = F.get(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % len(_ENDINGS)).cast("int"))
+    files = table(spark, sf_dir, "documents").select("doc_id", refs.extension(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), ending)).alias("extension"))
+    return files.join(F.broadcast(known), "extension")  # the catalog is the code's own, a row for each extension
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATALOG, "format string, extensions array<string>, requires array<string>")
+_NAMED = f"named AS (SELECT doc_id, format, requires FROM (SELECT doc_id, lower({_ENDINGS}[doc_id % {len(_ENDINGS)} + 1]) AS e FROM documents) JOIN (SELECT format, requires, unnest(extensions) AS e FROM cat) USING (e))"
 
 
-@query(f"""WITH {_CATALOG_SQL}, m AS (SELECT *, list_filter(requires, lambda x: x <> 'pandoc') AS missing FROM cat)
-SELECT format, array_to_string(missing, ',') AS missing, len(missing) = 0 AS available, CASE WHEN len(missing) > 0 THEN 'missing required tool: ' || array_to_string(missing, ', ') END AS reason FROM m""")
+@query(f"""WITH {_CATALOG_SQL}, {_NAMED}, m AS (SELECT *, list_filter(requires, lambda x: x <> 'pandoc') AS missing FROM named)
+SELECT doc_id, format, array_to_string(missing, ',') AS missing, len(missing) = 0 AS available, CASE WHEN len(missing) > 0 THEN 'missing required tool: ' || array_to_string(missing, ', ') END AS reason FROM m""")
 def catalog_missing_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.availability(catalog(spark), ["pandoc"]).select("format", F.array_join("missing", ",").alias("missing"), "available", "reason")
+    """For each document of a known extension whether its format can be converted where only pandoc is there."""
+    return resolve.availability(named_documents(spark, sf_dir), ["pandoc"]).select("doc_id", "format", F.array_join("missing", ",").alias("missing"), "available", "reason")
 
 
-@query(f"""WITH {_CATALOG_SQL}, c AS (SELECT format, array_to_string(extensions, ' ') AS e FROM cat)
-SELECT rpad(format, (max(length(format)) OVER () + 2)::INT, ' ') || rpad(e, (max(length(e)) OVER () + 2)::INT, ' ') || 'ok' AS line FROM c""")
+@query(f"""WITH {_CATALOG_SQL}, {_NAMED}, c AS (SELECT format, count(*)::VARCHAR AS n FROM named GROUP BY format)
+SELECT rpad(format, (max(length(format)) OVER () + 2)::INT, ' ') || rpad(n, (max(length(n)) OVER () + 2)::INT, ' ') || 'ok' AS line FROM c""")
 def catalog_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = catalog(spark).select("format", F.array_join("extensions", " ").alias("e"), F.lit("ok").alias("state"))
-    return resolve.column_text(rows, ["format", "e", "state"]).select("line")
+    """How many documents each format has, as lines of padded columns; a row for each format of the catalog at most."""
+    rows = named_documents(spark, sf_dir).groupBy("format").agg(F.count("*").cast("string").alias("n")).withColumn("state", F.lit("ok"))
+    return resolve.column_text(rows, ["format", "n", "state"]).select("line")
 
 
 @query("""WITH f AS (SELECT doc_id, bool_or(toxic = 1) AS m, bool_or(quality = 0) AS u FROM labels GROUP BY doc_id),

@@ -13,17 +13,11 @@ from docloom.functions.markdown import normalized
 from docloom.functions.render_text import one_line, workbook as render_workbook
 from docloom.functions.text import LIST_ITEM
 from docloom.sources import cfb, odm, ods, rtf, wordml, xls, xlsx
+from docloom.sources.adapters import Detection, Format, Probe, Registry
 from docloom.sources.workbook import Workbook, WorkbookError
 from docloom.sources.xmltree import XmlError
-from docloom.sources.zipgate import Package, PackageError, open_package
+from docloom.sources.zipgate import Package, PackageError
 
-#: What each format's extensions are, and its detector's priority.
-EXTENSIONS = {
-    "rtf": "rtf", "rtfd": "rtfd", "docx": "docx", "docm": "docx", "dotx": "docx", "dotm": "docx", "odt": "odt", "doc": "doc", "ods": "ods", "xlsx": "xlsx", "xls": "xls", "odm": "odm",
-}
-PRIORITIES = {"rtf": 100, "rtfd": 100, "docx": 110, "odt": 110, "doc": 105, "ods": 108, "xlsx": 108, "xls": 108, "odm": 109}
-#: The place of the word-processing adapter in detectors().
-WORDS = 1
 #: Warnings by code.
 WARNINGS = {
     "richText.colorNotPreserved": "Chromatic text colors in RTF cannot be represented and were not preserved.",
@@ -47,18 +41,6 @@ _PACKAGE_WARNINGS = {
 ERRORS = (PackageError, WorkbookError, XmlError, cfb.CompoundError, UnsafeReference)
 
 
-@dataclass
-class Detection:
-    """kind: match, invalid or none."""
-
-    kind: str = "none"
-    format: str | None = None
-    priority: int = 0
-    reason: str | None = None
-    warnings: list[str] = field(default_factory=list)
-    parsed: object = None
-
-
 @dataclass
 class Result:
     path: str
@@ -87,102 +69,136 @@ def stem_of(path: str) -> str:
     return head if dot and head else name
 
 
-def extension_of(path: str) -> str:
-    name = name_of(path)
-    return name.rpartition(".")[2].lower() if "." in name else ""
-
-
 def book_warnings(book: Workbook, fmt: str) -> list[str]:
     flags = ((book.merges, "spreadsheet.mergesFlattened"), (book.missing_results, "spreadsheet.formulaResultMissing"), (book.unsupported, "spreadsheet.unsupportedObjects"), (fmt == "xls", "legacySpreadsheet.potentialLoss"))
     return [code for on, code in flags if on]
 
 
-def _mimetype(package: Package) -> str | None:
-    data = package.get("mimetype")
-    return data.decode("utf-8", "replace").strip() if data is not None else None
+def _invalid(probe: Probe, fmt: Format, reason: str) -> Detection:
+    """Invalid where the path's extension asks for the format, else no match."""
+    return Detection("invalid", fmt.name, fmt.priority, reason) if probe.wanted == fmt.name else Detection()
 
 
-def detectors(path: str, content: bytes) -> list[Detection]:
-    """What each adapter says, in their order; a document is parsed once, by the adapter that it matches.
+def _packaged(probe: Probe, formats: tuple[Format, ...], find, missing: str) -> Detection:
+    """What find() tells of a package; for one that can't be opened or read, or in which it finds none, why."""
+    wanted = next((f for f in formats if f.name == probe.wanted), None)
+    said = lambda reason: _invalid(probe, wanted, reason) if wanted else Detection()
+    if not probe.package:
+        return said(probe.package_error or probe.compound_error or "the ZIP package signature is missing")
+    try:
+        return find(probe.package) or said(missing)
+    except ERRORS as e:
+        return said(str(e))
 
-    The content alone is evidence; an extension only tells a broken document from a strange one.
-    """
-    wanted = EXTENSIONS.get(extension_of(path))
-    invalid = lambda fmt, reason: Detection("invalid", fmt, PRIORITIES[fmt], reason) if wanted == fmt else Detection()
-    out = []
-    if rtf.HEADER.match(content):
-        codes = ["richText.colorNotPreserved"] if rtf.loses_colour(content) else []
-        out.append(Detection("match", "rtf", PRIORITIES["rtf"], warnings=codes))
-    else:
-        out.append(invalid("rtf", "the RTF header is missing"))
 
-    package = broken = mimetype = None
-    is_zip = content[:4] in (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
-    if is_zip:
-        try:
-            package = open_package(content).verify()
-            mimetype = _mimetype(package)
-        except ERRORS as e:
-            broken = str(e)
-
-    def packaged(formats: tuple[str, ...], find, missing: str) -> Detection:
-        if wanted not in formats and not package:
-            return Detection()
-        if not is_zip or broken:
-            return invalid(wanted, broken or "the ZIP package signature is missing") if wanted in formats else Detection()
-        try:
-            return find() or (invalid(wanted, missing) if wanted in formats else Detection())
-        except ERRORS as e:
-            return invalid(wanted, str(e)) if wanted in formats else Detection()
-
-    def words() -> Detection | None:
-        if "word/document.xml" in package.entries and "[Content_Types].xml" in package.entries:
-            fmt, found = "docx", wordml.inspect_docx(package)
-        elif mimetype == wordml.ODT_MIMETYPE and "content.xml" in package.entries:
-            fmt, found = "odt", wordml.inspect_odt(package)
-        else:
-            return None
-        return Detection("match", fmt, PRIORITIES[fmt], warnings=[c for k, c in _PACKAGE_WARNINGS.items() if k in found], parsed=package)
-
-    def sheets() -> Detection | None:
-        if mimetype == ods.MIMETYPE and "content.xml" in package.entries:
-            fmt, book = "ods", ods.read_ods(package)
-        elif xlsx.is_xlsx(package):
-            fmt, book = "xlsx", xlsx.read_xlsx(package)
-        else:
-            return None
-        return Detection("match", fmt, PRIORITIES[fmt], warnings=book_warnings(book, fmt), parsed=book)
-
-    def master() -> Detection | None:
-        if mimetype != odm.MIMETYPE or "content.xml" not in package.entries:
-            return None
-        return Detection("match", "odm", PRIORITIES["odm"], warnings=["openDocumentMaster.flattened"], parsed=odm.read_items(package))
-
-    out.append(packaged(("docx", "odt"), words, "the required document-package entries are missing"))
-
-    compound = None
-    if content.startswith(cfb.SIGNATURE):
-        try:
-            compound = cfb.CompoundFile(content)
-        except ERRORS as e:
-            broken = str(e)
-    if compound and compound.has("WordDocument"):
-        out.append(Detection("match", "doc", PRIORITIES["doc"], warnings=["legacyWord.potentialLoss"]))
-    else:
-        out.append(invalid("doc", "the compound document is not a Word DOC file" if compound else broken or "the OLE compound-document signature is missing"))
+#: Formats with their extensions and priorities, and the tools that one needs.
+RTF, RTFD = Format("rtf", ("rtf",), 100), Format("rtfd", ("rtfd",), 100, "package")
+DOCX, ODT = Format("docx", ("docx", "docm", "dotx", "dotm"), 110), Format("odt", ("odt",), 110)
+DOC = Format("doc", ("doc",), 105, requires=("textutil", "pandoc"))
+ODS, XLSX, XLS = Format("ods", ("ods",), 108), Format("xlsx", ("xlsx",), 108), Format("xls", ("xls",), 108)
+ODM = Format("odm", ("odm",), 109)
 
-    if compound and compound.has("Workbook", "Book"):
-        try:
-            book = xls.read_xls(content)
-            out.append(Detection("match", "xls", PRIORITIES["xls"], warnings=book_warnings(book, "xls"), parsed=book))
-        except ERRORS as e:
-            out.append(invalid("xls", str(e)))
-    elif wanted == "xls":
-        out.append(invalid("xls", broken or ("the OLE compound document contains no Excel workbook stream" if compound else "the OLE compound-document header is invalid")))
-    else:
-        out.append(packaged(("ods", "xlsx"), sheets, "the required spreadsheet-package metadata is missing or invalid"))
-    out.append(packaged(("odm",), master, "the OpenDocument master mimetype or content.xml is missing"))
-    return out
+
+class RichText:
+    formats = (RTF, RTFD)
+
+    def detect(self, probe: Probe) -> Detection:
+        if not rtf.HEADER.match(probe.content):
+            return _invalid(probe, RTF, "the RTF header is missing")
+        return Detection("match", "rtf", RTF.priority, warnings=["richText.colorNotPreserved"] if rtf.loses_colour(probe.content) else [])
+
+    def convert(self, probe: Probe, found: Detection, result: Result, rendering: str) -> Result:
+        html, files = rtf.rtf_html(probe.content)
+        return _from_html(result, re.sub(LIST_ITEM, r"\1\2\3", html), files)
+
+
+class WordPackage:
+    formats = (DOCX, ODT)
+
+    def detect(self, probe: Probe) -> Detection:
+        def find(package: Package) -> Detection | None:
+            if "word/document.xml" in package.entries and "[Content_Types].xml" in package.entries:
+                fmt, found = DOCX, wordml.inspect_docx(package)
+            elif probe.mimetype == wordml.ODT_MIMETYPE and "content.xml" in package.entries:
+                fmt, found = ODT, wordml.inspect_odt(package)
+            else:
+                return None
+            return Detection("match", fmt.name, fmt.priority, warnings=[c for k, c in _PACKAGE_WARNINGS.items() if k in found], parsed=package)
+
+        return _packaged(probe, self.formats, find, "the required document-package entries are missing")
+
+    def convert(self, probe: Probe, found: Detection, result: Result, rendering: str) -> Result:
+        return _from_html(result, *(wordml.docx_html if found.format == "docx" else wordml.odt_html)(found.parsed))
+
+
+class LegacyWord:
+    formats = (DOC,)
+
+    def detect(self, probe: Probe) -> Detection:
+        if probe.compound and probe.compound.has("WordDocument"):
+            return Detection("match", "doc", DOC.priority, warnings=["legacyWord.potentialLoss"])
+        return _invalid(probe, DOC, "the compound document is not a Word DOC file" if probe.compound else probe.compound_error or probe.package_error or "the OLE compound-document signature is missing")
+
+    def convert(self, probe: Probe, found: Detection, result: Result, rendering: str) -> Result:
+        result.status, result.error_kind, result.error = "error", "missing_tool", "DOC is detected but never converted here"
+        return result
+
+
+class Spreadsheet:
+    formats = (ODS, XLSX, XLS)
+
+    def detect(self, probe: Probe) -> Detection:
+        if probe.compound and probe.compound.has("Workbook", "Book"):
+            try:
+                book = xls.read_xls(probe.content)
+            except ERRORS as e:
+                return _invalid(probe, XLS, str(e))
+            return Detection("match", "xls", XLS.priority, warnings=book_warnings(book, "xls"), parsed=book)
+        if probe.wanted == "xls":
+            return _invalid(probe, XLS, probe.compound_error or probe.package_error or ("the OLE compound document contains no Excel workbook stream" if probe.compound else "the OLE compound-document header is invalid"))
+
+        def find(package: Package) -> Detection | None:
+            if probe.mimetype == ods.MIMETYPE and "content.xml" in package.entries:
+                fmt, book = ODS, ods.read_ods(package)
+            elif xlsx.is_xlsx(package):
+                fmt, book = XLSX, xlsx.read_xlsx(package)
+            else:
+                return None
+            return Detection("match", fmt.name, fmt.priority, warnings=book_warnings(book, fmt.name), parsed=book)
+
+        return _packaged(probe, (ODS, XLSX), find, "the required spreadsheet-package metadata is missing or invalid")
+
+    def convert(self, probe: Probe, found: Detection, result: Result, rendering: str) -> Result:
+        result.book = found.parsed
+        result.markdown = render_workbook(found.parsed, stem_of(probe.path), rendering)
+        return result
+
+
+class Master:
+    """Keeps a master's items; its texts are joined to it by resolve_master()."""
+
+    formats = (ODM,)
+
+    def detect(self, probe: Probe) -> Detection:
+        def find(package: Package) -> Detection | None:
+            if probe.mimetype != odm.MIMETYPE or "content.xml" not in package.entries:
+                return None
+            return Detection("match", "odm", ODM.priority, warnings=["openDocumentMaster.flattened"], parsed=odm.read_items(package))
+
+        return _packaged(probe, self.formats, find, "the OpenDocument master mimetype or content.xml is missing")
+
+    def convert(self, probe: Probe, found: Detection, result: Result, rendering: str) -> Result:
+        result.items, result.status = found.parsed, "master"
+        return result
+
+
+#: The adapters of this library, in the order in which they are asked.
+DEFAULT = Registry((RichText(), WordPackage(), LegacyWord(), Spreadsheet(), Master()))
+
+
+def detectors(path: str, content: bytes, registry: Registry = DEFAULT) -> list[Detection]:
+    """What each adapter says, in their order; a document is parsed once, by the adapter that it matches."""
+    return registry.detect(registry.probe(path, content))
 
 
 def pick(path: str, found: list[Detection]) -> tuple[Detection | None, Result]:
@@ -191,7 +207,7 @@ def pick(path: str, found: list[Detection]) -> tuple[Detection | None, Result]:
     matches = [d for d in found if d.kind == "match"]
     best = [d for d in matches if d.priority == max(m.priority for m in matches)]
     if len(best) == 1:
-        result.format, result.status, result.warnings = best[0].format, "ok", [warning(c) for c in best[0].warnings]
+        result.format, result.status, result.warnings = best[0].format, "ok", [warning(c) if c in WARNINGS else (c, c) for c in best[0].warnings]
         return best[0], result
     if best:
         result.status, result.error_kind = "error", "ambiguous_input"
@@ -211,30 +227,19 @@ def _from_html(result: Result, html: str, files: dict[str, bytes]) -> Result:
     return result
 
 
-def convert(path: str, content: bytes, rendering: str = "table") -> Result:
+def convert(path: str, content: bytes, rendering: str = "table", registry: Registry = DEFAULT) -> Result:
     """A result for any bytes whatever: what cannot be read is an error in the row, never an exception.
 
     A master document keeps its items; its children are joined to it by resolve_master().
     """
     try:
-        found, result = pick(path, detectors(path, content))
+        probe = registry.probe(path, content)
+        told = registry.detect(probe)
+        found, result = pick(path, told)
         if found is None:
             return result
-        if isinstance(found.parsed, Workbook):
-            result.book = found.parsed
-            result.markdown = render_workbook(found.parsed, stem_of(path), rendering)
-        elif found.format == "odm":
-            result.items, result.status = found.parsed, "master"
-        elif found.format == "docx":
-            _from_html(result, *wordml.docx_html(found.parsed))
-        elif found.format == "odt":
-            _from_html(result, *wordml.odt_html(found.parsed))
-        elif found.format == "rtf":
-            html, files = rtf.rtf_html(content)
-            _from_html(result, re.sub(LIST_ITEM, r"\1\2\3", html), files)
-        else:
-            result.status, result.error_kind, result.error = "error", "missing_tool", "DOC is detected but never converted here"
-        return result
+        adapter = next(a for a, d in zip(registry.adapters, told) if d is found)
+        return adapter.convert(probe, found, result, rendering)
     except ERRORS as e:
         return Result(path, status="error", error_kind="invalid_input", error=str(e))
     except Exception as e:  # one bad file must not fail the job

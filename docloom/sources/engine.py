@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from docloom.functions import refs
 from docloom.sources import convert as one
+from docloom.sources.adapters import Registry
 from docloom.sources.shared import stored
+from docloom.sources.zipgate import PackageError, open_package
 
 MAX_INPUT = 1 << 30
 
@@ -112,7 +114,7 @@ def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
     return files.select("path", "content", length).mapInArrow(run, _schema(ddl))
 
 
-def convert_documents(files: DataFrame, rendering: str = "table") -> DataFrame:
+def convert_documents(files: DataFrame, rendering: str = "table", registry: Registry = one.DEFAULT) -> DataFrame:
     """RESULTS, a row for each file. Master documents are put together with the ODT files of the same scan.
 
     Files are read and converted once, when this is called: results go to a table in the shared folder, with a folder
@@ -121,7 +123,7 @@ def convert_documents(files: DataFrame, rendering: str = "table") -> DataFrame:
     """
 
     def rows(path: str, content: bytes) -> list[dict]:
-        r = one.convert(path, content, rendering)
+        r = one.convert(path, content, rendering, registry)
         items = [vars(i) for i in r.items] if r.items is not None else None
         return [_row(r) | {"items": items}]
 
@@ -196,7 +198,7 @@ def convert_packages(files: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, _schema(RESULTS))
 
 
-def detections(files: DataFrame) -> DataFrame:
+def detections(files: DataFrame, registry: Registry = one.DEFAULT) -> DataFrame:
     """(path, adapter_no, kind, format, priority, reason, codes): what each adapter says of each file.
 
     A file over the size limit has one row of kind invalid, without adapter and format. A master document is a match only
@@ -206,7 +208,7 @@ def detections(files: DataFrame) -> DataFrame:
 
     def rows(path: str, content: bytes) -> list[dict]:
         out = []
-        for n, d in enumerate(one.detectors(path, content)):
+        for n, d in enumerate(one.detectors(path, content, registry)):
             sections = [i.reference for i in d.parsed if i.kind == "section"] if d.format == "odm" and d.parsed else []
             out.append({"path": path, "adapter_no": n, "kind": d.kind, "format": d.format, "priority": d.priority, "reason": d.reason, "codes": d.warnings, "sections": sections})
         return out
@@ -217,18 +219,18 @@ def detections(files: DataFrame) -> DataFrame:
     told = stored(_pass(files, "path string, adapter_no int, kind string, format string, priority int, reason string, codes array<string>, sections array<string>", rows, unread))
     linked = F.col("format").eqNullSafe("odm") & (F.col("kind") == "match") & (F.size("sections") > 0)
     own = told.where(~linked).drop("sections")
-    return own.unionByName(linked_masters(told.where(linked), told))
+    return own.unionByName(linked_masters(told.where(linked), told.where(F.col("adapter_no") == registry.place("odt"))))
 
 
-def linked_masters(masters: DataFrame, told: DataFrame) -> DataFrame:
+def linked_masters(masters: DataFrame, texts: DataFrame) -> DataFrame:
     """Detections of masters (with sections), judged by what the word-processing adapter says of the files these name.
 
-    told: detections of all files. A section that names no file of them is missing.
+    texts: that adapter's detections of all files. A section that names no file of them is missing.
     """
     folder = F.regexp_replace("path", "[^/]*$", "")
     sections = masters.select("path", folder.alias("_folder"), F.posexplode("sections").alias("_at", "_reference")).withColumn("_to", refs.section_path(F.col("_reference")))
     sections = sections.select("path", "_at", "_reference", F.col("_to.problem").alias("_problem"), F.concat("_folder", "_to.path").alias("_child"))
-    words = told.where(F.col("adapter_no") == one.WORDS).select(F.col("path").alias("_child"), F.struct("kind", "format", "reason", "codes").alias("_said"))
+    words = texts.select(F.col("path").alias("_child"), F.struct("kind", "format", "reason", "codes").alias("_said"))
     met = sections.join(words, "_child", "left")
     text = F.col("_said.format").eqNullSafe("odt") & F.col("_said.kind").eqNullSafe("match")
     problem = F.coalesce("_problem", F.when(F.col("_said").isNull(), "missing").when(F.col("_said.kind") == "invalid", "invalid").when(~text, "not_odt"))
@@ -262,8 +264,8 @@ def zip_entries(files: DataFrame) -> DataFrame:
 
     def rows(path: str, content: bytes) -> list[dict]:
         try:
-            package = one.open_package(content).verify()
-        except one.PackageError as e:
+            package = open_package(content).verify()
+        except PackageError as e:
             return [{"path": path, "error": str(e)}]
         return [{"path": path, "idx": e.idx, "name": e.name, "raw_name": e.raw_name, "flags": e.flags, "method": e.method, "crc": e.crc, "csize": e.csize, "usize": e.usize, "is_dir": e.is_dir} for e in package.entries.values()]
 
@@ -285,8 +287,8 @@ def register_functions(spark: SparkSession) -> None:
     class PackageEntries:
         def eval(self, content: bytes):
             try:
-                package = one.open_package(bytes(content)) if content is not None else None
-            except one.PackageError:
+                package = open_package(bytes(content)) if content is not None else None
+            except PackageError:
                 package = None
             if package:
                 for e in package.entries.values():

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import image_columns, images as one_image, markdown
-from docloom.operators import budgets, grid, images, normalize, render, resolve
+from docloom.operators import budgets, colours, grid, images, normalize, render, resolve, xmlnodes
 from docloom.plans import relational
-from docloom.sources import build, engine, rtf, shared
+from docloom import catalog
+from docloom.sources import build, convert, engine, nodes, rtf, shared
+from docloom.sources.adapters import Detection, Format, Registry
 from tests.test_text import master, odt
 
 IMAGE = '<text:p>see <draw:frame><draw:image xlink:href="Pictures/p.PNG"/></draw:frame></text:p>'
@@ -224,3 +226,91 @@ def test_masters_are_judged_by_their_texts(spark):
     }
     done = {r.path: (r.status, r.error) for r in engine.convert_documents(files_of(spark, files)).collect()}
     assert done["/d/good.odm"] == ("ok", None) and done["/d/first.odm"] == ("error", "Invalid ODM input at /d/first.odm: linked ODM section is missing: gone.odt")
+
+
+class Notes:
+    """A format from outside: texts that begin with NOTE."""
+
+    formats = (Format("note", ("note", "nt"), 120, requires=("no-such-tool",)),)
+
+    def detect(self, probe):
+        if probe.content.startswith(b"NOTE "):
+            return Detection("match", "note", 120, warnings=["note.plain"])
+        return Detection("invalid", "note", 120, "no NOTE") if probe.wanted == "note" else Detection()
+
+    def convert(self, probe, found, result, rendering):
+        result.markdown = probe.content[5:].decode() + "\n"
+        return result
+
+
+def test_a_format_from_outside(spark):
+    registry = convert.DEFAULT.with_adapter(Notes())
+    files = {"/d/a.note": b"NOTE hello", "/d/b.NT": b"other", "/d/c.rtf": b"{\\rtf1 x}", "/d/all.odm": master(SECTION % ("A", "a.odt")), "/d/a.odt": odt("<text:p>Child</text:p>")}
+    found = {r.path: (r.format, r.status, r.markdown, [w.code for w in r.warnings], r.error) for r in engine.convert_documents(files_of(spark, files), registry=registry).collect()}
+    assert found["/d/a.note"] == ("note", "ok", "hello\n", ["note.plain"], None) and found["/d/b.NT"] == ("note", "error", None, [], "Invalid NOTE input at /d/b.NT: no NOTE")
+    assert found["/d/c.rtf"][2] == "x\n" and found["/d/all.odm"][1] == "ok"
+    told = engine.detections(files_of(spark, files), registry)
+    assert [(r.path, r.adapter_no, r.reason) for r in told.where("format = 'note'").orderBy("path").collect()] == [("/d/a.note", 5, None), ("/d/b.NT", 5, "no NOTE")]
+    assert engine.convert_documents(files_of(spark, {"/d/a.note": b"NOTE x"})).first().status == "error"
+    row = next(r for r in catalog.catalog(spark, registry=registry).collect() if r.format == "note")
+    assert (row.extensions, row.available, row.reason) == (["note", "nt"], False, "missing required tool: no-such-tool") and catalog.catalog_rows(registry=registry)[-1]["format"] == "note"
+
+
+def test_a_format_has_one_adapter():
+    with pytest.raises(ValueError, match="More than one adapter handles note"):
+        convert.DEFAULT.with_adapter(Notes()).with_adapter(Notes())
+    clash = type("Clash", (), {"formats": (Format("other", ("docx",), 1),)})()
+    with pytest.raises(ValueError, match="extension docx"):
+        convert.DEFAULT.with_adapter(clash)
+    assert Registry([]).detect(Registry([]).probe("/x", b"")) == [] and convert.DEFAULT.place("odt") == 1
+
+
+def test_elements_of_parts(spark):
+    xml = b'<a xmlns="urn:1" xmlns:x="urn:2" k="v" x:k="w">t<b><c/>in</b>u<x:b/></a>'
+    rows = {r["pre"]: r for r in nodes.elements(xml, "p")}
+    assert [(r["ns"], r["name"], r["last"], r["depth"], r["text"]) for _, r in sorted(rows.items())] == [("urn:1", "a", 3, 0, "tu"), ("urn:1", "b", 2, 1, "in"), ("urn:1", "c", 2, 2, ""), ("urn:2", "b", 3, 1, "")]
+    assert rows[0]["attrs"] == {"k": "v", "{urn:2}k": "w"}
+    assert [r.get("error", "")[:5] for r in nodes.elements(b"<a><b></a>", "p")][-1] == "p is " and list(nodes.elements(b'<!DOCTYPE a [<!ENTITY e "x">]><a/>', "p"))[0]["error"] == "p declares XML entities"
+    files = {"/a.zip": build.package({"one.xml": "<r><s><t>1</t></s><t>2</t><s><t>3</t><t>4</t></s></r>", "two.xml": "<r/>", "no.txt": "x"}), "/b.zip": b"PK\x03\x04", "/c.txt": b"x"}
+    found = nodes.xml_nodes(files_of(spark, files), r".*\.xml").cache()
+    assert found.where("path = '/a.zip'").count() == 8 and found.where("path = '/b.zip' and error is not null").count() == 1 and found.where("path = '/c.txt'").count() == 0
+    tree = found.where("part = 'one.xml'")
+    above = {r.text: r.above for r in xmlnodes.inside(tree, F.col("name") == "s").where("name = 't'").collect()}
+    assert above == {"1": 1, "2": None, "3": 4, "4": 4}
+    met = sorted((r.above, r.text) for r in xmlnodes.descendants(tree.where("name in ('s', 'r')"), tree.where("name = 't'")).collect())
+    assert met == [(0, "1"), (0, "2"), (0, "3"), (0, "4"), (1, "1"), (4, "3"), (4, "4")]
+    assert xmlnodes.shared_strings(found.limit(0)).count() == xmlnodes.inspections(found.limit(0)).count() == 0
+
+
+def test_inspections_agree_with_the_reader(spark):
+    """The same packages, looked at by the reader of one document at a time."""
+    from docloom.plans import documents
+
+    files = documents.marked_files(spark, "/root/testdata/sf0.001").limit(60).collect()
+    rows = {r.path: r for r in xmlnodes.inspections(nodes.xml_nodes(spark.createDataFrame(files), xmlnodes.PARTS)).collect()}
+    for f in files:
+        d = convert.detectors(f.path, bytes(f.content))[convert.DEFAULT.place("odt")]
+        r = rows[f.path]
+        if d.kind == "match":
+            codes = [c for on, c in ((r.comments, "wordProcessing.commentsNotPreserved"), (r.changes, "wordProcessing.changesAccepted"), (r.odt_changes, "openDocument.changesNotPreserved")) if on]
+            assert (sorted(d.warnings), r.unsafe) == (sorted(codes), None), f.path
+        else:
+            assert r.unsafe and d.reason.endswith(r.unsafe), f.path
+
+
+def test_colour_runs(spark):
+    red, dark, gone, blue = (1.0, 0.0, 0.0, 1.0), (0.2, 0.2, 0.2, 1.0), (1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 1.0, 1.0)
+    kind = "colour struct<r:double,g:double,b:double,a:double>"
+    text = "ab cd\n ef \r\n\ufffcgh"
+    cases = {
+        1: [(0, 0, 2, red)], 2: [(0, 0, 2, red), (1, 2, 3, red)], 3: [(0, 0, 2, red), (1, 2, 3, blue)], 4: [(0, 0, 99, red)], 5: [(0, 0, 5, red), (1, 1, 2, dark)], 6: [(0, 2, 1, red), (1, 3, 0, red)], 7: [(0, 0, 5, gone), (1, 0, 5, dark), (2, 0, 1, None)],
+        8: [(1, 0, 2, red), (0, 0, 5, blue)], 9: [],
+    }
+    want = {1: "==ab== cd", 2: "==ab cd==", 3: "==ab== ==cd==", 4: "==ab cd==\n ==ef== \r\n\ufffc==gh==", 5: "==a==b ==cd==", 6: "ab cd", 7: "ab cd", 8: "==ab== ==cd==", 9: "ab cd"}
+    ranges = spark.createDataFrame([(k, *r) for k, rs in cases.items() for r in rs], f"k int, n int, start int, length int, {kind}")
+    texts = spark.createDataFrame([(k, text) for k in cases] + [(10, None)], "k int, text string")
+    got = {r.k: r.text for r in colours.marked_texts(texts, ranges, "k").collect()}
+    assert got == {k: w if k == 4 else w + text[5:] for k, w in want.items()} | {10: None}
+    long = spark.createDataFrame([(1, 0, 5, 20000, red), (1, 1, 4090, 10, red), (1, 2, 9000, 1, dark)], f"k int, n int, start int, length int, {kind}")
+    assert [(r.start, r.stop) for r in colours.merged_runs(long, "k").where("colour.r = 1").orderBy("start").collect()] == [(5, 9000), (9001, 20005)]
+    assert colours.merged_runs(long.limit(0), "k").count() == 0
