@@ -14,7 +14,7 @@ from docloom.functions.render_text import one_line, workbook as render_workbook
 from docloom.functions.text import LIST_ITEM
 from docloom.sources import cfb, odm, ods, rtf, wordml, xls, xlsx
 from docloom.sources.adapters import Detection, Format, Probe, Registry
-from docloom.sources.workbook import Workbook, WorkbookError
+from docloom.sources.workbook import Keep, Workbook, WorkbookError, every
 from docloom.sources.xmltree import XmlError
 from docloom.sources.zipgate import Package, PackageError
 
@@ -221,6 +221,26 @@ def pick(path: str, found: list[Detection]) -> tuple[Detection | None, Result]:
     return None, result
 
 
+def workbook_of(path: str, content: bytes, keep: Keep = every) -> Workbook | None:
+    """The workbook that a document is, with the cells of the sheets that are kept; None for others and for broken ones.
+
+    Nothing is rendered, and sheets that aren't kept are not parsed.
+    """
+    probe = DEFAULT.probe(path, content)
+    try:
+        if probe.compound and probe.compound.has("Workbook", "Book"):
+            return xls.read_xls(content, keep)
+        if probe.package and probe.mimetype == ods.MIMETYPE and "content.xml" in probe.package.entries:
+            return ods.read_ods(probe.package, keep=keep)
+        if probe.package is None or "word/document.xml" in probe.package.entries and WordPackage().detect(probe).kind == "match":
+            return None
+        return xlsx.read_xlsx(probe.package, keep=keep) if xlsx.is_xlsx(probe.package) else None
+    except ERRORS:
+        return None
+    except Exception:  # one bad file must not fail the job
+        return None
+
+
 def _from_html(result: Result, html: str, files: dict[str, bytes]) -> Result:
     html, result.assets, _ = rewrite(html, files)
     result.markdown = normalized(to_markdown(html))

@@ -252,7 +252,7 @@ def document_cells(files: DataFrame) -> DataFrame:
     office = files.where(refs.signature(F.col("content")).isin("zip", "ole"))  # a cheap look before any parse
 
     def rows(path: str, content: bytes) -> list[dict]:
-        book = one.convert(path, content).book
+        book = one.workbook_of(path, content)
         return [dict(zip(names, (path, *c))) for c in book.cells()] if book else []
 
     return _pass(office, CELLS, rows, None)  # files without content have no signature
@@ -279,7 +279,7 @@ def register_functions(spark: SparkSession) -> None:
     @udtf(returnType=CELLS.removeprefix("path string, "))
     class WorkbookCells:
         def eval(self, content: bytes):
-            book = one.convert("", bytes(content)).book if content is not None else None
+            book = one.workbook_of("", bytes(content)) if content is not None else None
             if book:
                 yield from book.cells()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.sources.workbook import EMPTY, MAX_CELLS, MAX_COLUMNS, MAX_ROWS, MAX_SHEETS, MAX_TEXT, Budget, Cell, Sheet, Workbook, WorkbookError, utf8
+from docloom.sources.workbook import EMPTY, MAX_CELLS, MAX_COLUMNS, MAX_ROWS, MAX_SHEETS, MAX_TEXT, Budget, Cell, Keep, Sheet, Workbook, WorkbookError, every, utf8
 from docloom.sources.xmltree import Node, parse
 from docloom.sources.zipgate import Package
 
@@ -104,7 +104,8 @@ def read_row(node: Node, book: Workbook, text: Budget, times: int) -> list[Cell]
     return row
 
 
-def read_ods(package: Package, cells: int = MAX_CELLS, limit: int = MAX_TEXT) -> Workbook:
+def read_ods(package: Package, cells: int = MAX_CELLS, limit: int = MAX_TEXT, keep: Keep = every) -> Workbook:
+    """All tables in order; those that aren't kept have their place and name, but no cells."""
     root = parse(package.part("content.xml", None), "content.xml")
     if (root.ns, root.name) != (OFFICE, "document-content"):
         raise WorkbookError("content.xml has no valid OpenDocument content root")
@@ -120,7 +121,11 @@ def read_ods(package: Package, cells: int = MAX_CELLS, limit: int = MAX_TEXT) ->
             sheet = Sheet(table.get("name", TABLE) or f"Sheet {len(book.sheets) + 1}")
             if any(x.ns in (DRAW, CHART) for x in table.nodes()) or any((x.ns, x.name) == (TABLE, "shapes") for x in table.nodes()):
                 book.unsupported = True
+            if not keep(len(book.sheets), sheet.name):
+                book.sheets.append(sheet)
+                continue
             waiting = 0
+            book.parsed += 1
             for node in _rows(table):
                 times = _count(node, "number-rows-repeated", MAX_ROWS)
                 row = read_row(node, book, text, times)

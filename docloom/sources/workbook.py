@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -43,6 +43,8 @@ class Workbook:
     merges: bool = False
     missing_results: bool = False
     unsupported: bool = False
+    #: Sheets whose cells were read; those that nobody asked for have none.
+    parsed: int = 0
 
     def cells(self) -> Iterator[tuple[int, str, int, int, str, str | None, str, str | None]]:
         for n, sheet in enumerate(self.sheets):
@@ -51,6 +53,14 @@ class Workbook:
                     yield (n, sheet.name, r, c, *cell)
 
 
+#: Whether a sheet, by its number and name, is to be read.
+Keep = Callable[[int, str], bool]
+
+
+def every(number: int, name: str) -> bool:
+    return True
+
+
 class Budget:
     """A shared amount that is spent until it is gone."""
 

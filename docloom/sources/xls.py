@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 from docloom.sources.cfb import CompoundFile
-from docloom.sources.workbook import EMPTY, MAX_CELLS, MAX_COLUMNS, MAX_ROWS, MAX_SHEETS, MAX_STRINGS, MAX_TEXT, Budget, Cell, Sheet, Workbook, WorkbookError, utf8
+from docloom.sources.workbook import EMPTY, MAX_CELLS, MAX_COLUMNS, MAX_ROWS, MAX_SHEETS, MAX_STRINGS, MAX_TEXT, Budget, Cell, Keep, Sheet, Workbook, WorkbookError, every, utf8
 
 #: Record types.
 BOF, EOF, BOUNDSHEET, FILEPASS, SST, CONTINUE = 0x0809, 0x000A, 0x0085, 0x002F, 0x00FC, 0x003C
@@ -212,7 +212,8 @@ class SheetReader:
         return [[self.cells.get((r, c), EMPTY) for c in range(widths.get(r, 0))] for r in range(max(widths, default=-1) + 1)]
 
 
-def read_xls(content: bytes) -> Workbook:
+def read_xls(content: bytes, keep: Keep = every) -> Workbook:
+    """All worksheets in order; those that aren't kept have their place and name, but no cells."""
     ole = CompoundFile(content)
     if (data := ole.stream("Workbook", "Book")) is None:
         raise WorkbookError("the OLE compound document contains no Excel workbook stream")
@@ -249,6 +250,10 @@ def read_xls(content: bytes) -> Workbook:
     strings = shared_strings(parts)
     cells, text = Budget(MAX_CELLS, "the XLS sheet exceeds the expanded-cell budget"), Budget(MAX_TEXT, "the spreadsheet exceeds the materialized-text budget")
     for offset, _, name in sheets:
+        if not keep(len(book.sheets), name):
+            book.sheets.append(Sheet(name))
+            continue
+        book.parsed += 1
         reader = SheetReader(strings, book)
         for n, (_, kind, p) in enumerate(records(data, offset, ends[offset], "an XLS worksheet has no EOF before the next sheet")):
             if n == 0 and (kind != BOF or len(p) < 4 or struct.unpack_from("<H", p, 2)[0] != WORKSHEET):

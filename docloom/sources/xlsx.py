@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from docloom.sources.workbook import EMPTY, MAX_CELLS, MAX_COLUMNS, MAX_ROWS, MAX_SHEETS, MAX_STRINGS, MAX_TEXT, Budget, Cell, Sheet, Workbook, WorkbookError, trimmed, utf8
+from docloom.sources.workbook import EMPTY, MAX_CELLS, MAX_COLUMNS, MAX_ROWS, MAX_SHEETS, MAX_STRINGS, MAX_TEXT, Budget, Cell, Keep, Sheet, Workbook, WorkbookError, every, trimmed, utf8
 from docloom.sources.xmltree import Node, parse
 from docloom.sources.zipgate import Package
 
@@ -215,8 +215,11 @@ def fill(sheet: Sheet, widths: list[int], area: tuple[int, int, int, int], displ
         sheet.rows[r] = trimmed(row)
 
 
-def read_xlsx(package: Package, budgets: Budgets | None = None) -> Workbook:
-    """All worksheets in order; chart and dialog sheets are passed over and noted."""
+def read_xlsx(package: Package, budgets: Budgets | None = None, keep: Keep = every) -> Workbook:
+    """All worksheets in order; chart and dialog sheets are passed over and noted.
+
+    Sheets that aren't kept have their place and name, but no cells: their parts are not opened, and spend no budget.
+    """
     if not is_xlsx(package):
         raise WorkbookError("the XLSX package is missing workbook metadata")
     check_content_type(package)
@@ -236,8 +239,11 @@ def read_xlsx(package: Package, budgets: Budgets | None = None) -> Workbook:
         path = part_path(target)
         if path not in package.entries:
             raise WorkbookError(f"the worksheet part is missing: {path}")
-        sheet = read_sheet(package.part(path, None), path, strings, book, budgets)
-        sheet.name = name
+        sheet = Sheet(name)
+        if keep(len(book.sheets), name):
+            sheet = read_sheet(package.part(path, None), path, strings, book, budgets)
+            sheet.name = name
+            book.parsed += 1
         book.sheets.append(sheet)
     if not book.sheets:
         raise WorkbookError("the workbook contains no readable worksheets")

@@ -10,7 +10,7 @@ from docloom.functions import image_columns, images as one_image, markdown
 from docloom.operators import budgets, colours, grid, images, normalize, render, resolve, xmlnodes
 from docloom.plans import relational
 from docloom import catalog
-from docloom.sources import build, convert, engine, nodes, rtf, shared
+from docloom.sources import build, convert, datasource, engine, nodes, rtf, shared
 from docloom.sources.adapters import Detection, Format, Registry
 from tests.test_text import master, odt
 
@@ -314,3 +314,36 @@ def test_colour_runs(spark):
     long = spark.createDataFrame([(1, 0, 5, 20000, red), (1, 1, 4090, 10, red), (1, 2, 9000, 1, dark)], f"k int, n int, start int, length int, {kind}")
     assert [(r.start, r.stop) for r in colours.merged_runs(long, "k").where("colour.r = 1").orderBy("start").collect()] == [(5, 9000), (9001, 20005)]
     assert colours.merged_runs(long.limit(0), "k").count() == 0
+
+
+def test_a_sheet_filter_reaches_the_parser(spark, tmp_path):
+    sheets = [("A", [["a", 1]]), ("B", [["b"], ["c"]]), ("C", [[3]])]
+    made = {"x": build.package(build.xlsx_files(sheets)), "y": build.package(build.ods_files(sheets)), "z": build.xls_bytes(sheets)}
+    for content in made.values():
+        book = convert.workbook_of("", content, lambda n, name: name == "B")
+        assert (book.parsed, [s.name for s in book.sheets], [c[6] for c in book.cells()]) == (1, ["A", "B", "C"], ["b", "c"])
+        assert convert.workbook_of("", content).parsed == 3
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    broken = build.xlsx_files(sheets)
+    broken["xl/worksheets/sheet1.xml"] = "<not"
+    (tmp_path / "w").write_bytes(build.package(broken))
+    datasource.register(spark)
+    rows = lambda: spark.read.format("workbook").load(str(tmp_path))
+    assert rows().count() == 15  # the broken workbook has none
+    assert sorted((r.path[-1], r.sheet_no, r.display) for r in rows().where("sheet = 'B'").collect()) == [(f, 1, d) for f in "wxyz" for d in "bc"]  # its first sheet is not even parsed
+    assert rows().where("sheet_no in (1, 2) and sheet <> 'B'").count() == 4 and rows().where("sheet = 'B' and sheet_no = 0").count() == 0
+    one = str(tmp_path / "x")
+    assert rows().where(F.col("path") == one).select("path").distinct().count() == 1
+    narrow = spark.read.format("workbook").schema("display string, r int").load(one)
+    assert [tuple(r) for r in narrow.orderBy("display").collect()] == [("1", 0), ("3", 0), ("a", 0), ("b", 0), ("c", 1)]
+    reader = datasource.Reader(str(tmp_path), ["display"], 1)
+    left = [*reader.pushFilters([datasource.EqualTo(("path",), one), datasource.EqualTo(("r",), 0)])]
+    assert [f.attribute for f in left] == [("r",)] and [p.paths for p in reader.partitions()] == [[one]]
+
+
+def test_partitions_are_packed_by_bytes():
+    sizes = {f"f{k}": 10 for k in range(20)} | {"big": 1000}
+    parts = datasource.packed(sizes, 100)
+    assert len(parts) == 12 and sorted(p for own in parts for p in own) == sorted(sizes) and ["big"] in parts
+    assert datasource.packed({}, 100) == [] and datasource.packed({"a": 0}, 100) == [["a"]]
