@@ -17,6 +17,11 @@ from docloom.sources.engine import _arrow, _schema
 PUBLISHED = "path string, output string, markdown_file string, assets array<string>, error_kind string, error string"
 
 
+#: What is said of a place that can't be used.
+EXISTS = "Output already exists and will not be overwritten: {0}"
+INSIDE = "The output directory must not be inside the source document: {0}"
+
+
 class OutputError(ValueError):
     def __init__(self, kind: str, message: str):
         super().__init__(message)
@@ -32,9 +37,9 @@ def default_output(path: str) -> str:
 
 def check_output(output: str, source: str | None = None) -> None:
     if os.path.lexists(output):
-        raise OutputError("output_exists", f"Output already exists and will not be overwritten: {output}")
+        raise OutputError("output_exists", EXISTS.format(output))
     if source and os.path.isdir(source) and os.path.realpath(output).lower().startswith(os.path.realpath(source).lower().rstrip("/") + "/"):
-        raise OutputError("output_inside_input", f"The output directory must not be inside the source document: {output}")
+        raise OutputError("output_inside_input", INSIDE.format(output))
     if not os.path.isdir(os.path.dirname(output) or "."):
         raise OutputError("output_parent_missing", f"The output parent directory does not exist: {os.path.dirname(output)}")
 
@@ -58,7 +63,7 @@ def publish_one(output: str, stem: str, markdown: str, assets: dict[str, bytes],
         try:
             os.mkdir(output)  # exclusive: renaming onto an empty folder would replace one that someone else made
         except FileExistsError:
-            raise OutputError("output_exists", f"Output already exists and will not be overwritten: {output}") from None
+            raise OutputError("output_exists", EXISTS.format(output)) from None
         os.rename(work, output)
         return os.path.join(output, f"{stem}.md"), [os.path.join(output, a) for a in sorted(assets)]
     finally:

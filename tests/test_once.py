@@ -1,5 +1,7 @@
 """Single-pass conversion, bad files, images and Markdown as columns, tiles, budgets and folded names."""
 
+import json
+import os
 import random
 from collections import defaultdict
 
@@ -10,7 +12,7 @@ from docloom.functions import image_columns, images as one_image, markdown
 from docloom.operators import budgets, colours, grid, images, normalize, render, resolve, xmlnodes
 from docloom.plans import relational
 from docloom import catalog
-from docloom.sources import build, convert, datasource, engine, nodes, rtf, shared
+from docloom.sources import build, convert, datasource, engine, nodes, publishing, rtf, shared
 from docloom.sources.adapters import Detection, Format, Registry
 from tests.test_text import master, odt
 
@@ -347,3 +349,69 @@ def test_partitions_are_packed_by_bytes():
     parts = datasource.packed(sizes, 100)
     assert len(parts) == 12 and sorted(p for own in parts for p in own) == sorted(sizes) and ["big"] in parts
     assert datasource.packed({}, 100) == [] and datasource.packed({"a": 0}, 100) == [["a"]]
+
+
+RESULT = "path string, status string, markdown string, assets array<struct<path:string,bytes:binary>>, more int"
+
+
+def told(folder):
+    return [json.loads(x) for f in sorted(os.listdir(f"{folder}/_published")) for x in open(f"{folder}/_published/{f}")]
+
+
+def test_results_are_published_by_a_commit(spark, tmp_path):
+    publishing.register(spark)
+    inputs = tmp_path / "in"
+    (inputs / "sub").mkdir(parents=True)
+    (inputs / "sub" / "old-markdown").mkdir()
+    rows = [(f"{inputs}/a.docx", "ok", "A", [("images/x.png", b"png")], 1), (f"{inputs}/a.odt", "ok", "other", [], 1), (f"file:{inputs}/sub/old.rtf", "ok", "O", [], 1), (f"{inputs}/bad.rtf", "error", None, None, 1), ("/else/where.rtf", "ok", "W", [], 1), (f"{inputs}/sub/p.rtfd", "ok", "P", [("../x", b"")], 1)]
+    df = spark.createDataFrame(rows, RESULT).repartition(3)
+    df.write.format("markdown").mode("append").option("adjacent", "true").save(str(inputs))
+    assert (inputs / "a-markdown" / "a.md").read_text() == "A" and (inputs / "a-markdown" / "images" / "x.png").read_bytes() == b"png"
+    assert sorted(os.listdir(inputs)) == ["_published", "a-markdown", "sub"] and os.listdir(inputs / "sub") == ["old-markdown"] and not os.listdir(inputs / "sub" / "old-markdown")
+    kinds = {t["path"].rpartition("/")[2]: t.get("error_kind") for t in told(inputs)}
+    assert kinds == {"a.docx": None, "a.odt": "output_exists", "old.rtf": "output_exists", "where.rtf": "io", "p.rtfd": "io"}
+    assert publishing.published(spark, str(inputs)).where("error is null").count() == 1
+    flat = tmp_path / "out"
+    flat.mkdir()
+    df.write.format("markdown").mode("append").save(str(flat))
+    assert len([n for n in os.listdir(flat) if n.endswith("-markdown")]) == 4
+    df.write.format("markdown").mode("append").save(str(flat))
+    assert len([n for n in os.listdir(flat) if n.endswith("-markdown")]) == 4 and sum(t.get("error_kind") == "output_exists" for t in told(flat)) == 4
+    with pytest.raises(Exception, match="never overwritten"):
+        df.write.format("markdown").mode("overwrite").save(str(flat))
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_path):
+    publishing.register(spark)
+
+    def fails(batches):
+        for pdf in batches:
+            yield pdf.iloc[:1]
+            raise RuntimeError("lost")
+
+    rows = spark.createDataFrame([(f"/in/{k}.rtf", "ok", "x", [], k) for k in range(20)], RESULT).repartition(2).mapInPandas(fails, RESULT)
+    with pytest.raises(Exception, match="lost"):
+        rows.write.format("markdown").mode("append").save(str(tmp_path))
+    assert os.listdir(tmp_path) == []
+
+
+def test_attempts_that_do_not_count(tmp_path):
+    writer = publishing.FolderWriter(str(tmp_path), False, {c: k for k, c in enumerate(publishing.COLUMNS)})
+    row = ("/in/a.rtf", "ok", "text", [])
+    writer.write(iter([row]))  # an attempt whose executor is lost afterwards
+    second = writer.write(iter([row, ("/in/b.rtf", "ok", "b", [])]))
+    assert len(os.listdir(writer.staging)) == 2
+    writer.commit([second, None])
+    made = sorted(n for n in os.listdir(tmp_path) if n != "_published")
+    assert len(made) == 2 and not os.path.exists(writer.staging) and open(tmp_path / made[0] / "a.md").read() == "text"
+    third = publishing.FolderWriter(str(tmp_path), False, writer.at)
+    message = third.write(iter([("/in/c.rtf", "ok", "c", []), row]))
+    message.done.append(("/in/z.rtf", "/no/such/folder", str(tmp_path / "z-markdown"), "z.md", []))
+    with pytest.raises(OSError):
+        third.commit([message])  # all of it, or none
+    third.abort([message])
+    assert sorted(n for n in os.listdir(tmp_path) if n != "_published") == made
+    inside = publishing.FolderWriter(str(tmp_path), False, writer.at)
+    assert inside.write(iter([(str(tmp_path), "ok", "x", [])])).failed[0][1] == "output_inside_input"
+    with pytest.raises(publishing.OutputError, match="parent directory"):
+        publishing.FolderWriter(str(tmp_path / "none"), False, writer.at)
