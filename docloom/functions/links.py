@@ -73,7 +73,7 @@ def _blocks(lines: list[str]) -> list[tuple[int, int, bool]]:
 
 
 def rewritten(markdown: str, old: str, new: str) -> str:
-    """Link destinations that start with `old`, plain or in angle brackets, start with `new` instead."""
+    """Links and images whose whole destination is `old`, plain or in angle brackets, have `new` instead; titles stay."""
     lines = markdown.split("\n")
     for first, end, code in _blocks(lines):
         if not code:
@@ -82,27 +82,25 @@ def rewritten(markdown: str, old: str, new: str) -> str:
 
 
 def _inline(text: str, old: str, new: str) -> str:
-    out, at = [], 0
+    """A destination follows a bracket that closes one opened before it; the path must end where the destination does."""
+    destination = re.compile(rf"\]\((?:(<){re.escape(old)}(?=>)|{re.escape(old)}(?=[)\s]))")
+    out, at, depth = [], 0, 0
     while at < len(text):
-        ch = text[at]
+        ch, stop = text[at], at + 1
         if ch == "\\":
-            out.append(text[at : at + 2])
-            at += 2
+            stop = at + 2
         elif ch == "`":
             run = _TICKS.match(text, at)[0]
             close = next((m for m in _TICKS.finditer(text, at + len(run)) if len(m[0]) == len(run)), None)
             stop = close.end() if close else at + len(run)
-            out.append(text[at:stop])
-            at = stop
-        elif ch == "]" and text.startswith("(", at + 1):
-            lead = "](<" if text.startswith("<", at + 2) else "]("
-            if text.startswith(old, at + len(lead)):
-                out.append(lead + new)
-                at += len(lead) + len(old)
-            else:
-                out.append(lead)
-                at += len(lead)
-        else:
-            out.append(ch)
-            at += 1
+        elif ch == "[":
+            depth += 1
+        elif ch == "]" and depth:
+            depth -= 1
+            if m := destination.match(text, at):
+                out.append(f"]({m[1] or ''}{new}")
+                at = m.end()
+                continue
+        out.append(text[at:stop])
+        at = stop
     return "".join(out)

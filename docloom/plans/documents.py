@@ -303,8 +303,8 @@ def _mapped(df: DataFrame, key: str, column: str, f, out: str) -> DataFrame:
 
 @query()
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = hostile(spark, sf_dir).withColumn("text", F.concat(F.lit("![x](images/image01.png) `](images/` \\](images/ "), "text", F.lit("\n\n[y](<images/image02.png>)")))
-    return _mapped(texts, "doc_id", "text", lambda t: links.rewritten(t, "images/", "images/section01-"), "markdown")
+    texts = hostile(spark, sf_dir).withColumn("text", F.concat(F.lit("![x](images/image01.png) `[](images/image01.png)` [\\](images/image01.png) "), "text", F.lit("\n\n[y](<images/image01.png>)")))
+    return _mapped(texts, "doc_id", "text", lambda t: links.rewritten(t, "images/image01.png", "images/section01-image01.png"), "markdown")
 
 
 @query()

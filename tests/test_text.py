@@ -30,21 +30,29 @@ def test_normalized(given, wanted):
 @pytest.mark.parametrize(
     "given, wanted",
     [
-        ("![a](images/x.png)", "![a](new/x.png)"),
-        ("[a](<images/x y.png>)", "[a](<new/x y.png>)"),
-        ("`](images/x)` [a](images/x)", "`](images/x)` [a](new/x)"),
-        ("``a ` ](images/x)`` ](images/x)", "``a ` ](images/x)`` ](new/x)"),
-        ("a \\](images/x)", "a \\](images/x)"),
-        ("```\n](images/x)\n```\n](images/x)", "```\n](images/x)\n```\n](new/x)"),
-        ("    ](images/x)\n\n](images/x)", "    ](images/x)\n\n](new/x)"),
-        ("para\n    ](images/x)", "para\n    ](new/x)"),
-        ("- a\n\n      ](images/x)\n\n  ](images/x)", "- a\n\n      ](images/x)\n\n  ](new/x)"),
-        ("> ```\n> ](images/x)\n\n](images/x)", "> ```\n> ](images/x)\n\n](new/x)"),
-        ("`open ](images/x)\n\n` ](images/x)", "`open ](new/x)\n\n` ](new/x)"),
+        ("![a](images/x)", "![a](new/x)"),
+        ("[a](<images/x>)", "[a](<new/x>)"),
+        ('[a](images/x "title") [b](<images/x> "t")', '[a](new/x "title") [b](<new/x> "t")'),
+        ("[![a](images/x)](images/x)", "[![a](new/x)](new/x)"),
+        ("no link](images/x)", "no link](images/x)"),
+        ("[a]](images/x)", "[a]](images/x)"),
+        ("[a](images/x.png) [b](images/x", "[a](images/x.png) [b](images/x"),
+        ("[a](<images/x y>) [b] (images/x)", "[a](<images/x y>) [b] (images/x)"),
+        ("`[](images/x)` [a](images/x)", "`[](images/x)` [a](new/x)"),
+        ("``a ` [](images/x)`` [](images/x)", "``a ` [](images/x)`` [](new/x)"),
+        ("[a \\](images/x)", "[a \\](images/x)"),
+        ("\\[a](images/x)", "\\[a](images/x)"),
+        ("```\n[](images/x)\n```\n[](images/x)", "```\n[](images/x)\n```\n[](new/x)"),
+        ("    [](images/x)\n\n[](images/x)", "    [](images/x)\n\n[](new/x)"),
+        ("para\n    [](images/x)", "para\n    [](new/x)"),
+        ("- a\n\n      [](images/x)\n\n  [](images/x)", "- a\n\n      [](images/x)\n\n  [](new/x)"),
+        ("> ```\n> [](images/x)\n\n[](images/x)", "> ```\n> [](images/x)\n\n[](new/x)"),
+        ("`open [](images/x)\n\n` [](images/x)", "`open [](new/x)\n\n` [](new/x)"),
+        ("[two\nlines](images/x)", "[two\nlines](new/x)"),
     ],
 )
 def test_links(given, wanted):
-    assert links.rewritten(given, "images/", "new/") == wanted
+    assert links.rewritten(given, "images/x", "new/x") == wanted
 
 
 def master(body):
@@ -61,11 +69,14 @@ def paragraphs(body):
     [
         ("<text:p>Before<text:note><text:p>Note.</text:p></text:note>After</text:p>", ["Before Note. After"]),
         ("<text:p>a<text:note><text:p>(b)</text:p></text:note>, c</text:p>", ["a (b), c"]),
-        ("<text:p>~~kein Durchstreichen~~ &amp;copy;</text:p>", ["\\~\\~kein Durchstreichen\\~\\~ \\&copy;"]),
+        ("<text:p>~~left as it is~~ &amp;lt;</text:p>", ["\\~\\~left as it is\\~\\~ \\&lt;"]),
         ('<text:p><text:s text:c="4"/>x</text:p><text:p><text:tab/>y</text:p>', ["&nbsp;" * 4 + "x", "&nbsp;" * 4 + "y"]),
         ("<text:p># a</text:p><text:p>12. b</text:p><text:p>- c</text:p>", ["\\# a", "12\\. b", "\\- c"]),
         ('<text:h text:outline-level="9">T</text:h>', ["###### T"]),
         ("<text:p>a<text:line-break/>b</text:p>", ["a  \nb"]),
+        ("<text:p> <text:note><text:p> x </text:p></text:note><text:note><text:p>y<text:s/></text:p></text:note>z </text:p>", ["x y z"]),
+        ("<text:p><text:note><text:p><text:s/></text:p></text:note>a<text:note><text:p/></text:note>b</text:p>", [" ab"]),
+        ("<text:p>see „<text:span><text:note><text:p>n</text:p></text:note></text:span>“ (<text:note><text:p>m</text:p></text:note>)</text:p>", ["see „n“ (m)"]),
     ],
 )
 def test_master_paragraphs(body, wanted):
