@@ -1,6 +1,7 @@
 """Operators that judge each text alone, against brute force: rules, secrets, tokens, recipes, packing."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -236,3 +237,53 @@ def test_quality_classifier(spark, docs):
     again = {r.doc_id: r.score for r in quality_classifier.quality_scores(df, train).collect()}
     assert again == {i: r.score for i, r in got.items()}
     assert {r.score for r in quality_classifier.quality_scores(df, labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_classifier_by_hand(spark, docs, monkeypatch):
+    """Features, weights, threshold and scores, worked out one by one."""
+    for name, value in (("PAIRS", 240), ("ROUNDS", 3), ("BATCH", 16)):
+        monkeypatch.setattr(quality_classifier, name, value)
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice(["river", "green", "walk", "house"] if i % 3 else ["$$", "buy", "now", "!!"]) for _ in range(rnd.randrange(5, 40)))) for i in range(60)] + [(60, ""), (61, None)]
+    truth = {i: int(i % 3 > 0) for i in range(0, 50)}
+    labels = spark.createDataFrame([*truth.items()], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.quality_scores(docs(rows), labels).collect()}
+
+    def vector(text):
+        raw = (text or "").encode()
+        counts = [0] * (1 << quality_classifier.BITS)
+        for k in range(len(raw) - 3):
+            v = int.from_bytes(raw[k : k + 4], "little")
+            counts[((v ^ v >> 15) * 2246822507 % 2**32) >> (32 - quality_classifier.BITS)] += 1
+        dense = features.shape(*common.text_buffer(pa.array([text or ""])))[0]
+        return np.array([math.sqrt(np.float64(c) / max(1, sum(counts))) for c in counts] + [*dense]).astype(np.float32)
+
+    x = np.array([vector(t) for _, t in rows])
+    y = np.array([truth[i] for i in range(50)])
+    good, bad = [i for i in range(50) if y[i]], [i for i in range(50) if not y[i]]
+    rng, w, m, v, t = np.random.default_rng(7), np.zeros(x.shape[1]), 0.0, 0.0, 0
+    for r in range(3):
+        a, b = rng.choice(good, 80), rng.choice(bad, 80)
+        for k in range(0, 80, 16):
+            g = quality_classifier.DECAY * w
+            pairs = [x[i] - x[j] for i, j in zip(a[k : k + 16], b[k : k + 16])]
+            g = g - sum(d / (1 + math.exp(d @ w)) for d in pairs) / len(pairs)  # the gradient of log(1 + exp(-w d))
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - quality_classifier.RATE * (1 - r / 3) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    strength = x[:50] @ w
+    ranked = sorted(strength)
+    middle = (ranked[len(bad) - 1] + ranked[len(bad)]) / 2  # as many of the labelled rows lie below as are of the worse class
+    want = {i: 1 / (1 + math.exp(-(x[k] @ w - middle) / strength.std() * 4)) for k, (i, _) in enumerate(rows)}
+    assert max(abs(got[i] - want[i]) for i in want) < 2e-3 and {i: s >= 0.5 for i, s in got.items()} == {i: s >= 0.5 for i, s in want.items()}
+    assert all((got[i] >= 0.5) == bool(truth[i]) for i in truth)
+
+
+def test_fitted_rows_are_bounded_by_key(spark, docs):
+    rows = [(1, f"good {k}") for k in range(50)] + [(2, "bad"), (3, "worse"), (None, "x")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (9, 1)], "doc_id long, quality int")
+    x, y = quality_classifier.training_rows(docs(rows), labels, "text", "doc_id", "quality", 1)
+    assert len(x) == len(y) <= 2
+    x, y = quality_classifier.training_rows(docs(rows), labels, "text", "doc_id", "quality", 10)
+    assert sorted(y.tolist()) == [0, 0, 1]
+    assert quality_classifier.quality_scores(docs([]), labels).count() == 0
