@@ -1,10 +1,11 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions alone.
 
-Sources get target words by weight, at most `most` times their own; what is above that is shared again by weight. A
-document's expected copies are its source's target over the source's size: the whole part is certain, and the rest is
-its inclusion probability p. Documents are ranked by the random odds u / (1 - u) over the inclusion odds p / (1 - p),
-and are taken in that order while the words stay within what is left of the target. Of the documents after these,
-the one that brings the source nearest to its target is taken, too.
+Sources get target words by weight, at most `most` times their own; what is above that is shared again by weight. Within
+a source the expected copies of a document rise with its length: they are the source's level times the binary digits of
+its number of words, at most `most`, and the level is such that the expected words are the target. The whole part of the
+copies is certain, and the rest is the document's inclusion probability p. Documents are ranked by the random odds
+u / (1 - u) over the inclusion odds p / (1 - p), and are taken in that order while the words stay within what is left of
+the target. Of the documents after these, the one that brings the source nearest to its target is taken, too.
 
 No source is brought together: ranks are bucketed, words are summed by bucket, and only the bucket in which the target
 is reached is bucketed again and, at last, put in order.
@@ -61,23 +62,51 @@ def by_source(rows: DataFrame, table: DataFrame, count: int) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
-def named(docs: DataFrame, text: str, source: str, key: str, *others: Column) -> DataFrame:
-    """(_key, source, _crc) of each row, and others."""
-    return docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc"), *others)
+def measured(docs: DataFrame, text: str, source: str, key: str, *others: Column) -> DataFrame:
+    """(_key, source, _crc, size) of each row, and others; size: words of the whole text."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), F.crc32(F.coalesce(F.col(text), F.lit(""))).alias("_crc"), size.alias("size"), *others)
 
 
-def measured(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
-    """(_key, source, _crc, size) of each row; size: words of the whole text."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return named(docs, text, source, key, size.alias("size"), (size > 0).alias("able"))
+def favour(size: Column) -> Column:
+    """How much a document of some words is favoured: the binary digits of their number, a whole number so that sums are exact."""
+    return F.length(F.bin(size)).cast("long")
 
 
-def ordered(rows: DataFrame, plan: DataFrame, sources: int, salt: str) -> DataFrame:
-    """named rows with their source's plan, their odds, and the buckets of their ranks."""
+def levels(lengths: DataFrame, targets: DataFrame, count: int, most: int) -> DataFrame:
+    """lengths(source, size, n) -> (source, source_size, target, level, rest): a row for each source.
+
+    Expected copies are least(most, level * favour(size)). From the longest documents on, some are at `most`; the others
+    share what is left, so one running sum over a source's lengths finds where that ends. A null level: all are at
+    `most`. rest: the target's words beyond whole copies. A source has at most as many lengths as its longest document
+    has words, however many documents there are.
+    """
+    rows = by_source(lengths.where("size > 0"), targets.withColumnRenamed("source", "_s"), count)
+    longer = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    words, drawn = F.col("size") * F.col("n"), favour(F.col("size")) * F.col("size") * F.col("n")
+    full, before = F.coalesce(F.sum(words).over(longer), F.lit(0)), F.coalesce(F.sum(drawn).over(longer), F.lit(0))
+    level = (F.col("target") - most * full) / (F.sum(drawn).over(Window.partitionBy("source")) - before)
+    fits = level * favour(F.col("size")) <= most
+    found = rows.withColumn("_level", F.when(fits, level)).groupBy("source").agg(F.max_by("_level", F.when(F.col("_level").isNotNull(), F.col("size"))).alias("level"))
+    rows = by_source(rows, found.withColumnRenamed("source", "_s"), count)
+    whole = rows.groupBy("source").agg(F.sum(F.floor(expected(most)) * words).alias("_whole"))
+    out = by_source(targets, found.withColumnRenamed("source", "_s"), count)
+    out = by_source(out, whole.withColumnRenamed("source", "_s"), count)
+    return out.withColumn("rest", F.greatest(F.col("target") - F.coalesce("_whole", F.lit(0)), F.lit(0.0))).drop("_whole")
+
+
+def expected(most: int) -> Column:
+    """Expected copies of a row of some size with its source's level."""
+    return F.least(F.coalesce(F.col("level") * favour(F.col("size")), F.lit(float(most))), F.lit(float(most)))
+
+
+def ordered(rows: DataFrame, plan: DataFrame, sources: int, salt: str, most: int) -> DataFrame:
+    """measured rows with their source's plan, their expected and whole copies, their odds, and the buckets of their ranks."""
     rows = by_source(rows, plan, sources)
-    u = uniform(F.col("_key"), salt)
-    odds = F.when(F.col("p") > 0, u / (1 - u) / (F.col("p") / (1 - F.col("p"))))
-    rows = rows.withColumn("odds", odds).withColumn("place", F.when(odds.isNotNull(), odds / (1 + odds)))
+    rows = rows.withColumn("expected", F.when(F.col("size") > 0, expected(most)).otherwise(0.0)).withColumn("whole", F.floor("expected"))
+    u, p = uniform(F.col("_key"), salt), F.col("expected") - F.col("whole")
+    odds = F.when(p > 0, u / (1 - u) / (p / (1 - p)))
+    rows = rows.withColumn("odds", odds).withColumn("place", F.when(F.col("odds").isNotNull(), F.col("odds") / (1 + F.col("odds"))))
     fine = F.col("place") * BUCKETS
     return rows.withColumn("b1", F.least(F.floor(fine), F.lit(BUCKETS - 1))).withColumn("b2", F.least(F.floor((fine - F.floor(fine)) * BUCKETS), F.lit(BUCKETS - 1)))
 
@@ -91,7 +120,7 @@ def chosen() -> Column:
     at, stop = F.struct("b1", "b2"), F.struct("b1_", "b2_")
     mine, theirs = F.struct(*ORDER), F.struct(*(F.col(f"stop.{c}") for c in ORDER))
     within = (at < stop) | ((at == stop) & (F.col("stop").isNull() | (mine < theirs)))
-    return F.coalesce(F.col("odds").isNotNull() & F.col("able") & (F.col("b1_").isNull() | within), F.lit(False))
+    return F.coalesce(F.col("odds").isNotNull() & (F.col("b1_").isNull() | within), F.lit(False))
 
 
 class Mix:
@@ -102,16 +131,13 @@ class Mix:
     """
 
     def __init__(self, rows: DataFrame, weights: tuple[int, ...], most: int, salt: str):
-        self.salt = salt
-        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-        plan = cut(source_targets(sizes, most, weights)).withColumnRenamed("source", "_s")
-        self.sources = plan.count()
-        ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-        plan = plan.withColumn("whole", F.floor(ratio)).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-        self.plan = plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
-        rows = cut(ordered(rows, self.plan, self.sources, salt))
+        lengths = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+        targets = cut(source_targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), most, weights))
+        self.salt, self.most, self.sources = salt, most, targets.count()
+        self.plan = cut(levels(lengths, targets, self.sources, most)).withColumnRenamed("source", "_s")
+        rows = cut(ordered(rows, self.plan, self.sources, salt, most))
         self.rows = rows
-        able = rows.where("odds is not null and size > 0")
+        able = rows.where("odds is not null")
 
         first = cut(_reached(able.groupBy("source", "b1").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")), "b1", F.lit(0)))
         inside = able.join(first.select(F.col("source").alias("_s"), F.col("b1").alias("_b"), F.col("before").alias("_before")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("b1") == F.col("_b"))).drop("_s", "_b")
@@ -125,30 +151,31 @@ class Mix:
         border = border.withColumn("gap", F.col("gap") - F.coalesce("got", "_before")).drop("got", "_before").withColumnRenamed("source", "_s")
         self.border = cut(border)
         # the row after these that fills the gap best, if it brings the source nearer
-        rest = by_source(rows, self.border, self.sources).where(~chosen()).where("odds is not null and size > 0 and gap > 0 and size < 2 * gap")
+        rest = by_source(rows, self.border, self.sources).where(~chosen()).where("odds is not null and gap > 0 and size < 2 * gap")
         filler = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), *ORDER)).alias("f"))
         self.filler = cut(filler.select(F.col("source").alias("_s"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ORDER)))
 
     def applied(self, rows: DataFrame) -> DataFrame:
-        """ordered rows with `copies`, how often the mix takes each. able: whether a row has any words."""
+        """ordered rows with `copies`, how often the mix takes each."""
         rows = by_source(by_source(rows, self.border, self.sources), self.filler, self.sources)
         fills = F.coalesce(F.struct(*ORDER) == F.struct(*(F.col(f"f_{c}") for c in ORDER)), F.lit(False))
-        copies = F.when(F.col("able"), F.col("whole") + (chosen() | fills).cast("long")).otherwise(0).cast("long")
+        copies = (F.col("whole") + (chosen() | fills).cast("long")).cast("long")
         return rows.withColumn("copies", copies)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, salt: str = ":mix", text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """(key, source, size long, source_size long, target double, copies long, taken long, text_crc long).
+    """(key, source, size long, source_size long, target double, expected double, copies long, taken long, text_crc long).
 
     One row per row of docs. size: words of the whole text (null: 0). Sources in order of code points, null last, weigh
-    1, 2, 3, repeating, and share the words of all rows; a source's target is at most `most` times its size. copies:
-    how often the mix takes the row whole, at most `most` times; taken: copies times size. A source without words has
+    1, 2, 3, repeating, and share the words of all rows; a source's target is at most `most` times its size. expected: the
+    row's copies as expected, which rise with the binary digits of its size. copies: how often the mix takes the row
+    whole, at most `most` times; taken: copies times size. A source without words has
     the target 0, and rows without words are never taken. Ties of the key are broken by the text's CRC-32;
     rows alike in both are taken or left together. A null key is a key like any other. An empty table gives none. Reruns agree: chance comes from the key alone.
     """
     mix = Mix(cut(measured(docs, text, source, key)), weights, most, salt)
     rows = mix.applied(mix.rows)
-    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_crc").alias("text_crc"))
+    return rows.select(F.col("_key").alias(key), "source", "size", "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.col("_crc").alias("text_crc"))
 
 
 def _reached(sums: DataFrame, bucket: str, base: Column) -> DataFrame:
@@ -162,10 +189,10 @@ def _reached(sums: DataFrame, bucket: str, base: Column) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, salt: str = ":mix", text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """The rows of docs as often as mixed() takes them, with their own columns.
 
-    Texts are not shuffled: each row is judged where it is, by its source's target, border and filler. Other columns
+    Texts are not shuffled: each row is judged where it is, by its words and its source's level, border and filler. Other columns
     of docs may have any names.
     """
     mix = Mix(cut(measured(docs, text, source, key)), weights, most, salt)
-    able = F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("able")
-    rows = mix.applied(ordered(named(docs, text, source, key, able, F.struct("*").alias("_row")), mix.plan, mix.sources, salt)).where("copies > 0")
+    rows = measured(docs, text, source, key, F.struct("*").alias("_row"))
+    rows = mix.applied(ordered(rows, mix.plan, mix.sources, salt, most)).where("copies > 0")
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

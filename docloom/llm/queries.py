@@ -40,7 +40,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(documents(spark, sf_dir)).drop("source", "copies", "text_crc")
+    return mixing.mixed(documents(spark, sf_dir)).drop("source", "expected", "copies", "text_crc")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +94,13 @@ o AS (SELECT *, row_number() OVER f AS nth, (sum(source_size) OVER () - coalesce
     FROM c WINDOW f AS (ORDER BY level_at, source NULLS LAST), b AS (ORDER BY level_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT min_by(level, nth) AS common FROM o WHERE level <= level_at),
 t AS (SELECT source, source_size, least(w * coalesce(common, 'inf'::DOUBLE), cap::DOUBLE) AS target FROM o CROSS JOIN m),
-r AS (SELECT *, floor(least(target / nullif(source_size, 0), 3.0::DOUBLE)) AS whole FROM t),
-q AS (SELECT *, greatest(target - whole * source_size, 0::DOUBLE) AS rest, greatest(target - whole * source_size, 0::DOUBLE) / source_size AS p FROM r),
-a AS (SELECT d.*, source_size, target, whole, rest, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS odds FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h AS (SELECT d.source, size, length(bin(size)) AS w, count(*) AS n, any_value(target) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WHERE size > 0 GROUP BY ALL),
+b AS (SELECT *, sum(size * n) OVER p AS full_words, sum(w * size * n) OVER (PARTITION BY source) - coalesce(sum(w * size * n) OVER p, 0) AS drawn FROM h WINDOW p AS (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT source, max_by(level, size) AS level FROM (SELECT source, size, w, (target - 3 * coalesce(full_words, 0)) / drawn::DOUBLE AS level FROM b) WHERE level * w <= 3 GROUP BY source),
+e AS (SELECT h.*, least(coalesce(level * w, 3.0::DOUBLE), 3.0::DOUBLE) AS copies FROM h LEFT JOIN v ON h.source IS NOT DISTINCT FROM v.source),
+q AS (SELECT t.*, greatest(t.target - coalesce(x.whole, 0), 0::DOUBLE) AS rest FROM t LEFT JOIN (SELECT source, sum(floor(copies)::BIGINT * size * n) AS whole FROM e GROUP BY source) x ON t.source IS NOT DISTINCT FROM x.source),
+a AS (SELECT d.*, source_size, q.target, rest, coalesce(floor(copies), 0) AS whole, copies - floor(copies) AS p, CASE WHEN copies > floor(copies) THEN u / (1 - u) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS odds
+    FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.size = e.size),
 k AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id) AS upto FROM a WHERE odds IS NOT NULL AND size > 0),
 x AS (SELECT *, min(CASE WHEN upto > rest THEN upto END) OVER (PARTITION BY source) AS stop FROM k),
 y AS (SELECT *, stop IS NULL OR upto < stop AS chosen FROM x),

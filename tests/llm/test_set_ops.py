@@ -217,6 +217,24 @@ def test_mixing(docs):
     assert mixing.mixed(docs([])).count() == 0
 
 
+def test_mixing_includes_by_its_probabilities(docs):
+    """30 sources of like documents: how often each length is taken, against the copies that were expected of it."""
+    lengths = [1, 2, 3, 5, 9, 20, 40, 70, 130, 300]
+    rows = [(10000 * s + 100 * k + j, "w " * n, "en", f"s{s:03}") for s in range(30) for k, n in enumerate(lengths) for j in range(50)]
+    got = mixing.mixed(docs(rows, extra=False)).toPandas()
+    for _, part in got.groupby("source"):
+        want = np.minimum(3, part.expected)
+        assert abs((want * part["size"]).sum() - part.target.iloc[0]) < 1e-6 * part.target.iloc[0] and (part.copies - part.expected).abs().max() < 1
+        digits = part["size"].map(lambda n: n.bit_length())
+        free = part[part.expected < 3]
+        assert np.allclose(free.expected / digits[free.index], (free.expected / digits[free.index]).iloc[0])
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 150
+    got["weight"] = got.source.str[1:].astype(int) % 3
+    rates = got.groupby(["weight", "size"]).agg(expected=("expected", "mean"), copies=("copies", "mean"))
+    assert (rates.expected - rates.copies).abs().max() < 0.08 and (rates.expected - rates.copies).abs().mean() < 0.025
+    assert rates.expected.groupby("weight").nunique().min() > 3  # the odds do differ within a source
+
+
 def test_queries_with_sql(spark, docs, tmp_path):
     rnd = random.Random(12)
     passage = words(70, rnd)
