@@ -67,17 +67,17 @@ def gfm_cell_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each order: a row for each line number, a column by part; several writes may meet in a cell."""
+    """A sheet for each order, at most 97 to a book: a row for each line number, a column by part; several writes may meet in a cell."""
     rows = table(spark, sf_dir, "lineitem")
     shown = F.concat(F.col("l_returnflag"), F.lit("|"), F.col("l_suppkey").cast("string"))
     return rows.select(
-        (F.col("l_orderkey") % 97).alias("doc_id"), F.col("l_orderkey").alias("sheet_no"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 5).cast("int").alias("c"),
+        F.expr("l_orderkey div 97").alias("doc_id"), F.col("l_orderkey").alias("sheet_no"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 5).cast("int").alias("c"),
         shown.alias("display"), F.struct("l_partkey", "l_suppkey", shown).alias("written"),
     )
 
 
 ORDER_CELLS = """
-cell AS (SELECT l_orderkey % 97 AS doc_id, l_orderkey AS sheet_no, l_linenumber AS r, (l_partkey % 5)::INT AS c,
+cell AS (SELECT l_orderkey // 97 AS doc_id, l_orderkey AS sheet_no, l_linenumber AS r, (l_partkey % 5)::INT AS c,
     max_by(l_returnflag || '|' || l_suppkey, (l_partkey, l_suppkey, l_returnflag || '|' || l_suppkey)) AS display FROM lineitem GROUP BY ALL),
 high AS (SELECT doc_id, sheet_no, unnest(range(0, max(r)::BIGINT + 1))::INT AS r FROM cell GROUP BY doc_id, sheet_no),
 wide AS (SELECT doc_id, sheet_no, r, max(c) AS w FROM cell GROUP BY ALL)

@@ -89,7 +89,7 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
-    """One Arrow pass over (path, content): rows(path, content) -> dicts, a few documents at a time.
+    """One Arrow pass over (path, content): rows(path, content) -> dicts, a document at a time. Spark bounds a batch by bytes.
 
     A file without content gives unread(path, message) -> dict instead, and so does one whose rows can't be made.
     """
@@ -109,7 +109,6 @@ def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
             for path, content, length in zip(*batch.columns):
                 yield from made(path.as_py(), content.as_py(), length.as_py())
 
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     length = F.col("length") if "length" in files.columns else F.lit(None).cast("long").alias("length")
     return files.select("path", "content", length).mapInArrow(run, _schema(ddl))
 
