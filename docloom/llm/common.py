@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.sources.shared import shared_folder
+
 #: A side with at most this many rows of ids or small structs may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -28,11 +29,11 @@ def session(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Evaluate once and cut the lineage in the shared folder that the session names (a temporary one where unset)."""
+    """Evaluate once and cut the lineage in the shared folder that the session names (see shared_folder())."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -42,8 +43,7 @@ def store(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     For tables of many rows, which take a fraction of a checkpoint's space. What is left goes when the session ends.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-")
-    folder = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
