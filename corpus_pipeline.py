@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from docloom.llm.common import session
 from docloom.llm.queries import labels, tokenizer
+from docloom.sources.shared import shared_folder
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is a table in the shared folder before the next stage reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='docloom-')).rstrip('/')}/run-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
