@@ -82,13 +82,15 @@ def scan_budgets(links: DataFrame, by: list[str], max_scans: int = MAX_SCANS, ma
 
 
 def workbook_errors(cells: DataFrame, links: DataFrame, by: list[str], max_cells: int = MAX_CELLS, max_text: int = MAX_TEXT, max_scans: int = MAX_SCANS) -> DataFrame:
-    """(by, cells, bytes, scanned, sheet_no, error): for each workbook of cells its sums, and its first sheet over a budget.
+    """(by, cells, bytes, scanned, sheet_no, error): for each workbook its sums, and its first sheet over a budget.
 
     Within a sheet its cells come before its links, the number of cells before their text, and a single large area
     before the sum of areas.
     """
-    found = _joined(cell_budgets(cells, by, max_cells, max_text), scan_budgets(links, by, max_scans, max_cells), by)
+    found = cells.select(*by).unionAll(links.select(*by)).distinct()
+    for side in (cell_budgets(cells, by, max_cells, max_text), scan_budgets(links, by, max_scans, max_cells)):
+        found = _joined(found, side, by)
     sheet = lambda place: F.col(place)["sheet_no"]
     told = [(sheet("cells_at"), 0, CELLS_ERROR), (sheet("bytes_at"), 1, TEXT_ERROR), (sheet("large_at"), 2, CELLS_ERROR), (sheet("scanned_at"), 3, SCANS_ERROR)]
     first = F.array_min(F.filter(F.array(*(F.when(s.isNotNull(), F.struct(s.alias("sheet_no"), F.lit(n).alias("n"), F.lit(e).alias("error"))) for s, n, e in told)), lambda x: x.isNotNull()))
-    return found.select(*by, "cells", "bytes", F.coalesce("scanned", F.lit(0)).alias("scanned"), first["sheet_no"].alias("sheet_no"), first["error"].alias("error"))
+    return found.select(*by, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("cells", "bytes", "scanned")), first["sheet_no"].alias("sheet_no"), first["error"].alias("error"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import gfm, links, markdown
-from docloom.operators import xmlnodes
+from docloom.operators import workbooks, xmlnodes
 from docloom.plans.relational import hostile, table
 from docloom.sources import build, engine, nodes
 
@@ -273,6 +273,41 @@ def workbook_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.join(sheets, ["path", "idx"]).withColumn("idx", F.col("idx").cast("long"))
 
 
+def linked_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for every forty parts: name, size (a formula where it is odd), a truth value, and a link with the brand
+    over it and the cells beside it; every seventh book has a cell out of order, and every fifth link spans five rows."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
+    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+
+    def make(batches):
+        for pdf in batches:
+            out = []
+            for book, rows in zip(pdf["book"], pdf["rows"]):
+                body = areas = ""
+                for k, r in enumerate(rows, 1):
+                    size = int(r["p_size"])
+                    body += f'<row r="{k}"><c t="inlineStr"><is><t>{r["p_name"]}</t></is></c><c>{"<f>N()</f>" if size % 2 else ""}<v>{size}</v></c><c r="D{k}" t="b"><v>{size % 2}</v></c>{"<c r='A1'/>" if book % 7 == 3 and k == 2 else ""}</row>'
+                    areas += f'<hyperlink ref="C{k}:E{k + 4 if k % 5 == 0 and k + 4 <= len(rows) else k}" display="{r["p_brand"]}"/>'
+                files = build.xlsx_files([("Parts", [["x"]])])
+                files["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{xmlnodes.SHEET}"><sheetData>{body}</sheetData><hyperlinks>{areas}</hyperlinks></worksheet>'
+                content = build.package(files)
+                out.append({"path": f"/parts/book{book}.xlsx", "length": len(content), "content": content})
+            yield pd.DataFrame(out, columns=["path", "length", "content"])
+
+    return books.mapInPandas(make, "path string, length long, content binary")
+
+
+@query("""WITH p AS (SELECT p_partkey // 40 AS book, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_partkey // 40) AS n, p_name, p_size, p_brand FROM part),
+s AS (SELECT book, p_brand AS brand, k AS first, CASE WHEN k % 5 = 0 AND k + 4 <= n THEN k + 4 ELSE k END AS last FROM p),
+l AS (SELECT p.book, p.k, min_by(s.brand, s.first) AS brand FROM p JOIN s ON p.book = s.book AND p.k BETWEEN s.first AND s.last GROUP BY ALL),
+t AS (SELECT book, string_agg('| ' || p_name || ' | ' || p_size || ' | ' || brand || ' | ' || CASE WHEN p_size % 2 = 1 THEN 'TRUE' ELSE 'FALSE' END || ' | ' || brand || ' |' || CASE WHEN k = 1 THEN chr(10) || '| --- | --- | --- | --- | --- |' ELSE '' END, chr(10) ORDER BY k) AS body FROM p JOIN l USING (book, k) GROUP BY book)
+SELECT '/parts/book' || book || '.xlsx' AS path, CASE WHEN book % 7 <> 3 THEN '# book' || book || chr(10) || chr(10) || '## Sheet: Parts' || chr(10) || chr(10) || body || chr(10) END AS markdown,
+    CASE WHEN book % 7 = 3 THEN 'XLSX cells are not in increasing column order' END AS error FROM t""")
+def workbook_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks with formulas, truth values, inline texts, links over areas and cells out of order, read and rendered as tables of elements."""
+    return workbooks.markdown(workbooks.tables(nodes.xml_nodes(linked_books(spark, sf_dir), workbooks.PARTS)))
+
+
 @query("""SELECT '/notes/n' || c_custkey || '.rtfd' AS path, 'ok' AS status, c_name || ' in **' || c_mktsegment || '**' || chr(10) AS markdown,
     CASE WHEN c_nationkey % 2 = 0 THEN 'Attachment was not represented in the generated Markdown: n' || c_nationkey || '.pdf' ELSE '' END AS messages FROM customer""")
 def package_convert(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import image_columns, images as one_image, markdown
-from docloom.operators import budgets, colours, grid, images, normalize, render, resolve, xmlnodes
+from docloom.operators import budgets, colours, grid, images, normalize, render, resolve, workbooks, xmlnodes
 from docloom.plans import relational
 from docloom import catalog
 from docloom.sources import build, convert, datasource, engine, nodes, publishing, rtf, shared
@@ -189,7 +189,7 @@ def test_budgets_name_the_first_place(spark):
     assert (found["w"].cells, tuple(found["w"].cells_at), found["w"].bytes, tuple(found["w"].bytes_at)) == (13, (1, 3), 4, (1, 3)) and found["v"].cells_at is None
     links = spark.createDataFrame([("w", 2, 1, 0, 0, 3, 4), ("w", 2, 2, 0, 0, 0, 0), ("v", 1, 1, 0, 0, 99, 0), ("x", 1, 1, 0, 0, 0, 0)], "book string, sheet_no int, link int, r0 int, c0 int, r1 int, c1 int")
     errors = {r.book: (r.scanned, r.sheet_no, r.error) for r in budgets.workbook_errors(cells, links, ["book"], max_cells=50, max_text=8, max_scans=20).collect()}
-    assert errors == {"w": (21, 2, budgets.SCANS_ERROR), "v": (100, 1, budgets.CELLS_ERROR), "u": (0, 4, budgets.TEXT_ERROR)}
+    assert errors == {"w": (21, 2, budgets.SCANS_ERROR), "v": (100, 1, budgets.CELLS_ERROR), "u": (0, 4, budgets.TEXT_ERROR), "x": (1, None, None)}
     assert budgets.workbook_errors(cells.limit(0), links.limit(0), ["book"]).count() == 0
 
 
@@ -415,3 +415,48 @@ def test_attempts_that_do_not_count(tmp_path):
     assert inside.write(iter([(str(tmp_path), "ok", "x", [])])).failed[0][1] == "output_inside_input"
     with pytest.raises(publishing.OutputError, match="parent directory"):
         publishing.FolderWriter(str(tmp_path / "none"), False, writer.at)
+
+
+def rich_book(sheets, strings="", links=True):
+    """An XLSX package of raw sheet XML by name."""
+    files = build.xlsx_files([(n, [["x"]]) for n in sheets])
+    for k, xml in enumerate(sheets.values(), 1):
+        files[f"xl/worksheets/sheet{k}.xml"] = f'<worksheet xmlns="{xmlnodes.SHEET}">{xml}</worksheet>'
+    files["xl/sharedStrings.xml"] = f'<sst xmlns="{xmlnodes.SHEET}">{strings}</sst>'
+    return build.package(files)
+
+
+STRINGS = "<si><t>one</t></si><si><r><t>t</t></r><r><t>wo|\\</t></r><rPh><t>!</t></rPh></si><si/>"
+BOOKS = {
+    "plain": {"S": '<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>1.50</v></c></row><row r="3"><c t="s"><v>1</v></c><c t="b"><v>1</v></c><c t="b"><v>no</v></c><c t="e"><v>#N/A</v></c></row><row/></sheetData>'},
+    "kinds": {"S": '<sheetData><row><c t="inlineStr"><is><r><t>a</t></r><t>b</t></is></c><c r="D1" t="str"><f>X()</f><v>r</v></c><c><f/></c><c><f>A1</f></c><c t="s"><v> 2 </v></c><c t="b"/></row></sheetData>'},
+    "links": {"S": '<sheetData><row r="2"><c r="B2"><f></f></c><c r="C2"><v>7</v></c><c r="D2"/></row></sheetData><hyperlinks><hyperlink ref="A1:D3" display="in"/><hyperlink ref="E5" display="far"/><hyperlink ref="A1:F1" display="late"/><hyperlink ref="A9"/></hyperlinks>'},
+    "empty": {"A": "<sheetData/>", "B": '<sheetData><row r="2"/><row r="4"><c r="B4"/></row></sheetData>', "C\nD": '<sheetData><row><c><v>1</v></c></row></sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells>'},
+    "rows": {"S": '<sheetData><row r="2"/><row r="1"/></sheetData>'}, "order": {"S": '<sheetData><row><c r="B1"/><c r="A1"/></row></sheetData>'}, "index": {"S": '<sheetData><row><c t="s"><v>9</v></c></row></sheetData>'},
+    "wide": {"S": '<sheetData><row><c r="XFE1"/></row></sheetData>'}, "tall": {"S": '<sheetData><row r="100001"/></sheetData>'}, "area": {"S": '<sheetData/><hyperlinks><hyperlink ref="A1:XFD100000" display="x"/></hyperlinks>'},
+    "low": {"S": '<sheetData/><hyperlinks><hyperlink ref="A100001" display="x"/></hyperlinks>'}, "right": {"S": '<sheetData/><hyperlinks><hyperlink ref="XFE1" display="x"/></hyperlinks>'}, "no_ref": {"S": '<sheetData/><hyperlinks><hyperlink ref="A0" display="x"/></hyperlinks>'},
+    "many": {"S": "<sheetData>" + "".join(f'<row r="{k}"><c r="XFD{k}"><v>1</v></c></row>' for k in range(1, 63)) + "</sheetData>"},
+    "scans": {"S": '<sheetData/><hyperlinks><hyperlink ref="A1:CV6000" display="x"/><hyperlink ref="A1:CV6000" display="x"/></hyperlinks>'},
+}
+
+
+def test_workbooks_out_of_elements_equal_the_reader(spark):
+    """Cells, Markdown and errors, relationally over all books and by the reader of one."""
+    files = {f"/d/{name}.xlsx": rich_book(sheets, STRINGS) for name, sheets in BOOKS.items()}
+    books = workbooks.tables(nodes.xml_nodes(files_of(spark, files), workbooks.PARTS))
+    done = {r.path: (r.markdown, r.error) for r in workbooks.markdown(books).collect()}
+    cells = {}
+    for r in workbooks.shown_cells(books.without(workbooks.errors(books))).collect():
+        if r.display or r.formula is not None:
+            cells.setdefault(r.path, set()).add((r.sheet_no, r.sheet, r.r, r.c, r.value_type, r.display, r.formula))
+    assert set(done) == set(files)
+    for path, content in files.items():
+        one = convert.convert(path, content)
+        if one.status == "ok":
+            assert done[path] == (one.markdown, None), path
+            assert cells.get(path, set()) == {(n, s, r, c, k, d, f) for n, s, r, c, k, _, d, f in one.book.cells() if d or f is not None}, path
+        else:
+            assert done[path] == (None, one.error.partition(f"{path}: ")[2]), path
+    assert sum(m is not None for m, _ in done.values()) == 4
+    tight = {r.path: r.error for r in workbooks.markdown(books, 60).collect()}
+    assert tight["/d/plain.xlsx"] == render.TOO_LARGE and tight["/d/rows.xlsx"] == workbooks.ROW_ERROR
