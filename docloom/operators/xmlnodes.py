@@ -57,14 +57,16 @@ def inspections(nodes: DataFrame) -> DataFrame:
     href = F.coalesce(F.col("attrs")["{%s}href" % XLINK], F.lit(""))
     image = content & is_element(DRAW, "image") & (refs.unsafe_package_reference(href) | F.split_part(href, F.lit("/"), F.lit(1)).contains(":"))
     told = F.when(outside, F.coalesce(F.col("attrs")["Target"], F.lit(""))).when(image, href)
-    roots = nodes.where((F.col("depth") == 0) & word & (F.col("name") == "document")).select("path", F.col("ns").alias("_ns"))
-    own = nodes.where(marked).join(roots, "path").where("ns = _ns").select("path", (F.col("name") == "commentRangeStart").alias("comments"), F.col("name").isin(*CHANGES).alias("changes"), F.lit(False).alias("odt_changes"), F.lit(None).cast("string").alias("unsafe"))
-    other = nodes.where(F.coalesce(~marked, F.lit(True))).select(
-        "path", ((comment & (F.col("name") == "comment")) | (content & is_element(OFFICE, "annotation"))).alias("comments"), F.lit(False).alias("changes"),
-        (content & is_element(TEXT, "tracked-changes")).alias("odt_changes"), told.alias("unsafe"),
+    root = word & (F.col("depth") == 0) & (F.col("name") == "document")
+    # marks and roots are counted by namespace side by side, so the elements are gone through once and nothing is joined
+    own = lambda when, k: F.coalesce(F.bool_or(when & (F.col("ns") == WORD[k])), F.lit(False))
+    found = lambda when: F.greatest(*(own(root, k) & own(when, k) for k in range(len(WORD))))
+    any_ = lambda when: F.coalesce(F.bool_or(when), F.lit(False))
+    commented = (comment & (F.col("name") == "comment")) | (content & is_element(OFFICE, "annotation"))
+    return nodes.groupBy("path").agg(
+        (any_(commented) | found(marked & (F.col("name") == "commentRangeStart"))).alias("comments"), found(marked & F.col("name").isin(*CHANGES)).alias("changes"),
+        any_(content & is_element(TEXT, "tracked-changes")).alias("odt_changes"), F.min(told).alias("unsafe"),
     )
-    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
-    return own.unionAll(other).groupBy("path").agg(flag("comments"), flag("changes"), flag("odt_changes"), F.min("unsafe").alias("unsafe"))
 
 
 def sheet_list(nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,28 @@ def query(sql: str | None = None):
     return keep
 
 
+FILE = "path string, length long, content binary"
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows over several tasks a core, by key: the tables are small in bytes, but a row of them becomes a whole file."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
+def made_files(rows: DataFrame, files: Callable[[dict], list[tuple[str, bytes]]], step: int = 64) -> DataFrame:
+    """FILE: the files of each row, made in its task; those of `step` rows at most are held at once."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                found = [x for row in batch.slice(k, step).to_pylist() for x in files(row)]
+                paths, contents = pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([paths, pa.array([len(c) for _, c in found], pa.int64()), contents], names=["path", "length", "content"])
+
+    return rows.mapInArrow(run, FILE)
+
+
 def part_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """A workbook for every forty parts, with a row for each: name, size and brand, and a gap beside them."""
     rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
@@ -214,25 +237,21 @@ def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word document and an open one for each customer, with comments, changes and images of several kinds."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                kind = _DOCX[r.c_custkey % len(_DOCX)]
-                word = build.docx_files([(0, [(r.c_name, False)])])
-                if kind.startswith("<"):
-                    word["word/document.xml"] = word["word/document.xml"].replace("</w:body>", f"{kind}</w:body>")
-                elif kind:
-                    targets = "".join(f'<Relationship Id="r{k}" Type="urn:y/image" TargetMode="{kind}" Target="http://h/{r.c_nationkey}-{k}.png"/>' for k in (2, 1))
-                    word["word/_rels/document.xml.rels"] = f'<Relationships xmlns="{xmlnodes.RELATIONSHIPS}">{targets}<Relationship Id="l" Type="urn:y/hyperlink" TargetMode="External" Target="http://a"/></Relationships>'
-                if r.c_nationkey % 5 == 0:
-                    word["word/comments.xml"] = f'<w:comments xmlns:w="{xmlnodes.WORD[0]}"><w:comment/></w:comments>'
-                text = build.odt_files([(0, [(r.c_name, False)])])
-                text["content.xml"] = text["content.xml"].replace("<office:text>", f'<office:text xmlns:draw="{xmlnodes.DRAW}">{_ODT[r.c_custkey % len(_ODT)]}')
-                out += [(f"/marked/{r.c_custkey}.docx", build.package(word)), (f"/marked/{r.c_custkey}.odt", build.package(text))]
-            yield pd.DataFrame([(p, len(c), c) for p, c in out], columns=["path", "length", "content"])
-
-    return rows.mapInPandas(make, "path string, length long, content binary")
+    def make(r):
+        key, nation, kind = r["c_custkey"], r["c_nationkey"], _DOCX[r["c_custkey"] % len(_DOCX)]
+        word = build.docx_files([(0, [(r["c_name"], False)])])
+        if kind.startswith("<"):
+            word["word/document.xml"] = word["word/document.xml"].replace("</w:body>", f"{kind}</w:body>")
+        elif kind:
+            targets = "".join(f'<Relationship Id="r{k}" Type="urn:y/image" TargetMode="{kind}" Target="http://h/{nation}-{k}.png"/>' for k in (2, 1))
+            word["word/_rels/document.xml.rels"] = f'<Relationships xmlns="{xmlnodes.RELATIONSHIPS}">{targets}<Relationship Id="l" Type="urn:y/hyperlink" TargetMode="External" Target="http://a"/></Relationships>'
+        if nation % 5 == 0:
+            word["word/comments.xml"] = f'<w:comments xmlns:w="{xmlnodes.WORD[0]}"><w:comment/></w:comments>'
+        text = build.odt_files([(0, [(r["c_name"], False)])])
+        text["content.xml"] = text["content.xml"].replace("<office:text>", f'<office:text xmlns:draw="{xmlnodes.DRAW}">{_ODT[key % len(_ODT)]}')
+        return [(f"/marked/{key}.docx", build.package(word)), (f"/marked/{key}.odt", build.package(text))]
+
+    return made_files(dealt(rows, "c_custkey"), make)
 
 
 @query(f"""SELECT '/marked/' || c_custkey || '.docx' AS path, c_custkey % 7 IN (1, 6) OR c_nationkey % 5 = 0 AS comments, c_custkey % 7 IN (2, 6) AS changes, false AS odt_changes, CASE WHEN c_custkey % 7 = 4 THEN 'http://h/' || c_nationkey || '-1.png' END AS unsafe FROM customer

@@ -91,23 +91,42 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 def _pass(files: DataFrame, ddl: str, rows, unread) -> DataFrame:
     """One Arrow pass over (path, content): rows(path, content) -> dicts, a document at a time. Spark bounds a batch by bytes.
 
-    A file without content gives unread(path, message) -> dict instead, and so does one whose rows can't be made.
+    A file without content gives unread(path, message) -> dict instead, and so does one whose rows can't be made. The rows
+    of small files leave together, up to 1,000 rows or 256 KiB of input.
     """
     schema = _arrow(ddl)
 
-    def made(path: str, content: bytes | None, length: int | None) -> list[pa.RecordBatch]:
+    def made(path: str, content: bytes | None, length: int | None) -> list[dict]:
         if content is None:
-            return [_batch([unread(path, _unread(path, length))], schema)]
+            return [unread(path, _unread(path, length))] if unread else []
         try:
-            found = rows(path, content)
-            return [_batch(found[k : k + 20_000], schema) for k in range(0, len(found), 20_000)]
+            return rows(path, content)
         except Exception as e:  # one bad file must not fail the job
-            return [_batch([unread(path, f"{type(e).__name__}: {e}")], schema)] if unread else []
+            return [unread(path, f"{type(e).__name__}: {e}")] if unread else []
+
+    def packed(held: list[tuple[str, list[dict]]]) -> Iterator[pa.RecordBatch]:
+        found = [x for _, part in held for x in part]
+        try:
+            yield from [_batch(found[k : k + 20_000], schema) for k in range(0, len(found), 20_000)]
+        except Exception as e:
+            if len(held) > 1:  # one bad file must not spoil the others
+                for one_ in held:
+                    yield from packed([one_])
+            elif unread:
+                yield _batch([unread(held[0][0], f"{type(e).__name__}: {e}")], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, list[dict]]] = []
+        size = count = 0
         for batch in batches:
             for path, content, length in zip(*batch.columns):
-                yield from made(path.as_py(), content.as_py(), length.as_py())
+                name, data = path.as_py(), content.as_py()
+                held.append((name, made(name, data, length.as_py())))
+                size, count = size + len(data or b""), count + len(held[-1][1])
+                if count >= 1_000 or size >= 1 << 18:
+                    yield from packed(held)
+                    held, size, count = [], 0, 0
+        yield from packed(held)
 
     length = F.col("length") if "length" in files.columns else F.lit(None).cast("long").alias("length")
     return files.select("path", "content", length).mapInArrow(run, _schema(ddl))
