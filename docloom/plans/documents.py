@@ -50,21 +50,22 @@ def made_files(rows: DataFrame, files: Callable[[dict], list[tuple[str, bytes]]]
     return rows.mapInArrow(run, FILE)
 
 
+def part_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(book, rows): forty parts in order, a book."""
+    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
+    return dealt(rows, "book").groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+
+
 def part_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """A workbook for every forty parts, with a row for each: name, size and brand, and a gap beside them."""
-    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
-    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    books = part_books(spark, sf_dir)
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for book, rows in zip(pdf["book"], pdf["rows"]):
-                sheet = [("Parts", [[r["p_name"], int(r["p_size"]), None, r["p_brand"]] for r in rows])]
-                content = {"xlsx": lambda: build.package(build.xlsx_files(sheet)), "ods": lambda: build.package(build.ods_files(sheet)), "xls": lambda: build.xls_bytes(sheet)}[kind]()
-                out.append({"path": f"/parts/book{book}.{kind}", "length": len(content), "content": content})
-            yield pd.DataFrame(out, columns=["path", "length", "content"])
+    def make(x):
+        sheet = [("Parts", [[r["p_name"], int(r["p_size"]), None, r["p_brand"]] for r in x["rows"]])]
+        content = {"xlsx": lambda: build.package(build.xlsx_files(sheet)), "ods": lambda: build.package(build.ods_files(sheet)), "xls": lambda: build.xls_bytes(sheet)}[kind]()
+        return [(f"/parts/book{x['book']}.{kind}", content)]
 
-    return books.mapInPandas(make, "path string, length long, content binary")
+    return made_files(books, make)
 
 
 def _cells_sql(kind: str) -> str:
@@ -118,19 +119,14 @@ def format_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """A text document for every forty parts: a heading, and a paragraph with a bold brand for each."""
-    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
-    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    books = part_books(spark, sf_dir)
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for book, rows in zip(pdf["book"], pdf["rows"]):
-                blocks = [(1, [(f"Parts {book}", False)])] + [(0, [(f"{r['p_name']} of size {r['p_size']}, ", False), (r["p_brand"], True)]) for r in rows]
-                content = {"docx": lambda: build.package(build.docx_files(blocks)), "odt": lambda: build.package(build.odt_files(blocks)), "rtf": lambda: build.rtf_bytes(blocks)}[kind]()
-                out.append({"path": f"/parts/book{book}.{kind}", "length": len(content), "content": content})
-            yield pd.DataFrame(out, columns=["path", "length", "content"])
+    def make(x):
+        blocks = [(1, [(f"Parts {x['book']}", False)])] + [(0, [(f"{r['p_name']} of size {r['p_size']}, ", False), (r["p_brand"], True)]) for r in x["rows"]]
+        content = {"docx": lambda: build.package(build.docx_files(blocks)), "odt": lambda: build.package(build.odt_files(blocks)), "rtf": lambda: build.rtf_bytes(blocks)}[kind]()
+        return [(f"/parts/book{x['book']}.{kind}", content)]
 
-    return books.mapInPandas(make, "path string, length long, content binary")
+    return made_files(books, make)
 
 
 def _text_sql(kind: str, heading: str) -> str:
@@ -160,20 +156,18 @@ def rtf_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def master_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every forty parts a master document of four linked texts of ten parts each; every fifth text is missing."""
     rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 10").alias("text"), F.struct("p_partkey", "p_name").alias("x"))
-    texts = rows.groupBy("text").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    texts = dealt(rows, "text").groupBy("text").agg(F.array_sort(F.collect_list("x")).alias("rows"))
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for text, rows in zip(pdf["text"], pdf["rows"]):
-                if text % 4 == 0:
-                    master = build.odm_files([(2, [(f"Volume {text // 4}", False)])], [(f"Part {k}", f"texts/t{k}.odt") for k in range(text, text + 4)])
-                    out.append((f"/books/volume{text // 4}.odm", build.package(master)))
-                if text % 5:
-                    out.append((f"/books/texts/t{text}.odt", build.package(build.odt_files([(0, [(r["p_name"], False)]) for r in rows]))))
-            yield pd.DataFrame([(p, len(c), c) for p, c in out], columns=["path", "length", "content"])
+    def make(x):
+        text, out = x["text"], []
+        if text % 4 == 0:
+            master = build.odm_files([(2, [(f"Volume {text // 4}", False)])], [(f"Part {k}", f"texts/t{k}.odt") for k in range(text, text + 4)])
+            out.append((f"/books/volume{text // 4}.odm", build.package(master)))
+        if text % 5:
+            out.append((f"/books/texts/t{text}.odt", build.package(build.odt_files([(0, [(r["p_name"], False)]) for r in x["rows"]]))))
+        return out
 
-    return texts.mapInPandas(make, "path string, length long, content binary")
+    return made_files(texts, make)
 
 
 @query("""WITH t AS (SELECT p_partkey // 10 AS t, string_agg(p_name, chr(10) || chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY ALL),
@@ -197,23 +191,20 @@ def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every two customers of one nation and segment a master of their two texts, of several kinds and names."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                k = r.c_custkey
-                kind, name = _TEXTS[k % len(_TEXTS)], _NAMES[k % len(_NAMES)].format(k)
-                place = name.removeprefix("./").replace("%20", " ").removesuffix("#top")
-                text = build.odt_files([(0, [(r.c_name, False)])])
-                if kind == "changed":
-                    text["content.xml"] = text["content.xml"].replace("<office:text>", "<office:text><text:tracked-changes/>")
-                content = {"broken": lambda: b"PK", "word": lambda: build.package(build.docx_files([(0, [(r.c_name, False)])]))}.get(kind, lambda: build.package(text))()
-                if kind != "missing" and "//" not in name:
-                    out.append((f"/linked/{place}", content))
-                out.append((f"/linked/m{k}.odm", build.package(build.odm_files([(1, [(r.c_name, False)])], [("Own", name), ("First", "../../up.odt" if k % 10 == 9 else name)]))))
-            yield pd.DataFrame([(p, len(c), c) for p, c in out], columns=["path", "length", "content"])
-
-    return rows.mapInPandas(make, "path string, length long, content binary")
+    def make(r):
+        k, title, out = r["c_custkey"], r["c_name"], []
+        kind, name = _TEXTS[k % len(_TEXTS)], _NAMES[k % len(_NAMES)].format(k)
+        place = name.removeprefix("./").replace("%20", " ").removesuffix("#top")
+        text = build.odt_files([(0, [(title, False)])])
+        if kind == "changed":
+            text["content.xml"] = text["content.xml"].replace("<office:text>", "<office:text><text:tracked-changes/>")
+        if kind != "missing" and "//" not in name:
+            content = {"broken": lambda: b"PK", "word": lambda: build.package(build.docx_files([(0, [(title, False)])]))}.get(kind, lambda: build.package(text))()
+            out.append((f"/linked/{place}", content))
+        out.append((f"/linked/m{k}.odm", build.package(build.odm_files([(1, [(title, False)])], [("Own", name), ("First", "../../up.odt" if k % 10 == 9 else name)]))))
+        return out
+
+    return made_files(dealt(rows, "c_custkey"), make)
 
 
 @query(f"""WITH c AS (SELECT c_custkey AS k, {_TEXTS}[c_custkey % {len(_TEXTS)} + 1] AS kind, replace({_NAMES}[c_custkey % {len(_NAMES)} + 1], '{{0}}', c_custkey::VARCHAR) AS name FROM customer),
@@ -263,23 +254,17 @@ def package_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def string_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for every forty parts: its strings are the parts' names, in one or two runs, and its sheets their brands."""
-    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
-    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
+    books = part_books(spark, sf_dir)
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for book, rows in zip(pdf["book"], pdf["rows"]):
-                files = build.xlsx_files([("S", [["a"]])])
-                run = lambda n, k: f"<r><rPr/><t>{n[:k]}</t></r><r><t>{n[k:]}</t></r>" if k % 2 else f"<t>{n}</t>" if k % 4 else ""
-                files["xl/sharedStrings.xml"] = f'<sst xmlns="{xmlnodes.SHEET}">' + "".join(f"<si>{run(r['p_name'], int(r['p_size']))}</si>" for r in rows) + "</sst>"
-                sheets = "".join(f'<sheet name="{r["p_brand"]}" r:id="r{r["p_partkey"]}"/>' if r["p_size"] % 10 else f'<sheet name="{r["p_brand"]}"/>' for r in rows)
-                files["xl/workbook.xml"] = f'<workbook xmlns="{xmlnodes.SHEET}" xmlns:r="{xmlnodes.OFFICE_RELATIONSHIPS}"><sheets>{sheets}</sheets></workbook>'
-                content = build.package(files)
-                out.append({"path": f"/parts/book{book}.xlsx", "length": len(content), "content": content})
-            yield pd.DataFrame(out, columns=["path", "length", "content"])
+    def make(x):
+        rows, files = x["rows"], build.xlsx_files([("S", [["a"]])])
+        run = lambda n, k: f"<r><rPr/><t>{n[:k]}</t></r><r><t>{n[k:]}</t></r>" if k % 2 else f"<t>{n}</t>" if k % 4 else ""
+        files["xl/sharedStrings.xml"] = f'<sst xmlns="{xmlnodes.SHEET}">' + "".join(f"<si>{run(r['p_name'], int(r['p_size']))}</si>" for r in rows) + "</sst>"
+        sheets = "".join(f'<sheet name="{r["p_brand"]}" r:id="r{r["p_partkey"]}"/>' if r["p_size"] % 10 else f'<sheet name="{r["p_brand"]}"/>' for r in rows)
+        files["xl/workbook.xml"] = f'<workbook xmlns="{xmlnodes.SHEET}" xmlns:r="{xmlnodes.OFFICE_RELATIONSHIPS}"><sheets>{sheets}</sheets></workbook>'
+        return [(f"/parts/book{x['book']}.xlsx", build.package(files))]
 
-    return books.mapInPandas(make, "path string, length long, content binary")
+    return made_files(books, make)
 
 
 @query("""SELECT '/parts/book' || p_partkey // 40 || '.xlsx' AS path, (row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1)::BIGINT AS idx, CASE WHEN p_size % 4 = 0 THEN '' ELSE p_name END AS text, p_brand AS sheet,
@@ -295,25 +280,19 @@ def workbook_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linked_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook for every forty parts: name, size (a formula where it is odd), a truth value, and a link with the brand
     over it and the cells beside it; every seventh book has a cell out of order, and every fifth link spans five rows."""
-    rows = table(spark, sf_dir, "part").select(F.expr("p_partkey div 40").alias("book"), F.struct("p_partkey", "p_name", "p_size", "p_brand").alias("x"))
-    books = rows.groupBy("book").agg(F.array_sort(F.collect_list("x")).alias("rows"))
-
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for book, rows in zip(pdf["book"], pdf["rows"]):
-                body = areas = ""
-                for k, r in enumerate(rows, 1):
-                    size = int(r["p_size"])
-                    body += f'<row r="{k}"><c t="inlineStr"><is><t>{r["p_name"]}</t></is></c><c>{"<f>N()</f>" if size % 2 else ""}<v>{size}</v></c><c r="D{k}" t="b"><v>{size % 2}</v></c>{"<c r='A1'/>" if book % 7 == 3 and k == 2 else ""}</row>'
-                    areas += f'<hyperlink ref="C{k}:E{k + 4 if k % 5 == 0 and k + 4 <= len(rows) else k}" display="{r["p_brand"]}"/>'
-                files = build.xlsx_files([("Parts", [["x"]])])
-                files["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{xmlnodes.SHEET}"><sheetData>{body}</sheetData><hyperlinks>{areas}</hyperlinks></worksheet>'
-                content = build.package(files)
-                out.append({"path": f"/parts/book{book}.xlsx", "length": len(content), "content": content})
-            yield pd.DataFrame(out, columns=["path", "length", "content"])
-
-    return books.mapInPandas(make, "path string, length long, content binary")
+    books = part_books(spark, sf_dir)
+
+    def make(x):
+        book, rows, body, areas = x["book"], x["rows"], "", ""
+        for k, r in enumerate(rows, 1):
+            size = int(r["p_size"])
+            body += f'<row r="{k}"><c t="inlineStr"><is><t>{r["p_name"]}</t></is></c><c>{"<f>N()</f>" if size % 2 else ""}<v>{size}</v></c><c r="D{k}" t="b"><v>{size % 2}</v></c>{"<c r='A1'/>" if book % 7 == 3 and k == 2 else ""}</row>'
+            areas += f'<hyperlink ref="C{k}:E{k + 4 if k % 5 == 0 and k + 4 <= len(rows) else k}" display="{r["p_brand"]}"/>'
+        files = build.xlsx_files([("Parts", [["x"]])])
+        files["xl/worksheets/sheet1.xml"] = f'<worksheet xmlns="{xmlnodes.SHEET}"><sheetData>{body}</sheetData><hyperlinks>{areas}</hyperlinks></worksheet>'
+        return [(f"/parts/book{book}.xlsx", build.package(files))]
+
+    return made_files(books, make)
 
 
 @query("""WITH p AS (SELECT p_partkey // 40 AS book, row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_partkey // 40) AS n, p_name, p_size, p_brand FROM part),
@@ -333,17 +312,12 @@ def package_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder package of rich text for each customer; those of even nations have an attachment that nothing shows."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
 
-    def make(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                home = f"/notes/n{r.c_custkey}.rtfd"
-                out += [(f"{home}/TXT.rtf", build.rtf_bytes([(0, [(f"{r.c_name} in ", False), (r.c_mktsegment, True)])])), (f"{home}/.hidden", b"x")]
-                if r.c_nationkey % 2 == 0:
-                    out.append((f"{home}/n{r.c_nationkey}.pdf", b"%PDF"))
-            yield pd.DataFrame(out, columns=["path", "content"])
-
-    done = engine.convert_packages(rows.mapInPandas(make, "path string, content binary"))
+    def make(r):
+        home = f"/notes/n{r['c_custkey']}.rtfd"
+        out = [(f"{home}/TXT.rtf", build.rtf_bytes([(0, [(f"{r['c_name']} in ", False), (r["c_mktsegment"], True)])])), (f"{home}/.hidden", b"x")]
+        return out + [(f"{home}/n{r['c_nationkey']}.pdf", b"%PDF")] * (r["c_nationkey"] % 2 == 0)
+
+    done = engine.convert_packages(made_files(dealt(rows, "c_custkey"), make))
     return done.select("path", "status", "markdown", F.array_join(F.transform("warnings", lambda w: w["message"]), ",").alias("messages"))
 
 

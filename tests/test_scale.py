@@ -52,3 +52,11 @@ def test_small_files_leave_together_and_a_bad_one_spoils_no_other(spark):
     sizes = lambda batches: (type(b).from_pydict({"n": [b.num_rows]}) for b in batches)
     plain = engine._pass(files, "path string, n long", lambda path, content: [{"path": path, "n": 0}], None)
     assert [r.n for r in plain.mapInArrow(sizes, "n long").collect()] == [50]
+
+
+@tables
+def test_files_of_small_tables_are_made_in_several_tasks_a_core(spark):
+    makers = [documents.linked_files, documents.master_files, documents.string_files, documents.linked_books]
+    assert all(dealt(spark, f(spark, DATA)) for f in makers)
+    assert all(dealt(spark, documents.part_files(spark, DATA, kind)) for kind in ("xlsx", "ods", "xls"))
+    assert all(dealt(spark, documents.text_files(spark, DATA, kind)) for kind in ("docx", "odt", "rtf"))
