@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -321,12 +320,17 @@ def package_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("path", "status", "markdown", F.array_join(F.transform("warnings", lambda w: w["message"]), ",").alias("messages"))
 
 
-def _mapped(df: DataFrame, key: str, column: str, f, out: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def apply(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
+def _mapped(df: DataFrame, key: str, column: str, f, out: str, step: int = 64) -> DataFrame:
+    """(key, out): f of each text; null stays null. Beside Spark's batch a worker holds `step` texts at most."""
 
-    return df.select(key, apply(F.col(column)).alias(out))
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                texts = [None if t is None else f(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=[key, out])
+
+    return df.select(key, column).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, `{out}` string")
 
 
 @query()
