@@ -112,9 +112,13 @@ def gfm_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.workbooks(named, ["doc_id"], "title")
 
 
-def book_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_cells in books of at most 64 sheets, so that no book grows with the tables; runs of backticks stand first."""
+def book_cells(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """order_cells in books of at most 64 sheets, so that no book grows with the tables; runs of backticks stand first.
+
+    once: cells are dealt out by book, and grids, tables and books are then made where they are.
+    """
     cells = order_cells(spark, sf_dir).withColumn("doc_id", F.expr("sheet_no div 64"))
+    cells = cells.repartition("doc_id") if once else cells
     shown = F.concat(F.repeat(F.lit("`"), (F.col("written.l_suppkey") % 5).cast("int")), "display")
     return grid.last_written(cells.withColumn("display", shown), ["doc_id", "sheet_no"], F.col("written"))
 
@@ -140,7 +144,7 @@ line AS (SELECT doc_id, sheet_no, r, '| ' || string_agg({GFM.format("display")},
 body AS (SELECT doc_id, sheet_no, string_agg(t, chr(10) ORDER BY r) AS body FROM line GROUP BY ALL)
 {_BOOK_SQL}""")
 def order_books_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _books(render.gfm_tables(grid.dense_grid(book_cells(spark, sf_dir), ["doc_id", "sheet_no"]), ["doc_id", "sheet_no"]))
+    return _books(render.gfm_tables(grid.dense_grid(book_cells(spark, sf_dir, once=True), ["doc_id", "sheet_no"]), ["doc_id", "sheet_no"]))
 
 
 @query(f"""WITH {BOOK_CELLS},
@@ -148,7 +152,7 @@ line AS (SELECT doc_id, sheet_no, r, string_agg({TSV.format("display")}, chr(9)
 body AS (SELECT doc_id, sheet_no, repeat('`', greatest(3, max(k) + 1)) || 'tsv' || chr(10) || string_agg(t, chr(10) ORDER BY r) || chr(10) || repeat('`', greatest(3, max(k) + 1)) AS body FROM line GROUP BY ALL)
 {_BOOK_SQL}""")
 def order_books_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _books(render.tsv_blocks(grid.dense_grid(book_cells(spark, sf_dir), ["doc_id", "sheet_no"]), ["doc_id", "sheet_no"]))
+    return _books(render.tsv_blocks(grid.dense_grid(book_cells(spark, sf_dir, once=True), ["doc_id", "sheet_no"]), ["doc_id", "sheet_no"]))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS sheet, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS nth,

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from docloom.operators import xmlnodes
-from docloom.plans import documents
+from docloom.plans import documents, relational
 from docloom.sources import build, engine, nodes
 
 DATA = "/root/testdata/sf0.001"
@@ -60,3 +60,20 @@ def test_files_of_small_tables_are_made_in_several_tasks_a_core(spark):
     assert all(dealt(spark, f(spark, DATA)) for f in makers)
     assert all(dealt(spark, documents.part_files(spark, DATA, kind)) for kind in ("xlsx", "ods", "xls"))
     assert all(dealt(spark, documents.text_files(spark, DATA, kind)) for kind in ("docx", "odt", "rtf"))
+
+
+@tables
+def test_texts_are_mapped_a_few_at_a_time(spark):
+    for name in ("link_rewrite", "html_markdown"):
+        text = plan(documents.QUERIES[name](spark, DATA))
+        assert "MapInArrow" in text and "ArrowEvalPython" not in text
+    frame = spark.createDataFrame([(k, None if k == 3 else f"t{k}") for k in range(9)], "k long, t string").coalesce(1)
+    got = documents._mapped(frame, "k", "t", lambda t: t + "!", "out", step=2)
+    assert {r.k: r.out for r in got.collect()} == {k: None if k == 3 else f"t{k}!" for k in range(9)}
+
+
+@tables
+def test_books_are_dealt_out_once(spark):
+    for name in ("order_books_tsv", "order_books_table"):
+        text = relational.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in text, name
