@@ -54,11 +54,6 @@ def leading_escape(c: Column) -> Column:
     )
 
 
-def blank_trim(c: Column) -> Column:
-    """Unicode spaces and tabs off both ends."""
-    return F.regexp_replace(c, r"^[\p{Zs}\t]+|[\p{Zs}\t]+$", "")
-
-
 def is_blank(c: Column) -> Column:
     """Whether a line has nothing but spaces and tabs."""
     return c.rlike(r"\A[ \t]*\z")
@@ -76,13 +71,13 @@ def indent_width(c: Column) -> Column:
 
 
 def bullet_line(c: Column) -> Column:
-    """Whether a line is an emphasised bullet and nothing else."""
-    return blank_trim(F.translate(c, "*_", "")) == "•"
+    """Whether a line is an emphasised bullet and nothing else but Unicode spaces and tabs."""
+    return c.rlike(r"\A[\p{Zs}\t*_]*+•[\p{Zs}\t*_]*+\z")
 
 
 def hard_break(c: Column) -> Column:
-    """Whether a line ends with an odd number of backslashes."""
-    return F.length(F.regexp_extract(c, r"(\\*)\z", 1)) % 2 == 1
+    """Whether a line ends with an odd number of backslashes, which are counted from the end only."""
+    return c.endswith("\\") & (~c.endswith("\\\\") | ((F.length(c) - F.length(F.rtrim(c, F.lit("\\")))) % 2 == 1))
 
 
 def plain_rule(c: Column) -> Column:

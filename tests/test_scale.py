@@ -1,10 +1,13 @@
 """Steps whose time or memory once grew faster than the input, or that ran in one task however large it was."""
 
 import os
+import random
+import time
 
 import pytest
 
-from docloom.operators import xmlnodes
+from docloom.functions import markdown
+from docloom.operators import normalize, xmlnodes
 from docloom.plans import documents, relational
 from docloom.sources import build, engine, nodes
 
@@ -77,3 +80,26 @@ def test_books_are_dealt_out_once(spark):
     for name in ("order_books_tsv", "order_books_table"):
         text = relational.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id" in text, name
+
+
+def test_normaliser_takes_time_by_length_and_copies_no_lines(spark):
+    """Runs of blanks and backslashes inside a line took time by their square; arrays of lines were columns of four steps."""
+    k = 60_000
+    texts = ["a" + " " * k + "b\\\nc", "a" + "\\" * k + "b\nc", "a" + "\\" * k + "\nc", "•" + " " * k + "b\nc", " " * k + "b\\\nc", "- a\\\n" * k]
+    df = normalize.normalized(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text")
+    assert plan(df).count("Project") == 1
+    normalize.normalized(spark.createDataFrame([(0, "a\\\nb")], "id int, text string"), "id", "text").collect()
+    start = time.time()
+    got = dict(df.collect())
+    assert time.time() - start < 20
+    assert got == {i: markdown.normalized(t) for i, t in enumerate(texts)}
+
+
+def test_normaliser_without_a_second_fold(spark):
+    """Items that close several at once, marks that open nothing or stand too deep, other line ends and runs of empty lines."""
+    rnd = random.Random(8)
+    lines = ["", "", "", "  - x", "    - y\\", "      * z", " -　", " -", "~~~~ x", "   ~~~ \t", "    ```", "\t```", "``` a`b", "```a", " \t", "\t \t1) q", "12345678901. r", "\x85", " - s", "a\x0b\\", "b\\\\\\", " •*\\", "* •_ ", "\\-\\", "\\_\\_\\_\\", " u", "v", "        w", "é\\", "😀 \t\\", "-", "\ta", "1.\t\t"]
+    texts = ["\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 40))) + rnd.choice(["", "\n", "\r\n", "\n\n"]) for _ in range(1500)]
+    texts += ["\n".join(rnd.choice(lines) for _ in range(9000)), " \n" + "\n" * 5000, "x" + "\n" * 5000 + "  \ny", "    a" + "\n" * 5000 + "    b"]
+    got = dict(normalize.normalized(spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(4), "id", "text").collect())
+    assert got == {i: markdown.normalized(t) for i, t in enumerate(texts)}
